@@ -1,0 +1,690 @@
+"""Every query of the engine over the star-schema tables, next to equivalent plain SQL."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from landprice.operators.dedup import insert_if_absent, keep_first
+from landprice.operators.filters import (
+    Filters,
+    postal_prefix,
+    street_search,
+    valid_postal_codes,
+)
+from landprice.plans.analysis import (
+    analyse_by_parcel,
+    analyse_prices,
+    count_transactions,
+    mean_price_by_type,
+    mean_price_m2,
+)
+from landprice.plans.imports import import_years
+from landprice.plans.price_report import filtered_sales, outlier_report, price_report
+from landprice.plans.trends import daily_prices, mean_surface, surface_histogram
+from landprice.schema import DATA_SCHEMA, DEFAULT_LIMIT
+from landprice.session import scratch_path
+from landprice.sources.register_csv import accepted, clean_records, reject_report
+from landprice.sources.star_view import SALES_SQL, sales_view
+from landprice.sources.table import (
+    clear_year,
+    create_table,
+    import_status,
+    integrity_report,
+    integrity_sample,
+    rearrange_year,
+    table_statistics,
+)
+from landprice.streaming.incremental import ingest_stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _register(sql: str | None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if sql is not None:
+            ORACLE_SQL[query.__name__] = sql
+        return query
+
+    return add
+
+
+def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    """Doubles that were summed in different orders agree only up to a rounding."""
+    return df.withColumns({name: F.round(name, digits) for name in names})
+
+
+# --- price report -----------------------------------------------------------------------
+
+_VALID = (
+    "valeur_fonciere > 0 AND valeur_fonciere <= 10000000 AND surface_reelle_bati > 0 "
+    "AND type_local = 'Appartement'"
+)
+_RECENT = (
+    "ORDER BY date_mutation DESC, valeur_fonciere DESC, id_mutation NULLS FIRST, "
+    "numero_disposition NULLS FIRST, id_parcelle NULLS FIRST, lot1_numero NULLS FIRST"
+)
+_GARAGE_IDS = "(SELECT id_mutation FROM v WHERE type_local = 'Dépendance')"
+
+
+def _population_sql(where: str = "", limit: int | None = DEFAULT_LIMIT) -> str:
+    tail = "" if limit is None else f" {_RECENT} LIMIT {limit}"
+    return (
+        f"WITH v AS ({SALES_SQL}), s AS (SELECT *, valeur_fonciere / surface_reelle_bati "
+        f"AS prix_m2 FROM v WHERE {_VALID}{where}{tail})"
+    )
+
+
+def _summary_sql(where: str = "", limit: int | None = DEFAULT_LIMIT) -> str:
+    def whole(text: str, name: str) -> str:
+        return f"CAST(trunc(coalesce({text}, 0)) AS BIGINT) AS {name}"
+
+    return (
+        f"{_population_sql(where, limit)}, "
+        "b AS (SELECT quantile_cont(valeur_fonciere, 0.25) AS q1, "
+        "quantile_cont(valeur_fonciere, 0.75) AS q3 FROM s), "
+        "k AS (SELECT s.* FROM s, b WHERE valeur_fonciere >= q1 - 1.5 * (q3 - q1) "
+        "AND valeur_fonciere <= q3 + 1.5 * (q3 - q1)) "
+        "SELECT (SELECT count(*) FROM s) AS nombre_transactions, "
+        "(SELECT count(*) FROM s) AS nombre_transactions_affiches, "
+        f"{whole('avg(valeur_fonciere)', 'prix_moyen')}, "
+        f"{whole('quantile_cont(valeur_fonciere, 0.5)', 'prix_median')}, "
+        f"{whole('avg(prix_m2)', 'prix_m2_moyen')}, "
+        f"{whole('quantile_cont(prix_m2, 0.5)', 'prix_m2_median')} FROM k"
+    )
+
+
+_TRANSACTIONS = (
+    "SELECT strftime(date_mutation, '%d/%m/%Y') AS date, "
+    "CAST(trunc(valeur_fonciere) AS BIGINT) AS prix, "
+    "CAST(trunc(surface_reelle_bati) AS BIGINT) AS surface, "
+    "CAST(trunc(prix_m2) AS BIGINT) AS prix_m2, code_postal, adresse_nom_voie AS adresse, "
+    "nullif(trim(adresse_numero), '') AS numero, "
+    "CASE WHEN nullif(trim(adresse_numero), '') IS NOT NULL AND adresse_nom_voie IS NOT NULL "
+    "THEN concat(trim(adresse_numero), ' ', adresse_nom_voie) END AS adresse_complete, "
+    "nom_commune AS commune FROM s"
+)
+_TWO_YEARS = (
+    " AND date_mutation >= DATE '1996-01-01' AND date_mutation < DATE '1998-01-01'"
+)
+
+
+@_register(_summary_sql())
+def price_report_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return price_report(sales_view(spark, folder)).summary
+
+
+@_register(f"{_population_sql()} {_TRANSACTIONS}")
+def price_report_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    return price_report(sales_view(spark, folder)).transactions
+
+
+@_register(_summary_sql(_TWO_YEARS, 5000))
+def price_report_two_years(spark: SparkSession, folder: str) -> DataFrame:
+    filters = Filters(years=["1996", " 1997 ", "x"])
+    return price_report(sales_view(spark, folder), filters, limit=5000).summary
+
+
+@_register(_summary_sql(limit=None))
+def price_report_whole_population(spark: SparkSession, folder: str) -> DataFrame:
+    return price_report(sales_view(spark, folder), limit=None).summary
+
+
+@_register(_summary_sql(f" AND id_mutation IN {_GARAGE_IDS}"))
+def price_report_with_garage(spark: SparkSession, folder: str) -> DataFrame:
+    return price_report(sales_view(spark, folder), garage="avec").summary
+
+
+@_register(_summary_sql(f" AND id_mutation NOT IN {_GARAGE_IDS}"))
+def price_report_without_garage(spark: SparkSession, folder: str) -> DataFrame:
+    return price_report(sales_view(spark, folder), garage="sans").summary
+
+
+@_register(_summary_sql(" AND id_parcelle = 'nowhere'"))
+def price_report_empty(spark: SparkSession, folder: str) -> DataFrame:
+    return price_report(sales_view(spark, folder), Filters(parcelles=["nowhere"])).summary
+
+
+# --- filters ----------------------------------------------------------------------------
+
+_SALE_COLUMNS = (
+    "id_mutation, date_mutation, id_parcelle, valeur_fonciere, type_local, surface_reelle_bati, "
+    "code_postal, adresse_nom_voie, nom_commune, adresse_numero, numero_disposition, "
+    "lot1_numero, prix_m2"
+)
+
+
+def _filtered_sql(where: str) -> str:
+    return f"{_population_sql(where, None)} SELECT {_SALE_COLUMNS} FROM s"
+
+
+def _filtered(spark: SparkSession, folder: str, **filters) -> DataFrame:
+    return filtered_sales(sales_view(spark, folder), Filters(**filters))
+
+
+@_register(_filtered_sql(" AND EXTRACT(YEAR FROM date_mutation) IN (1996, 1999)"))
+def filter_years(spark: SparkSession, folder: str) -> DataFrame:
+    return _filtered(spark, folder, years=[1999, "1996 ", "19x6"])
+
+
+@_register(_filtered_sql(" AND id_parcelle IN ('P000001', 'P000002', 'P000150')"))
+def filter_parcels(spark: SparkSession, folder: str) -> DataFrame:
+    return _filtered(spark, folder, parcelles=["P000001", " P000002", "P000150", "P'3", ""])
+
+
+@_register(_filtered_sql(" AND code_postal IN ('00001', '00007')"))
+def filter_postal_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return _filtered(spark, folder, codes_postaux=["00001", "00007 ", " "])
+
+
+@_register(_filtered_sql(""))
+def filter_unusable_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return _filtered(
+        spark, folder, years=["x"], parcelles=["'"], codes_postaux=[""], min_surface="wide"
+    )
+
+
+@_register(_filtered_sql(" AND surface_reelle_bati >= 10.5 AND surface_reelle_bati <= 20"))
+def filter_surface_range(spark: SparkSession, folder: str) -> DataFrame:
+    return _filtered(spark, folder, min_surface="10.5", max_surface=20)
+
+
+@_register(_filtered_sql(" AND valeur_fonciere <= 50000"))
+def filter_max_price(spark: SparkSession, folder: str) -> DataFrame:
+    return _filtered(spark, folder, max_price="50000")
+
+
+@_register(
+    f"WITH v AS ({SALES_SQL}) SELECT id_mutation, numero_disposition, code_postal, "
+    "valeur_fonciere FROM v WHERE code_postal LIKE '0001%'"
+)
+def filter_postal_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    return postal_prefix(sales_view(spark, folder), "0001").select(
+        "id_mutation", "numero_disposition", "code_postal", "valeur_fonciere"
+    )
+
+
+@_register(
+    f"WITH v AS ({SALES_SQL}), c AS (SELECT CASE WHEN code_postal LIKE '%5' "
+    "THEN concat(code_postal, 'x') ELSE code_postal END AS code_postal FROM v) "
+    "SELECT DISTINCT code_postal FROM c WHERE regexp_matches(code_postal, '^[0-9]{5}$')"
+)
+def filter_valid_postal(spark: SparkSession, folder: str) -> DataFrame:
+    code = F.col("code_postal")
+    some_bad = F.when(code.endswith("5"), F.concat(code, F.lit("x"))).otherwise(code)
+    return valid_postal_codes(sales_view(spark, folder).withColumn("code_postal", some_bad))
+
+
+@_register(
+    f"WITH v AS ({SALES_SQL}) SELECT id_mutation, numero_disposition, adresse_nom_voie FROM v "
+    "WHERE contains(upper(adresse_nom_voie), 'NATION_1')"
+)
+def filter_street(spark: SparkSession, folder: str) -> DataFrame:
+    return street_search(sales_view(spark, folder), "nation_1").select(
+        "id_mutation", "numero_disposition", "adresse_nom_voie"
+    )
+
+
+# --- analyses ---------------------------------------------------------------------------
+
+_PRICE_M2_OR_NULL = (
+    "CASE WHEN surface_reelle_bati > 0 THEN valeur_fonciere / surface_reelle_bati END"
+)
+_ANALYSIS = (
+    "count(*) AS nombre_transactions, round(avg(valeur_fonciere), 4) AS prix_moyen, "
+    "round(quantile_cont(valeur_fonciere, 0.5), 6) AS prix_median, "
+    f"round(avg({_PRICE_M2_OR_NULL}), 4) AS prix_m2_moyen, "
+    f"round(quantile_cont({_PRICE_M2_OR_NULL}, 0.5), 6) AS prix_m2_median"
+)
+
+
+def _analysis_sql(where: str) -> str:
+    return f"WITH v AS ({SALES_SQL}) SELECT {_ANALYSIS} FROM v WHERE {where}"
+
+
+def _rounded_analysis(df: DataFrame) -> DataFrame:
+    means = _rounded(df, 4, "prix_moyen", "prix_m2_moyen")
+    return _rounded(means, 6, "prix_median", "prix_m2_median")
+
+
+@_register(f"WITH v AS ({SALES_SQL}) SELECT count(*) AS nombre_transactions FROM v")
+def count_all_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    return count_transactions(sales_view(spark, folder))
+
+
+@_register(_analysis_sql("TRUE"))
+def analyse_all_prices(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded_analysis(analyse_prices(sales_view(spark, folder)))
+
+
+@_register(
+    _analysis_sql(
+        "type_local = 'Maison' AND surface_reelle_bati >= 12 AND surface_reelle_bati <= 40 "
+        f"AND id_mutation IN {_GARAGE_IDS}"
+    )
+)
+def analyse_houses_with_garage(spark: SparkSession, folder: str) -> DataFrame:
+    view = sales_view(spark, folder)
+    return _rounded_analysis(
+        analyse_prices(view, type_local="Maison", min_m2=12, max_m2=40, garage="avec")
+    )
+
+
+@_register(_analysis_sql(f"type_local = 'Maison' AND id_mutation NOT IN {_GARAGE_IDS}"))
+def analyse_houses_without_garage(spark: SparkSession, folder: str) -> DataFrame:
+    view = sales_view(spark, folder)
+    return _rounded_analysis(analyse_prices(view, type_local="Maison", garage="sans"))
+
+
+@_register(_analysis_sql("id_parcelle = 'nowhere'"))
+def analyse_prices_empty(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded_analysis(analyse_prices(sales_view(spark, folder), ["nowhere"]))
+
+
+_PARCELS = ("P000001", "P000002", "P000150", "P999999")
+_PARCEL_LIST = ", ".join(f"'{parcel}'" for parcel in _PARCELS)
+_PARCEL_ROWS = ", ".join(f"('{parcel}')" for parcel in _PARCELS)
+
+
+@_register(
+    f"WITH v AS ({SALES_SQL}), f AS (SELECT * FROM v WHERE id_parcelle IN ({_PARCEL_LIST})), "
+    f"p AS (SELECT id_parcelle, {_ANALYSIS} FROM f GROUP BY id_parcelle) "
+    f"SELECT 'global' AS parcelle, {_ANALYSIS} FROM f UNION ALL "
+    "SELECT r.parcelle, coalesce(nombre_transactions, 0), prix_moyen, prix_median, "
+    f"prix_m2_moyen, prix_m2_median FROM (VALUES {_PARCEL_ROWS}) AS r(parcelle) "
+    "LEFT JOIN p ON p.id_parcelle = r.parcelle"
+)
+def analyse_parcels(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded_analysis(analyse_by_parcel(sales_view(spark, folder), list(_PARCELS)))
+
+
+@_register(
+    f"WITH v AS ({SALES_SQL}) SELECT type_local, round(avg(valeur_fonciere), 4) AS prix_moyen "
+    "FROM v GROUP BY type_local"
+)
+def mean_price_by_property_type(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(mean_price_by_type(sales_view(spark, folder)), 4, "prix_moyen")
+
+
+@_register(
+    f"WITH v AS ({SALES_SQL}) SELECT round(avg(valeur_fonciere / nullif(surface_reelle_bati, 0))"
+    ", 4) AS prix_m2_moyen FROM v WHERE type_local = 'Appartement' AND code_postal LIKE '0001%'"
+)
+def mean_price_m2_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    view = sales_view(spark, folder)
+    return _rounded(mean_price_m2(view, prefix="0001"), 4, "prix_m2_moyen")
+
+
+# --- trends -----------------------------------------------------------------------------
+
+_TRENDS = f"{_population_sql()}, t AS ({_TRANSACTIONS})"
+
+
+@_register(
+    f"{_TRENDS} SELECT date, CAST(floor(CAST(sum(prix) AS DOUBLE) / count(*) + 0.5) AS BIGINT) "
+    "AS prix, CAST(floor(CAST(sum(prix_m2) AS DOUBLE) / count(*) + 0.5) AS BIGINT) AS prix_m2 "
+    "FROM t GROUP BY date"
+)
+def daily_price_series(spark: SparkSession, folder: str) -> DataFrame:
+    return daily_prices(price_report(sales_view(spark, folder)).transactions)
+
+
+@_register(
+    f"{_TRENDS}, b AS (SELECT CAST(floor(surface / 10.0) * 10 AS BIGINT) AS lo FROM t) "
+    "SELECT concat(CAST(lo AS VARCHAR), '-', CAST(lo + 9 AS VARCHAR), 'm²') AS range, "
+    "count(*) AS count FROM b GROUP BY lo"
+)
+def surface_bands(spark: SparkSession, folder: str) -> DataFrame:
+    return surface_histogram(price_report(sales_view(spark, folder)).transactions)
+
+
+@_register(
+    f"{_TRENDS} SELECT CAST(floor(CAST(sum(surface) AS DOUBLE) / count(*) + 0.5) AS BIGINT) "
+    "AS surface_moyenne FROM t"
+)
+def rounded_mean_surface(spark: SparkSession, folder: str) -> DataFrame:
+    return mean_surface(price_report(sales_view(spark, folder)).transactions)
+
+
+# --- outliers ---------------------------------------------------------------------------
+
+_OUTLIERS = (
+    ", b AS (SELECT quantile_cont(valeur_fonciere, 0.1) AS d1, "
+    "quantile_cont(valeur_fonciere, 0.25) AS q1, quantile_cont(valeur_fonciere, 0.75) AS q3, "
+    "quantile_cont(valeur_fonciere, 0.9) AS d9 FROM s), "
+    "e AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM b), "
+    "x AS (SELECT s.*, valeur_fonciere >= lo AND valeur_fonciere <= hi AS inside FROM s, e)"
+)
+
+
+def _outlier_statistics_sql(limit: int | None) -> str:
+    return (
+        f"{_population_sql('', limit)}{_OUTLIERS} SELECT count(*) AS total, "
+        "count(*) FILTER (WHERE inside) AS kept, count(*) FILTER (WHERE NOT inside) AS outliers, "
+        "min(valeur_fonciere) AS min_before, max(valeur_fonciere) AS max_before, "
+        "min(valeur_fonciere) FILTER (WHERE inside) AS min_after, "
+        "max(valeur_fonciere) FILTER (WHERE inside) AS max_after, "
+        "round((SELECT d1 FROM e), 6) AS decile_low, round((SELECT q1 FROM e), 6) AS q1, "
+        "round((SELECT q3 FROM e), 6) AS q3, round((SELECT d9 FROM e), 6) AS decile_high, "
+        "round((SELECT lo FROM e), 6) AS lower_bound, "
+        "round((SELECT hi FROM e), 6) AS upper_bound FROM x"
+    )
+
+
+def _rounded_bounds(df: DataFrame) -> DataFrame:
+    return _rounded(
+        df, 6, "decile_low", "q1", "q3", "decile_high", "lower_bound", "upper_bound"
+    )
+
+
+@_register(_outlier_statistics_sql(DEFAULT_LIMIT))
+def outlier_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded_bounds(outlier_report(sales_view(spark, folder)).statistics)
+
+
+@_register(_outlier_statistics_sql(None))
+def outlier_bounds_whole_population(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded_bounds(outlier_report(sales_view(spark, folder), limit=None).statistics)
+
+
+@_register(f"{_population_sql()}{_OUTLIERS} SELECT {_SALE_COLUMNS} FROM x WHERE NOT inside")
+def outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return outlier_report(sales_view(spark, folder)).outliers
+
+
+@_register(
+    f"{_population_sql()}{_OUTLIERS} SELECT {_SALE_COLUMNS} FROM x WHERE NOT inside ORDER BY "
+    "md5(concat_ws('|', '7', id_mutation, numero_disposition, id_parcelle, "
+    "coalesce(lot1_numero, ''), CAST(date_mutation AS VARCHAR), code_postal)) LIMIT 5"
+)
+def outlier_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return outlier_report(sales_view(spark, folder), seed=7).sample
+
+
+# --- cleaning and key handling ----------------------------------------------------------
+
+# Register text made from the sales view, with every kind of bad cell planted.
+_RAW_EXPRESSIONS = {
+    "id_mutation": (
+        "CASE WHEN n % 101 = 0 THEN '' WHEN n % 103 = 0 THEN 'NULL' WHEN n % 107 = 0 "
+        "THEN 'null' ELSE id_mutation END"
+    ),
+    "date_mutation": (
+        "CASE WHEN n % 61 = 0 THEN '2024-02-30' WHEN n % 67 = 0 THEN '02/01/2024' "
+        "WHEN n % 71 = 0 THEN 'NaN' ELSE CAST(date_mutation AS STRING) END"
+    ),
+    "numero_disposition": "numero_disposition",
+    "valeur_fonciere": (
+        "CASE WHEN n % 11 = 0 THEN 'abc' WHEN n % 13 = 0 THEN '-1' WHEN n % 17 = 0 "
+        "THEN '100000001' WHEN n % 19 = 0 THEN '1e3' WHEN n % 23 = 0 THEN 'nan' "
+        "WHEN n % 29 = 0 THEN '100000000' ELSE CAST(CAST(valeur_fonciere AS DECIMAL(12,2)) "
+        "AS STRING) END"
+    ),
+    "surface_reelle_bati": (
+        "CASE WHEN n % 31 = 0 THEN '10000001' WHEN n % 37 = 0 THEN '2.005' "
+        "ELSE CAST(CAST(surface_reelle_bati AS DECIMAL(12,2)) AS STRING) END"
+    ),
+    "code_postal": (
+        "CASE WHEN n % 83 = 0 THEN concat(code_postal, '9') WHEN n % 89 = 0 THEN 'NULL' "
+        "ELSE code_postal END"
+    ),
+    "longitude": (
+        "CASE WHEN n % 41 = 0 THEN '12345.5' WHEN n % 43 = 0 THEN 'east' ELSE '5.5309524' END"
+    ),
+    "id_parcelle": "id_parcelle",
+    "type_local": "CASE WHEN n % 47 = 0 THEN 'Nan' ELSE type_local END",
+}
+_RAW_SQL = (
+    f"WITH v AS ({SALES_SQL}), "
+    "w AS (SELECT *, CAST(id_mutation AS BIGINT) * 7 + CAST(numero_disposition AS BIGINT) AS n "
+    "FROM v), r AS (SELECT "
+    + ", ".join(f"{text} AS {name}" for name, text in _RAW_EXPRESSIONS.items())
+    + " FROM w), t AS (SELECT "
+    + ", ".join(
+        f"CASE WHEN {name} IN ('', 'NaN', 'nan', 'NULL') THEN NULL ELSE {name} END AS {name}"
+        for name in _RAW_EXPRESSIONS
+    )
+    + " FROM r), d AS (SELECT *, TRY_CAST(date_mutation AS DATE) AS day, "
+    "TRY_CAST(valeur_fonciere AS DECIMAL(28,10)) AS price, "
+    "TRY_CAST(surface_reelle_bati AS DECIMAL(28,10)) AS surface, "
+    "TRY_CAST(longitude AS DECIMAL(28,10)) AS east FROM t), o AS (SELECT *, "
+    "CASE WHEN id_mutation IS NULL OR day IS NULL THEN 'essential' "
+    "WHEN length(code_postal) > 5 THEN 'storage:code_postal' "
+    "WHEN abs(east) >= 10000 THEN 'storage:longitude' ELSE 'accepted' END AS outcome FROM d)"
+)
+
+
+def _raw_register(spark: SparkSession, folder: str) -> DataFrame:
+    number = F.col("id_mutation").cast("bigint") * 7 + F.col("numero_disposition").cast("bigint")
+    numbered = sales_view(spark, folder).withColumn("n", number)
+    nothing = F.lit(None).cast("string")
+    return numbered.select(
+        *[
+            (F.expr(_RAW_EXPRESSIONS[name]) if name in _RAW_EXPRESSIONS else nothing).alias(name)
+            for name in DATA_SCHEMA.names
+        ]
+    )
+
+
+@_register(
+    f"{_RAW_SQL} SELECT id_mutation, day AS date_mutation, numero_disposition, id_parcelle, "
+    "type_local, code_postal, CAST(CAST(CASE WHEN price BETWEEN 0 AND 100000000 THEN price END "
+    "AS DECIMAL(12,2)) AS DOUBLE) AS valeur_fonciere, CAST(CAST(CASE WHEN surface BETWEEN 0 AND "
+    "10000000 THEN surface END AS DECIMAL(12,2)) AS DOUBLE) AS surface_reelle_bati, "
+    "CAST(CAST(east AS DECIMAL(10,6)) AS DOUBLE) AS longitude FROM o WHERE outcome = 'accepted'"
+)
+def clean_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = accepted(clean_records(_raw_register(spark, folder)))
+    numbers = ("valeur_fonciere", "surface_reelle_bati", "longitude")
+    return rows.select(
+        "id_mutation",
+        "date_mutation",
+        "numero_disposition",
+        "id_parcelle",
+        "type_local",
+        "code_postal",
+        *[F.col(name).cast("double").alias(name) for name in numbers],
+    )
+
+
+@_register(f"{_RAW_SQL} SELECT outcome, count(*) AS rows FROM o GROUP BY outcome")
+def clean_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    return reject_report(clean_records(_raw_register(spark, folder)))
+
+
+_COARSE_KEY = ("id_mutation", "type_local", "lot1_numero")
+_COARSE_ORDER = ("date_mutation", "valeur_fonciere", "id_parcelle", "code_postal")
+_KEPT_COLUMNS = (
+    "id_mutation, type_local, lot1_numero, date_mutation, valeur_fonciere, id_parcelle, "
+    "code_postal, numero_disposition"
+)
+_COARSE_RANK = (
+    f"row_number() OVER (PARTITION BY {', '.join(_COARSE_KEY)} "
+    f"ORDER BY {', '.join(_COARSE_ORDER)})"
+)
+
+
+@_register(
+    f"WITH v AS ({SALES_SQL}), k AS (SELECT *, {_COARSE_RANK} AS rn FROM v) "
+    f"SELECT {_KEPT_COLUMNS} FROM k WHERE rn = 1 OR lot1_numero IS NULL"
+)
+def dedup_first(spark: SparkSession, folder: str) -> DataFrame:
+    order = [F.col(name) for name in _COARSE_ORDER]
+    kept = keep_first(sales_view(spark, folder), order, _COARSE_KEY)
+    return kept.select(*_KEPT_COLUMNS.split(", "))
+
+
+@_register(
+    f"WITH v AS ({SALES_SQL}) SELECT {_KEPT_COLUMNS} FROM v WHERE import_year = 1999 AND NOT "
+    "EXISTS (SELECT 1 FROM v AS e WHERE e.import_year = 1998 AND e.id_mutation = v.id_mutation "
+    "AND e.type_local = v.type_local AND e.lot1_numero = v.lot1_numero)"
+)
+def insert_absent(spark: SparkSession, folder: str) -> DataFrame:
+    view = sales_view(spark, folder)
+    fresh = insert_if_absent(
+        view.filter("import_year = 1999"), view.filter("import_year = 1998"), _COARSE_KEY
+    )
+    return fresh.select(*_KEPT_COLUMNS.split(", "))
+
+
+# --- table reports ----------------------------------------------------------------------
+
+
+@_register(
+    f"WITH v AS ({SALES_SQL}) SELECT import_year, count(*) AS record_count, "
+    "min(date_mutation) AS first_import, max(date_mutation) AS last_import "
+    "FROM v GROUP BY import_year"
+)
+def import_status_by_year(spark: SparkSession, folder: str) -> DataFrame:
+    dated = sales_view(spark, folder).withColumn("import_date", F.col("date_mutation"))
+    return import_status(dated)
+
+
+@_register(
+    f"WITH v AS ({SALES_SQL}) SELECT count(*) AS total_records, "
+    "count(DISTINCT import_year) AS years_imported, min(date_mutation) AS earliest_date, "
+    "max(date_mutation) AS latest_date, "
+    "count(*) FILTER (WHERE type_local = 'Appartement') AS apartments, "
+    "count(*) FILTER (WHERE type_local = 'Maison') AS houses FROM v"
+)
+def table_stats_report(spark: SparkSession, folder: str) -> DataFrame:
+    return table_statistics(sales_view(spark, folder))
+
+
+@_register(
+    f"WITH v AS ({SALES_SQL}) SELECT count(*) AS record_count, count(*) FILTER (WHERE "
+    "surface_reelle_bati > 0 AND valeur_fonciere / nullif(surface_reelle_bati, 0) IS NOT NULL) "
+    "AS with_prix_m2, count(*) > 0 AS ok FROM v WHERE import_year = 1998"
+)
+def integrity_check(spark: SparkSession, folder: str) -> DataFrame:
+    return integrity_report(sales_view(spark, folder), 1998)
+
+
+@_register(
+    f"WITH v AS ({SALES_SQL}) SELECT id_mutation, date_mutation, valeur_fonciere, type_local, "
+    "surface_reelle_bati, valeur_fonciere / nullif(surface_reelle_bati, 0) AS prix_m2 FROM v "
+    "WHERE import_year = 1998 ORDER BY id_mutation, numero_disposition, id_parcelle, "
+    "lot1_numero NULLS FIRST LIMIT 5"
+)
+def integrity_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return integrity_sample(sales_view(spark, folder), 1998)
+
+
+# --- ingest -----------------------------------------------------------------------------
+
+_landed: dict[tuple[str, str], str] = {}
+_FILE_ORDER = (
+    "import_year",
+    "date_mutation",
+    "valeur_fonciere",
+    "id_mutation",
+    "numero_disposition",
+    "id_parcelle",
+    "lot1_numero",
+    "code_postal",
+)
+_STORED = (
+    "id_mutation",
+    "date_mutation",
+    "numero_disposition",
+    "id_parcelle",
+    "lot1_numero",
+    "code_postal",
+    "type_local",
+    "import_year",
+)
+_FILE_RANK = (
+    "row_number() OVER (PARTITION BY id_mutation, numero_disposition, id_parcelle, lot1_numero "
+    f"ORDER BY {', '.join(_FILE_ORDER)})"
+)
+_LOADED_SQL = (
+    f"WITH v AS ({SALES_SQL}), k AS (SELECT *, {_FILE_RANK} AS rn FROM v), "
+    "l AS (SELECT * FROM k WHERE rn = 1 OR lot1_numero IS NULL)"
+)
+
+
+def _landed_files(spark: SparkSession, folder: str) -> str:
+    """The sales as gzipped register files, one folder of ordered files per year."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _landed:
+        path = scratch_path(spark, "landed")
+        (
+            sales_view(spark, folder)
+            .orderBy(*_FILE_ORDER)
+            .write.partitionBy("import_year")
+            .option("escape", '"')
+            .csv(path, header=True, compression="gzip")
+        )
+        _landed[key] = path
+    return _landed[key]
+
+
+def _new_table(spark: SparkSession) -> str:
+    database = f"landprice_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{scratch_path(spark, 'tables')}'")
+    return f"{database}.sales"
+
+
+def _import(spark: SparkSession, folder: str, name: str, start: int, end: int):
+    template = _landed_files(spark, folder) + "/import_year={year}"
+    return import_years(spark, name, template, start, end, file_name="")
+
+
+@_register(
+    f"{_LOADED_SQL} SELECT {', '.join(_STORED)}, "
+    "CAST(CAST(valeur_fonciere AS DECIMAL(12,2)) AS DOUBLE) AS valeur_fonciere, "
+    "CAST(CAST(surface_reelle_bati AS DECIMAL(12,2)) AS DOUBLE) AS surface_reelle_bati FROM l"
+)
+def ingest_csv(spark: SparkSession, folder: str) -> DataFrame:
+    name = _new_table(spark)
+    _import(spark, folder, name, 1995, 2001)
+    numbers = ("valeur_fonciere", "surface_reelle_bati")
+    return spark.table(name).select(
+        *_STORED, *[F.col(column).cast("double").alias(column) for column in numbers]
+    )
+
+
+@_register(
+    f"{_LOADED_SQL} SELECT CAST(import_year AS INTEGER) AS year, CASE WHEN import_year = 1996 "
+    "THEN 'already_imported' ELSE 'success' END AS status, count(*) AS records FROM l "
+    "WHERE import_year BETWEEN 1995 AND 1997 GROUP BY import_year "
+    "UNION ALL SELECT 1994, 'failed', NULL"
+)
+def skip_imported_year(spark: SparkSession, folder: str) -> DataFrame:
+    name = _new_table(spark)
+    _import(spark, folder, name, 1996, 1996)
+    return _import(spark, folder, name, 1994, 1997).years.select("year", "status", "records")
+
+
+@_register(
+    f"{_LOADED_SQL} SELECT import_year, count(*) AS record_count FROM l "
+    "WHERE import_year = 1995 GROUP BY import_year"
+)
+def clear_imported_year(spark: SparkSession, folder: str) -> DataFrame:
+    name = _new_table(spark)
+    _import(spark, folder, name, 1995, 1996)
+    rearrange_year(spark, name, 1995)
+    clear_year(spark, name, 1996)
+    return import_status(spark.table(name)).select("import_year", "record_count")
+
+
+@_register(
+    f"{_LOADED_SQL} SELECT id_mutation, numero_disposition, id_parcelle, lot1_numero, "
+    "count(*) AS rows FROM l GROUP BY id_mutation, numero_disposition, id_parcelle, lot1_numero"
+)
+def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    name = _new_table(spark)
+    create_table(spark, name)
+    landing = _landed_files(spark, folder)
+    # A second start on the same checkpoint finds every file taken and adds nothing.
+    checkpoint = scratch_path(spark, "stream")
+    for _ in range(2):
+        ingest_stream(spark, landing, name, checkpoint).awaitTermination()
+    key = ("id_mutation", "numero_disposition", "id_parcelle", "lot1_numero")
+    return spark.table(name).groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from landprice.session import materialised
 from landprice.sources.register_csv import (
+    YEAR_FILE,
     accepted,
     read_register,
     reject_report,
@@ -25,7 +26,9 @@ from landprice.sources.table import create_table, has_year, insert_new, year_cou
 CONCURRENT_YEARS = 8
 
 SUCCESS, ALREADY_IMPORTED, FAILED = "success", "already_imported", "failed"
-_RESULT = "year int, status string, records bigint, inserted bigint, time_seconds double, error string"
+_RESULT = (
+    "year int, status string, records bigint, inserted bigint, time_seconds double, error string"
+)
 _OUTCOMES = "year int, outcome string, rows bigint"
 
 
@@ -61,7 +64,12 @@ def import_files(spark: SparkSession, name: str, year: int, paths: Sequence[str]
 
 
 def import_years(
-    spark: SparkSession, name: str, template: str, start_year: int, end_year: int
+    spark: SparkSession,
+    name: str,
+    template: str,
+    start_year: int,
+    end_year: int,
+    file_name: str = YEAR_FILE,
 ) -> ImportResult:
     """Import an inclusive year range of ``template.format(year=…)`` folders.
 
@@ -75,7 +83,7 @@ def import_years(
 
     def stage(year: int) -> tuple[DataFrame, float]:
         started = time.monotonic()
-        staged = stage_files(spark, [year_path(template, year)])
+        staged = stage_files(spark, [year_path(template, year, file_name)])
         return staged, time.monotonic() - started
 
     results, outcomes = [], []

@@ -27,8 +27,9 @@ POSITION = ("_file", "_block", "_line")
 REJECT_COLUMNS = ("reject_reason", "raw_line")
 
 
-def year_path(template: str, year: int) -> str:
-    return f"{template.format(year=year)}/{YEAR_FILE}"
+def year_path(template: str, year: int, file_name: str = YEAR_FILE) -> str:
+    """The file, or folder of files, that holds one year."""
+    return f"{template.format(year=year)}/{file_name}".rstrip("/")
 
 
 def text_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -56,8 +57,8 @@ def parse_header(line: str) -> list[str]:
 
 
 def read_header(spark: SparkSession, path: str) -> str:
-    """First line of the first file of a group."""
-    first = spark.read.option("lineSep", "\n").text(path).first()
+    """First line of a file of the group, read from a block that starts its file."""
+    first = text_lines(spark, [path]).filter(F.col("_block") == 0).first()
     if first is None:
         raise ValueError(f"empty file: {path}")
     return first.value.strip()
@@ -167,5 +168,5 @@ def tagged(rows: DataFrame, year: Column) -> DataFrame:
 
 
 def year_of_path(path: Column) -> Column:
-    """The four-digit folder a landed file lies in."""
-    return F.regexp_extract(path, r"/([0-9]{4})/[^/]*$", 1).try_cast("short")
+    """The year folder a landed file lies in, ``2024`` or ``import_year=2024``."""
+    return F.regexp_extract(path, r"/(?:import_year=)?([0-9]{4})/[^/]*$", 1).try_cast("short")

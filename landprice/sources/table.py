@@ -86,10 +86,14 @@ def clear_year(spark: SparkSession, name: str, year: int) -> int:
     """
     removed = year_count(spark, name, year)
     if removed:
-        data = ", ".join(f"`{column}`" for column in TABLE_SCHEMA.names if column != "import_year")
+        nothing = ", ".join(
+            f"CAST(NULL AS {field.dataType.simpleString()})"
+            for field in TABLE_SCHEMA
+            if field.name != "import_year"
+        )
         spark.sql(
             f"INSERT OVERWRITE TABLE {name} PARTITION (import_year = {int(year)}) "
-            f"SELECT {data} FROM {name} WHERE false"
+            f"SELECT {nothing} FROM range(0)"
         )
     spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (import_year = {int(year)})")
     spark.catalog.refreshTable(name)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
@@ -25,7 +26,7 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def sf_dir():
-    return "/root/testdata/sf0.001"
+    return os.environ.get("LANDPRICE_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture
