@@ -609,7 +609,7 @@ _LOADED_SQL = (
 )
 
 
-def _landed_files(spark: SparkSession, folder: str) -> str:
+def landed_files(spark: SparkSession, folder: str) -> str:
     """The sales as gzipped register files, one folder of ordered files per year."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _landed:
@@ -625,14 +625,14 @@ def _landed_files(spark: SparkSession, folder: str) -> str:
     return _landed[key]
 
 
-def _new_table(spark: SparkSession) -> str:
+def new_table(spark: SparkSession) -> str:
     database = f"landprice_{uuid.uuid4().hex}"
     spark.sql(f"CREATE DATABASE {database} LOCATION '{scratch_path(spark, 'tables')}'")
     return f"{database}.sales"
 
 
 def _import(spark: SparkSession, folder: str, name: str, start: int, end: int):
-    template = _landed_files(spark, folder) + "/import_year={year}"
+    template = landed_files(spark, folder) + "/import_year={year}"
     return import_years(spark, name, template, start, end, file_name="")
 
 
@@ -642,7 +642,7 @@ def _import(spark: SparkSession, folder: str, name: str, start: int, end: int):
     "CAST(CAST(surface_reelle_bati AS DECIMAL(12,2)) AS DOUBLE) AS surface_reelle_bati FROM l"
 )
 def ingest_csv(spark: SparkSession, folder: str) -> DataFrame:
-    name = _new_table(spark)
+    name = new_table(spark)
     _import(spark, folder, name, 1995, 2001)
     numbers = ("valeur_fonciere", "surface_reelle_bati")
     return spark.table(name).select(
@@ -657,7 +657,7 @@ def ingest_csv(spark: SparkSession, folder: str) -> DataFrame:
     "UNION ALL SELECT 1994, 'failed', NULL"
 )
 def skip_imported_year(spark: SparkSession, folder: str) -> DataFrame:
-    name = _new_table(spark)
+    name = new_table(spark)
     _import(spark, folder, name, 1996, 1996)
     return _import(spark, folder, name, 1994, 1997).years.select("year", "status", "records")
 
@@ -667,7 +667,7 @@ def skip_imported_year(spark: SparkSession, folder: str) -> DataFrame:
     "WHERE import_year = 1995 GROUP BY import_year"
 )
 def clear_imported_year(spark: SparkSession, folder: str) -> DataFrame:
-    name = _new_table(spark)
+    name = new_table(spark)
     _import(spark, folder, name, 1995, 1996)
     rearrange_year(spark, name, 1995)
     clear_year(spark, name, 1996)
@@ -679,9 +679,9 @@ def clear_imported_year(spark: SparkSession, folder: str) -> DataFrame:
     "count(*) AS rows FROM l GROUP BY id_mutation, numero_disposition, id_parcelle, lot1_numero"
 )
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    name = _new_table(spark)
+    name = new_table(spark)
     create_table(spark, name)
-    landing = _landed_files(spark, folder)
+    landing = landed_files(spark, folder)
     # A second start on the same checkpoint finds every file taken and adds nothing.
     checkpoint = scratch_path(spark, "stream")
     for _ in range(2):

@@ -45,8 +45,12 @@ def french_date(value: Column) -> Column:
 
 
 def street_number(value: Column) -> Column:
-    """Trimmed; blank means absent."""
-    return F.nullif(F.trim(value), F.lit(""))
+    """Trimmed; blank means absent.
+
+    ``nullif`` would plan its argument as a projection of its own, and a second projection
+    above a limit keeps Spark from planning sort and limit as one top-n operator.
+    """
+    return F.when(F.trim(value) != F.lit(""), F.trim(value))
 
 
 def full_address(number: Column, street: Column) -> Column:

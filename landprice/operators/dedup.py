@@ -24,8 +24,19 @@ def _first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
-def _absent(df: DataFrame, existing: DataFrame, key: Sequence[str]) -> DataFrame:
-    keys = existing.select(*key).filter(complete_key(key))
+def _absent(
+    df: DataFrame, existing: DataFrame, key: Sequence[str], source: DataFrame
+) -> DataFrame:
+    # Only existing keys between the smallest and largest first key part of the batch can
+    # conflict. The bounds are scalar subqueries that reach the Parquet scan, so files whose
+    # ids lie elsewhere (ids usually start with the year) are skipped, not shuffled. They are
+    # written in two ways on purpose: Spark fuses alike subqueries into one struct, whose
+    # fields it does not push down.
+    lead = key[0]
+    lowest = source.agg(F.min(lead)).scalar()
+    highest = source.select(lead).orderBy(F.col(lead).desc()).limit(1).scalar()
+    near = F.col(lead).between(lowest, highest)
+    keys = existing.select(*key).filter(complete_key(key) & near)
     return df.join(keys, list(key), "left_anti")
 
 
@@ -47,7 +58,8 @@ def insert_if_absent(
 ) -> DataFrame:
     """Rows whose key is not in ``existing``; a null key part never conflicts."""
     complete = complete_key(key)
-    fresh = _absent(df.filter(complete), existing, key)
+    keyed = df.filter(complete)
+    fresh = _absent(keyed, existing, key, keyed)
     return df.filter(~complete).unionByName(fresh.select(*df.columns))
 
 
@@ -56,6 +68,6 @@ def new_rows(
 ) -> DataFrame:
     """``keep_first`` then ``insert_if_absent``; the anti join reuses the window's shuffle."""
     complete = complete_key(key)
-    first = _first_per_key(batch.filter(complete), key, order)
-    fresh = _absent(first, existing, key)
+    keyed = batch.filter(complete)
+    fresh = _absent(_first_per_key(keyed, key, order), existing, key, keyed)
     return batch.filter(~complete).unionByName(fresh.select(*batch.columns))

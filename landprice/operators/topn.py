@@ -56,7 +56,10 @@ def recent_rows(df: DataFrame, limit: int | None) -> DataFrame:
         .filter(F.col("newer") < limit)
     )
     last_cell = needed_cells.agg(F.min("cell").alias("cell"))
-    last_day = last_cell.select(
+    # Not written as an aggregate: Spark fuses alike subqueries into one struct, whose
+    # fields it does not push down.
+    lowest_needed = needed_cells.select("cell").orderBy("cell").limit(1)
+    last_day = lowest_needed.select(
         F.date_from_unix_date(F.floor(F.col("cell") / F.lit(_BANDS)).cast("int"))
     )
     recent = df.filter(F.col("date_mutation") >= last_day.scalar())

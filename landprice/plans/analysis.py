@@ -17,6 +17,7 @@ from landprice.operators.filters import apply_analysis_filters, garage_filter, p
 from landprice.operators.outliers import MEDIAN
 from landprice.operators.quantiles import distribution
 from landprice.schema import FLAT
+from landprice.session import materialised
 
 GLOBAL = "global"
 
@@ -34,6 +35,22 @@ def _statistics() -> list[Column]:
     ]
 
 
+def _selected(
+    df: DataFrame,
+    parcelles: Sequence[str] | None,
+    type_local: str | None,
+    min_m2: float | None,
+    max_m2: float | None,
+    garage: str,
+) -> DataFrame:
+    """The columns an analysis reads. A garage join is run once, not in each of its passes."""
+    filtered = apply_analysis_filters(df, parcelles, type_local, min_m2, max_m2)
+    rows = garage_filter(filtered, df, garage).select(
+        "id_parcelle", "valeur_fonciere", "surface_reelle_bati"
+    )
+    return rows if garage == "tous" else materialised(rows, "garage")
+
+
 def count_transactions(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("nombre_transactions"))
 
@@ -47,8 +64,7 @@ def analyse_prices(
     garage: str = "tous",
 ) -> DataFrame:
     """One row of means and medians; on no rows the count is 0 and the rest null."""
-    rows = apply_analysis_filters(df, parcelles, type_local, min_m2, max_m2)
-    rows = garage_filter(rows, df, garage)
+    rows = _selected(df, parcelles, type_local, min_m2, max_m2, garage)
     summary = distribution(rows, _measures(), [MEDIAN])
     return summary.select(F.col("rows").alias("nombre_transactions"), *_statistics())
 
@@ -68,8 +84,7 @@ def analyse_by_parcel(
     from the same passes over the data.
     """
     requested = list(dict.fromkeys(parcelles))
-    rows = apply_analysis_filters(df, requested, type_local, min_m2, max_m2)
-    rows = garage_filter(rows, df, garage)
+    rows = _selected(df, requested, type_local, min_m2, max_m2, garage)
     levels = [F.struct(F.lit(0).alias("niveau"), F.lit(None).cast("string").alias("parcelle"))]
     if requested:
         levels.append(F.struct(F.lit(1).alias("niveau"), F.col("id_parcelle").alias("parcelle")))

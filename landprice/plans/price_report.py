@@ -91,6 +91,9 @@ def price_report(
 ) -> PriceReport:
     """Statistics run on the ``limit`` most recent rows; None takes the whole population."""
     sales = filtered_sales(df, filters, garage)
+    if garage != "tous" and not fits_one_task(limit):
+        # Several passes follow; the garage join should run in one of them only.
+        sales = materialised(sales, "garage")
     recent = recent_rows(sales, limit)
     if limit is not None and not fits_one_task(limit):
         recent = materialised(recent, "recent")

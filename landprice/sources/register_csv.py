@@ -136,7 +136,9 @@ def clean_records(raw: DataFrame) -> DataFrame:
 def read_register(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Cleaned rows and rejects of one group of files that share a header."""
     header = read_header(spark, paths[0])
-    lines = spread(numbered(text_lines(spark, paths)))
+    lines = numbered(text_lines(spark, paths))
+    if any(path.endswith(".gz") for path in paths):
+        lines = spread(lines)
     return clean_records(raw_records(lines, header))
 
 
