@@ -23,7 +23,7 @@ from landprice.plans.analysis import (
     mean_price_m2,
 )
 from landprice.plans.imports import import_years
-from landprice.plans.price_report import filtered_sales, outlier_report, price_report
+from landprice.plans.price_report import as_json, filtered_sales, outlier_report, price_report
 from landprice.plans.trends import daily_prices, mean_surface, surface_histogram
 from landprice.schema import DATA_SCHEMA, DEFAULT_LIMIT
 from landprice.session import scratch_path
@@ -110,6 +110,13 @@ _TRANSACTIONS = (
     "THEN concat(trim(adresse_numero), ' ', adresse_nom_voie) END AS adresse_complete, "
     "nom_commune AS commune FROM s"
 )
+_JSON = (
+    "SELECT concat('{\"date\":\"', date, '\",\"prix\":', prix, ',\"surface\":', surface, "
+    "',\"prix_m2\":', prix_m2, ',\"code_postal\":\"', code_postal, '\",\"adresse\":\"', adresse, "
+    "'\"', CASE WHEN numero IS NULL THEN '' ELSE concat(',\"numero\":\"', numero, "
+    "'\",\"adresse_complete\":\"', adresse_complete, '\"') END, ',\"commune\":\"', commune, '\"}') "
+    "AS json FROM t"
+)
 _TWO_YEARS = (
     " AND date_mutation >= DATE '1996-01-01' AND date_mutation < DATE '1998-01-01'"
 )
@@ -125,6 +132,11 @@ def price_report_transactions(spark: SparkSession, folder: str) -> DataFrame:
     return price_report(sales_view(spark, folder)).transactions
 
 
+@_register(f"{_population_sql()}, t AS ({_TRANSACTIONS}) {_JSON}")
+def price_report_json(spark: SparkSession, folder: str) -> DataFrame:
+    return as_json(price_report(sales_view(spark, folder)).transactions)
+
+
 @_register(_summary_sql(_TWO_YEARS, 5000))
 def price_report_two_years(spark: SparkSession, folder: str) -> DataFrame:
     filters = Filters(years=["1996", " 1997 ", "x"])

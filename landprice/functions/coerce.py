@@ -27,10 +27,8 @@ def null_tokens(value: Column) -> Column:
 
 
 def to_date(value: Column) -> Column:
-    """ISO dates only; anything else is null."""
-    return F.when(
-        value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(value, "yyyy-MM-dd")
-    )
+    """ISO dates only; anything else is null (a bare cast would take ``2024`` for a date)."""
+    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), value.try_cast("date"))
 
 
 def to_number(value: Column) -> Column:

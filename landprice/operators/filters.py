@@ -138,7 +138,9 @@ def garage_filter(rows: DataFrame, unfiltered: DataFrame, option: str = "tous")
 
     The outbuildings come from the unfiltered data: they have no built surface, so the
     report filters would remove them all. Their ids are made distinct before the join,
-    so a sale with many outbuildings is one row on that side.
+    so a sale with many outbuildings is one row on that side. The distinct also groups by
+    a hash of the id: its shuffle is then not the one the join needs, the join gets its
+    own on both sides, and adaptive execution can split a sale with very many rows.
     """
     if option not in GARAGE_OPTIONS:
         raise ValueError(f"garage option must be one of {GARAGE_OPTIONS}, not {option!r}")
@@ -146,8 +148,9 @@ def garage_filter(rows: DataFrame, unfiltered: DataFrame, option: str = "tous")
         return rows
     with_garage = (
         unfiltered.filter(F.col("type_local") == F.lit(OUTBUILDING))
-        .select("id_mutation")
+        .select("id_mutation", F.xxhash64("id_mutation").alias("_hash"))
         .distinct()
+        .select("id_mutation")
     )
     return rows.join(with_garage, "id_mutation", "left_semi" if option == "avec" else "left_anti")
 
@@ -156,6 +159,11 @@ def postal_prefix(df: DataFrame, prefix: str) -> DataFrame:
     return df.filter(F.col("code_postal").startswith(prefix))
 
 
+def usable_postal_codes(values: Iterable[str]) -> list[str]:
+    """Well-formed postal codes of a parameter list, each once."""
+    return [value for value in dict.fromkeys(values) if re.fullmatch(r"[0-9]{5}", value)]
+
+
 def is_postal_code(column: str = "code_postal") -> Column:
     return F.col(column).rlike("^[0-9]{5}$")
 

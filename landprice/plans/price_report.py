@@ -83,6 +83,11 @@ def sale_records(rows: DataFrame) -> DataFrame:
     )
 
 
+def as_json(records: DataFrame) -> DataFrame:
+    """One JSON object per record; absent fields are left out."""
+    return records.select(F.to_json(F.struct("*")).alias("json"))
+
+
 def price_report(
     df: DataFrame,
     filters: Filters = Filters(),

@@ -13,8 +13,7 @@ from landprice.schema import FLAT, HOUSE, TABLE_CANDIDATES, TABLE_SCHEMA
 from landprice.session import materialised
 from landprice.sources.register_csv import POSITION
 
-# Clustering inside a year: type and place lookups skip row groups by their min and max,
-# and the trailing columns give the range partitioner split points inside a hot postal code.
+# Clustering inside a year: type and place lookups skip row groups by their min and max.
 LAYOUT = ("type_local", "code_postal", "date_mutation", "id_parcelle", "id_mutation")
 
 
@@ -44,13 +43,16 @@ def arranged(rows: DataFrame) -> DataFrame:
     """Range-partitioned and sorted, so that lookups read few row groups.
 
     The number of files follows the data: no count is given, so adaptive execution merges
-    small ranges.
+    small ranges. Line positions, where present, end the range key, so that any number of
+    rows of one place or sale can be cut into several ranges.
     """
-    return rows.repartitionByRange(*[F.col(name) for name in LAYOUT]).sortWithinPartitions(*LAYOUT)
+    key = [*LAYOUT, *[name for name in POSITION if name in rows.columns]]
+    ranged = rows.repartitionByRange(*[F.col(name) for name in key])
+    return ranged.sortWithinPartitions(*LAYOUT)
 
 
 def append_rows(rows: DataFrame, name: str) -> None:
-    arranged(rows.select(*TABLE_SCHEMA.names)).write.insertInto(name)
+    arranged(rows).select(*TABLE_SCHEMA.names).write.insertInto(name)
 
 
 def insert_new(batch: DataFrame, name: str, year: int) -> int:
@@ -177,7 +179,9 @@ def refresh_statistics(spark: SparkSession, name: str) -> None:
 def rearrange_year(spark: SparkSession, name: str, year: int) -> None:
     """Rewrite one year in lookup order, merging the files of many small loads."""
     rows = spark.table(name).filter(F.col("import_year") == F.lit(year).cast("short"))
-    staged = materialised(rows, "rearrange")
+    staged = materialised(rows, "rearrange").withColumn(
+        POSITION[-1], F.monotonically_increasing_id()
+    )
     data = [column for column in TABLE_SCHEMA.names if column != "import_year"]
     arranged(staged).select(*data).createOrReplaceTempView("_rearranged_year")
     spark.sql(

@@ -17,6 +17,7 @@ from landprice.operators.filters import (
     garage_filter,
     keep_listed,
     usable_number,
+    usable_postal_codes,
     usable_price,
     usable_values,
     usable_years,
@@ -35,6 +36,7 @@ PROBABILITIES = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
 def test_parameter_cleaning():
     assert usable_years([2023, " 2024 ", "x", "20 24", "", "-1"]) == [2023, 2024]
+    assert usable_postal_codes(["75001", "7500", "75001", "7500a", "13001"]) == ["75001", "13001"]
     assert usable_values([" a ", "", "b'c", "a", "d"]) == ["a", "d"]
     assert [usable_number(v) for v in ("12.5", "wide", None, "nan")] == [
         Decimal("12.5"),
