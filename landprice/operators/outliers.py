@@ -20,6 +20,7 @@ from landprice.operators.topn import fits_one_task
 LOW_DECILE, LOW_QUARTILE, HIGH_QUARTILE, HIGH_DECILE = 0.1, 0.25, 0.75, 0.9
 IQR_FACTOR = 1.5
 MEDIAN = 0.5
+_PROBABILITIES = (LOW_DECILE, LOW_QUARTILE, HIGH_QUARTILE, HIGH_DECILE)
 
 _PRICE = "valeur_fonciere"
 _PRICE_M2 = "prix_m2"
@@ -38,23 +39,30 @@ def within(lower: Column, upper: Column) -> Column:
     return F.col(_PRICE).between(lower, upper)
 
 
-def with_bounds(rows: DataFrame, limit: int | None) -> DataFrame:
-    """Adds the price quantiles ``q`` and the bounds ``lower``/``upper`` to every row.
-
-    For a population too large for one task the quantiles are computed at once and enter
-    the plan as literals.
-    """
-    probabilities = [LOW_DECILE, LOW_QUARTILE, HIGH_QUARTILE, HIGH_DECILE]
-    if fits_one_task(limit):
-        wanted = F.array(*[F.lit(p) for p in probabilities])
-        quantiles = F.percentile(_PRICE, wanted).over(W.partitionBy())
-    else:
-        whole = distribution(rows, {"price": F.col(_PRICE)}, probabilities).first()
-        found = whole.price.q if whole.price else [None] * len(probabilities)
-        quantiles = F.array(*[F.lit(q).cast("double") for q in found])
+def _bounded(rows: DataFrame, quantiles: Column) -> DataFrame:
     with_q = rows.withColumn("q", quantiles)
     lower, upper = iqr_bounds(F.col("q")[1], F.col("q")[2])
-    return with_q.withColumn("lower", lower).withColumn("upper", upper)
+    return with_q.withColumns({"lower": lower, "upper": upper})
+
+
+def _bounded_by_one_task(rows: DataFrame) -> DataFrame:
+    wanted = F.array(*[F.lit(p) for p in _PROBABILITIES])
+    return _bounded(rows, F.percentile(_PRICE, wanted).over(W.partitionBy()))
+
+
+def _bounded_at_scale(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Quantiles are computed at once and enter the plan as literals; also the row count."""
+    whole = distribution(rows, {"price": F.col(_PRICE)}, _PROBABILITIES).first()
+    found = whole.price.q if whole.price else [None] * len(_PROBABILITIES)
+    quantiles = F.array(*[F.lit(q).cast("double") for q in found])
+    return _bounded(rows, quantiles), whole.rows
+
+
+def with_bounds(rows: DataFrame, limit: int | None) -> DataFrame:
+    """Adds the price quantiles ``q`` and the bounds ``lower``/``upper`` to every row."""
+    if fits_one_task(limit):
+        return _bounded_by_one_task(rows)
+    return _bounded_at_scale(rows)[0]
 
 
 def kept_rows(bounded: DataFrame) -> DataFrame:
@@ -71,8 +79,8 @@ def trimmed_summary(rows: DataFrame, limit: int | None) -> DataFrame:
 
     Trimming looks at the price only; the price per square metre uses the same rows.
     """
-    bounded = with_bounds(rows, limit)
     if fits_one_task(limit):
+        bounded = _bounded_by_one_task(rows)
         inside = within(F.col("lower"), F.col("upper"))
         price, price_m2 = F.when(inside, F.col(_PRICE)), F.when(inside, F.col(_PRICE_M2))
         statistics = bounded.agg(
@@ -83,11 +91,11 @@ def trimmed_summary(rows: DataFrame, limit: int | None) -> DataFrame:
             F.percentile(price_m2, F.lit(MEDIAN)).alias("prix_m2_median"),
         )
     else:
-        total = rows.agg(F.count(F.lit(1)).alias("total"))
+        bounded, total = _bounded_at_scale(rows)
         statistics = distribution(
             kept_rows(bounded), {"price": F.col(_PRICE), "price_m2": F.col(_PRICE_M2)}, [MEDIAN]
         ).select(
-            total.scalar().alias("nombre_transactions"),
+            F.lit(total).cast("bigint").alias("nombre_transactions"),
             F.col("price.mean").alias("prix_moyen"),
             F.col("price.q")[0].alias("prix_median"),
             F.col("price_m2.mean").alias("prix_m2_moyen"),

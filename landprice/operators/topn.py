@@ -27,11 +27,11 @@ def recent_first(df: DataFrame) -> list[Column]:
 
 def _cell() -> Column:
     """Day and price band as one number that never decreases along (date, price)."""
-    price = F.col("valeur_fonciere").cast("double")
-    band = F.when(
-        price >= 0, F.floor(F.log2(price + F.lit(1.0)) * F.lit(_BANDS_PER_DOUBLING))
-    ).otherwise(F.lit(-1))
-    return F.unix_date("date_mutation").cast("bigint") * F.lit(_BANDS) + band + F.lit(1)
+    return F.expr(
+        f"CAST(unix_date(date_mutation) AS BIGINT) * {_BANDS} + CASE WHEN valeur_fonciere >= 0 "
+        f"THEN FLOOR(log2(CAST(valeur_fonciere AS DOUBLE) + 1) * {_BANDS_PER_DOUBLING}) + 1 "
+        "ELSE 0 END"
+    )
 
 
 def recent_rows(df: DataFrame, limit: int | None) -> DataFrame:

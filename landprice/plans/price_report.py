@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landprice.functions.prices import (
@@ -42,31 +43,40 @@ OPTIONAL = ("code_postal", "adresse_nom_voie", "nom_commune", "adresse_numero")
 
 @dataclass(frozen=True)
 class PriceReport:
+    """The reported sales and, planned on first use, their summary and output records."""
+
     rows: DataFrame
-    summary: DataFrame
-    transactions: DataFrame
+    recent: DataFrame
+    limit: int | None
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return trimmed_summary(self.rows, self.limit)
+
+    @cached_property
+    def transactions(self) -> DataFrame:
+        return sale_records(self.recent)
 
 
 def filtered_sales(df: DataFrame, filters: Filters, garage: str = "tous") -> DataFrame:
     """Filtered and projected sales as doubles, with the price per square metre."""
     rows = garage_filter(apply_report_filters(df, filters), df, garage)
-    shown = [name for name in (*NEEDED, *OPTIONAL, *KEY) if name in df.columns]
-    return (
-        rows.select(*dict.fromkeys(shown))
-        .withColumn("valeur_fonciere", price())
-        .withColumn("surface_reelle_bati", surface())
-        .withColumn(
-            "prix_m2",
-            price_per_m2_or_zero(F.col("valeur_fonciere"), F.col("surface_reelle_bati")),
-        )
+    present = set(df.columns)
+    doubles = {"valeur_fonciere": price(), "surface_reelle_bati": surface()}
+    shown = dict.fromkeys(name for name in (*NEEDED, *OPTIONAL, *KEY) if name in present)
+    return rows.select(
+        *[doubles[name].alias(name) if name in doubles else name for name in shown],
+        price_per_m2_or_zero(price(), surface()).alias("prix_m2"),
     )
 
 
 def sale_records(rows: DataFrame) -> DataFrame:
     """The output record of each sale; an absent optional field is null."""
 
-    def optional(name: str):
-        return F.col(name) if name in rows.columns else F.lit(None).cast("string")
+    present = set(rows.columns)
+
+    def optional(name: str) -> Column:
+        return F.col(name) if name in present else F.lit(None).cast("string")
 
     number = street_number(optional("adresse_numero"))
     street = optional("adresse_nom_voie")
@@ -103,12 +113,7 @@ def price_report(
     if limit is not None and not fits_one_task(limit):
         recent = materialised(recent, "recent")
     # Statistics need no order, so an unlimited population is not sorted for them.
-    population = sales if limit is None else recent
-    return PriceReport(
-        rows=population,
-        summary=trimmed_summary(population, limit),
-        transactions=sale_records(recent),
-    )
+    return PriceReport(rows=sales if limit is None else recent, recent=recent, limit=limit)
 
 
 @dataclass(frozen=True)
