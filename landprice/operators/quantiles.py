@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from landprice.session import materialised
+
 _COARSE = 1 << 14
 _FINE = 1 << 30
 # With at most this many groups the picked cells (two per probability, measure and group)
-# travel through the driver, which keeps the second pass a plain filter-and-count plan.
+# travel through the driver; with more they are written to the shared scratch folder.
 _LOCAL_GROUPS = 10_000
 
 
@@ -53,10 +55,9 @@ def distribution(
 
     Columns: the ``by`` columns, ``rows``, and per measure a struct with ``n``, ``mean``,
     ``low``, ``high`` and the array ``q`` of exact interpolated quantiles; nulls are
-    ignored as in any aggregate. ``most_groups`` is a proven upper bound on the number of
-    groups; when it is small, the first pass runs at once and the second is planned with
-    its few picked cells as a local relation of known size. Without a bound everything
-    stays one lazy plan.
+    ignored as in any aggregate. The first pass runs at once, so that the second is planned
+    with the picked cells as data of known size, which the planner broadcasts only if that
+    size allows it. ``most_groups`` is a proven upper bound on the number of groups.
     """
     by = list(by)
     keys = [*by, "measure"]
@@ -103,6 +104,8 @@ def distribution(
     picked = cells.filter(wanted | (F.col("n") == 0))
     if bound is not None and bound <= _LOCAL_GROUPS:
         picked = df.sparkSession.createDataFrame(picked.collect(), picked.schema)
+    else:
+        picked = materialised(picked, "cells")
 
     coarse_keys = [*keys, "coarse"]
     marks = picked.select(*coarse_keys)

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import csv
+import io
+import random
 from decimal import Decimal
 
 import pytest
@@ -168,3 +171,28 @@ def test_year_of_path(spark):
     frame = spark.createDataFrame([("file:/a/2023/full.csv.gz",), ("file:/a/b.csv",)], "p string")
     years = frame.select(year_of_path(F.col("p")).alias("y")).collect()
     assert [row.y for row in years] == [2023, None]
+
+
+def test_random_quoted_cells_survive(load):
+    rng = random.Random(17)
+    cells = ["".join(rng.choices("ab\",;' é\t\\#", k=rng.randrange(1, 9))) for _ in range(400)]
+    lines = []
+    for number, cell in enumerate(cells):
+        out = io.StringIO()
+        quoting = rng.choice([csv.QUOTE_MINIMAL, csv.QUOTE_ALL])
+        writer = csv.writer(out, lineterminator="", quoting=quoting)
+        writer.writerow(record(id_mutation=f"m{number}", adresse_nom_voie=cell))
+        lines.append(out.getvalue())
+    cleaned = load(lines)
+    found = {row.id_mutation: row.adresse_nom_voie for row in accepted(cleaned).collect()}
+    assert found == {f"m{number}": cell for number, cell in enumerate(cells)}
+
+
+def test_random_cuts_are_rejected_like_a_csv_reader_does(load):
+    rng = random.Random(19)
+    whole = line(nom_commune="A, B", adresse_nom_voie="C, D")
+    cut = [whole[: rng.randrange(1, len(whole))] for _ in range(150)]
+    expected = sum(len(next(csv.reader([text.strip()]))) == len(COLUMNS) for text in cut)
+    counts = outcomes(load(cut))
+    assert counts.get("accepted", 0) == expected
+    assert counts.get("fields", 0) == len(cut) - expected
