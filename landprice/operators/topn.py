@@ -49,12 +49,12 @@ def recent_rows(df: DataFrame, limit: int | None) -> DataFrame:
     if limit is None:
         return df.orderBy(*order)
     cells = df.groupBy(_cell().alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
+    cells = cells.filter(F.col("cell").isNotNull())
+    if fits_one_task(limit):
+        # No cell is empty, so the highest n cells hold at least n rows.
+        cells = cells.orderBy(F.col("cell").desc()).limit(limit)
     newer = F.sum("rows").over(W.orderBy(F.col("cell").desc())) - F.col("rows")
-    needed_cells = (
-        cells.filter(F.col("cell").isNotNull())
-        .select("cell", newer.alias("newer"))
-        .filter(F.col("newer") < limit)
-    )
+    needed_cells = cells.select("cell", newer.alias("newer")).filter(F.col("newer") < limit)
     last_cell = needed_cells.agg(F.min("cell").alias("cell"))
     # Not written as an aggregate: Spark fuses alike subqueries into one struct, whose
     # fields it does not push down.
