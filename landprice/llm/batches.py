@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+import landprice
 
 #: A slice holds about so many bytes of text, or one longer text.
 SLICE_BYTES = 4 << 20
@@ -37,5 +44,21 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x.decode("utf-8", "replace") for x in raw_texts(batch, column)]
 
 
-def columns(**named) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(named)
+def _ship(df: DataFrame) -> None:
+    """Send this package's code to the executors, once in a session."""
+    context = df.sparkSession.sparkContext
+    if getattr(context, "_landprice_shipped", False):
+        return
+    root = Path(landprice.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="landprice-code-")) / "landprice.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._landprice_shipped = True
+
+
+def map_batches(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` with a function of this package."""
+    _ship(df)
+    return df.mapInArrow(function, schema)

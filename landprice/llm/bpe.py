@@ -23,7 +23,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from landprice.llm.batches import raw_texts, sliced
+from landprice.llm.batches import map_batches, raw_texts, sliced
 
 #: Fixed value: the pattern that splits text into words before the merges.
 WORD_PATTERN = (
@@ -238,7 +238,7 @@ def encode(df: DataFrame, path: str, id_column: str = "doc_id", text: str = "tex
             )
 
     rows = df.select(df[id_column].cast("long").alias("id"), df[text].cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<int>, decoded string")
+    return map_batches(rows, run, "id long, ids array<int>, decoded string")
 
 
 def encoding_digests(
@@ -268,6 +268,6 @@ def encoding_digests(
             )
 
     rows = df.select(df[id_column].cast("long").alias("id"), df[text].cast("string").alias("text"))
-    return rows.mapInArrow(
-        run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_batches(
+        rows, run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     ).withColumnRenamed("id", "doc_id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from landprice.llm import bpe, simhash
+from landprice.llm import bpe, chunks, language, simhash
 
 
 def _tokenizer(name: str) -> str:
@@ -18,6 +19,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(number: int) -> Column:
+    """Whether a document belongs to one of five folds; false without an id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == number, F.lit(False))
+
+
+def op1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.compare_with_edited(_table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -26,6 +36,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash)}
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _fold(0))
+    model = language.learn(docs.filter(~F.col("held_out")), "lang", "text", "doc_id")
+    rows = docs.select("doc_id", "held_out", "text")
+    return language.predict(rows, model, keep_text=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_chunks, op2_bpe, op3_simhash, op4_language)}
 
 ORACLE_SQL: dict[str, str] = {}

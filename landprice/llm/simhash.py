@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from landprice.llm.batches import raw_texts, sliced
+from landprice.llm.batches import map_batches, raw_texts, sliced
 from landprice.llm.components import components
 from landprice.session import materialised
 
@@ -168,7 +168,7 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text: str = "text") -
             )
 
     rows = df.select(df[id_column].cast("long").alias("id"), df[text].cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return map_batches(rows, run, "id long, fp long")
 
 
 def _masks(open_bits: list[int]) -> list[tuple[int, list[int]]]:
@@ -230,7 +230,7 @@ def buckets(distinct: DataFrame) -> list[DataFrame]:
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of sorted bucket rows; a bucket may go on in the next batch."""
     kept = [np.empty(0, np.int64)] * 3
-    for batch in [*([] if batches is None else batches), None]:
+    for batch in chain(batches, [None]):
         if batch is None:
             full, kept = kept, None
         else:
@@ -259,18 +259,16 @@ def links(distinct: DataFrame) -> DataFrame:
     spark = distinct.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = [
-        table.repartition(parts, "tag", "bits")
-        .sortWithinPartitions("tag", "bits", "fp")
-        .mapInArrow(_streamed_links, "a long, b long")
+        map_batches(
+            table.repartition(parts, "tag", "bits").sortWithinPartitions("tag", "bits", "fp"),
+            _bucket_links,
+            "a long, b long",
+        )
         for table in buckets(distinct)
     ]
     return reduce(DataFrame.union, found).distinct()
 
 
-def _streamed_links(batches):
-    yield from _bucket_links(batches)
-
-
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` and ``component_id`` of each row."""
     rows = materialised(fingerprints(df, id_column, text), "fingerprints")
