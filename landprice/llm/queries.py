@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landprice.llm import bpe, chunks, language, simhash
+from landprice.llm import bpe, chunks, language, lattice, simhash
 
 
 def _tokenizer(name: str) -> str:
@@ -43,6 +43,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model, keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_chunks, op2_bpe, op3_simhash, op4_language)}
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _fold(1))
+    return lattice.score_texts(docs, _tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chunks, op2_bpe, op3_simhash, op4_language, op8_lattice)}
 
 ORACLE_SQL: dict[str, str] = {}
