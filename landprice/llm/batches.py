@@ -44,7 +44,7 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x.decode("utf-8", "replace") for x in raw_texts(batch, column)]
 
 
-def _ship(df: DataFrame) -> None:
+def ship(df: DataFrame) -> None:
     """Send this package's code to the executors, once in a session."""
     context = df.sparkSession.sparkContext
     if getattr(context, "_landprice_shipped", False):
@@ -60,5 +60,5 @@ def _ship(df: DataFrame) -> None:
 
 def map_batches(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
     """``mapInArrow`` with a function of this package."""
-    _ship(df)
+    ship(df)
     return df.mapInArrow(function, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landprice.llm import bpe, chunks, language, lattice, simhash
+from landprice.llm import bpe, chunks, language, lattice, simhash, topk
 
 
 def _tokenizer(name: str) -> str:
@@ -48,6 +48,30 @@ def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_texts(docs, _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chunks, op2_bpe, op3_simhash, op4_language, op8_lattice)}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.nearest(vectors, F.col("vec_id") % 50 == 0, "vec_id", "embedding")
 
-ORACLE_SQL: dict[str, str] = {}
+
+_TOPK_SQL = """
+WITH vectors AS (
+    SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_chunks, op2_bpe, op3_simhash, op4_language, op8_lattice, op10_topk)}
+
+ORACLE_SQL: dict[str, str] = {"op10_topk": _TOPK_SQL}
