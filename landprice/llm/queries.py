@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landprice.llm import bpe, chunks, language, lattice, simhash, topk
+from landprice.llm import bpe, chunks, language, lattice, simhash, topk, urls
 
 
 def _tokenizer(name: str) -> str:
@@ -43,6 +43,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model, keep_text=False)
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", _fold(1))
     return lattice.score_texts(docs, _tokenizer("piece_bpe_32k.model"))
@@ -72,6 +76,6 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_chunks, op2_bpe, op3_simhash, op4_language, op8_lattice, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_chunks, op2_bpe, op3_simhash, op4_language, op7_urls, op8_lattice, op10_topk)}
 
-ORACLE_SQL: dict[str, str] = {"op10_topk": _TOPK_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_urls": urls.oracle_sql(), "op10_topk": _TOPK_SQL}
