@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landprice.llm import bpe, chunks, language, lattice, simhash, topk, urls
+from landprice.llm import bpe, chunks, language, lattice, mixing, simhash, surrogates, topk, urls
 
 
 def _tokenizer(name: str) -> str:
@@ -43,6 +43,19 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model, keep_text=False)
 
 
+#: Stands for the secret that a user keeps; with another key all surrogates change.
+DEMO_KEY = b"key of the example queries"
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.with_surrogates(docs, DEMO_KEY, count="n_entities")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
@@ -76,6 +89,6 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_chunks, op2_bpe, op3_simhash, op4_language, op7_urls, op8_lattice, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_chunks, op2_bpe, op3_simhash, op4_language, op5_surrogates, op6_mixing, op7_urls, op8_lattice, op10_topk)}
 
-ORACLE_SQL: dict[str, str] = {"op7_urls": urls.oracle_sql(), "op10_topk": _TOPK_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql(), "op7_urls": urls.oracle_sql(), "op10_topk": _TOPK_SQL}
