@@ -266,10 +266,11 @@ def predictions(model: LanguageModel, batch: list[str]) -> tuple[list[str], list
 
 
 def predict(
-    df: DataFrame, model: LanguageModel, text: str = "text", keep_text: bool = True
+    df: DataFrame, model: LanguageModel, text: str = "text", keep_text: bool = True,
+    named: tuple[str, str] = ("lang_pred", "score"),
 ) -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``; columns of those names are replaced."""
-    df = df.drop("lang_pred", "score")
+    """``df`` with the language and its score; columns of those names are replaced."""
+    df = df.drop(*named)
     # Of bounded size: CELLS rows, at most MOST_LANGUAGES columns.
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = [x for x in df.columns if keep_text or x != text]
@@ -279,8 +280,8 @@ def predict(
             names, scores = predictions(shared.value, texts(batch, text))
             yield pa.RecordBatch.from_arrays(
                 [*map(batch.column, kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*kept, "lang_pred", "score"],
+                [*kept, *named],
             )
 
-    schema = df.select(kept).schema.add("lang_pred", "string").add("score", "double")
+    schema = df.select(kept).schema.add(named[0], "string").add(named[1], "double")
     return map_batches(df, run, schema)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landprice.llm import bpe, chunks, language, lattice, mixing, simhash, surrogates, topk, urls
+from landprice.llm import bpe, chunks, language, lattice, licences, mixing, simhash, surrogates, topk, urls
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     """Place of a public vocabulary file; other files are a parameter of the operators."""
     import public_tokenizers
 
@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _fold(number: int) -> Column:
+def fold(number: int) -> Column:
     """Whether a document belongs to one of five folds; false without an id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == number, F.lit(False))
 
@@ -29,7 +29,7 @@ def op1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encoding_digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return bpe.encoding_digests(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _fold(0))
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", fold(0))
     model = language.learn(docs.filter(~F.col("held_out")), "lang", "text", "doc_id")
     rows = docs.select("doc_id", "held_out", "text")
     return language.predict(rows, model, keep_text=False)
@@ -61,8 +61,12 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _fold(1))
-    return lattice.score_texts(docs, _tokenizer("piece_bpe_32k.model"))
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", fold(1))
+    return lattice.score_texts(docs, tokenizer("piece_bpe_32k.model"))
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +93,6 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_chunks, op2_bpe, op3_simhash, op4_language, op5_surrogates, op6_mixing, op7_urls, op8_lattice, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_chunks, op2_bpe, op3_simhash, op4_language, op5_surrogates, op6_mixing, op7_urls, op8_lattice, op9_licences, op10_topk)}
 
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql(), "op7_urls": urls.oracle_sql(), "op10_topk": _TOPK_SQL}

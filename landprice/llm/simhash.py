@@ -19,7 +19,7 @@ from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -158,17 +158,26 @@ def _join(root: np.ndarray, one: np.ndarray, other: np.ndarray) -> None:
 
 
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id`` and ``fp`` (the fingerprint's bits as a signed long) of each row."""
+    """``id``, ``text_key`` (a hash of the text) and ``fp`` (the fingerprint's bits as a signed
+    long) of each row."""
 
     def run(batches):
         for batch in sliced(batches, "text"):
             values = np.array([fingerprint(x) for x in raw_texts(batch, "text")], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(values.view(np.int64))], ["id", "fp"]
+                [*map(batch.column, ("id", "text_key")), pa.array(values.view(np.int64))],
+                ["id", "text_key", "fp"],
             )
 
-    rows = df.select(df[id_column].cast("long").alias("id"), df[text].cast("string").alias("text"))
-    return map_batches(rows, run, "id long, fp long")
+    rows = df.select(
+        df[id_column].cast("long").alias("id"), text_key(df[text]).alias("text_key"),
+        df[text].cast("string").alias("text"),
+    )
+    return map_batches(rows, run, "id long, text_key long, fp long")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
 
 
 def _masks(open_bits: list[int]) -> list[tuple[int, list[int]]]:
@@ -269,19 +278,44 @@ def links(distinct: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, found).distinct()
 
 
+def class_roots(rows: DataFrame) -> DataFrame:
+    """``fp`` and ``root``, its class, of the distinct fingerprints in ``rows``."""
+    distinct = materialised(rows.select("fp").distinct(), "distinct")
+    roots = components(materialised(links(distinct), "links"))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select(
+        "fp", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` and ``component_id`` of each row."""
     rows = materialised(fingerprints(df, id_column, text), "fingerprints")
-    distinct = materialised(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
-    roots = components(materialised(links(distinct), "links"))
-    classes = (
-        distinct.join(roots, distinct.fp == roots.node, "left")
-        .select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    )
-    firsts = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(firsts, "root").select("fp", "component_id")
+    firsts = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
+    classes = materialised(class_roots(rows).join(firsts, "fp"), "classes")
+    smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = classes.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
         F.col("id").alias("doc_id"),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``df`` of each class: of its smallest id, and of rows with that id one whose
+    text has the smallest hash. Nulls come last among ids."""
+    rows = materialised(fingerprints(df, id_column, text), "fingerprints")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best")
+    firsts = rows.groupBy("fp").agg(best)
+    kept = class_roots(rows).join(firsts, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    kept = materialised(kept.select(
+        F.coalesce("best.id", F.lit(0)).alias("_kept_id"), F.col("best.none").alias("_kept_none"),
+        F.col("best.text_key").alias("_kept_key"),
+    ), "kept")
+    own = (
+        F.coalesce(df[id_column].cast("long"), F.lit(0)), df[id_column].isNull(), text_key(df[text])
+    )
+    keys = {f"_own_{i}": x for i, x in enumerate(own)}
+    on = [F.col(x) == F.col(y) for x, y in zip(keys, kept.columns)]
+    # The texts are shuffled once; rows repeated as a whole meet in the join's own partition.
+    return df.withColumns(keys).join(kept, on, "left_semi").dropDuplicates([*keys]).drop(*keys)

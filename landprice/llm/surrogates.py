@@ -377,4 +377,4 @@ def with_surrogates(df: DataFrame, key: bytes, text: str = "text", count: str |
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = df.select(columns).schema
-    return map_batches(rows, run, schema.add(count, "int") if count else schema)
+    return map_batches(rows, run, schema.add(count, "integer") if count else schema)
