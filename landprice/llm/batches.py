@@ -44,6 +44,14 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x.decode("utf-8", "replace") for x in raw_texts(batch, column)]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has such a column."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship(df: DataFrame) -> None:
     """Send this package's code to the executors, once in a session."""
     context = df.sparkSession.sparkContext

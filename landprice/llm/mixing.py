@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landprice.llm.batches import free_name
 from landprice.session import materialised
 
 #: Share of all tokens to keep.
@@ -142,13 +143,11 @@ def sample(
     slim = _slim(df, text, topics, id_column)
     table = materialised(cells(slim), "cells")
     chances = fitted(table, flattened_targets(table), budget)
-    chances = materialised(
-        chances.select(*(F.col(x).alias(f"_mix_{x}") for x in DIMENSIONS), F.col("probability").alias("_mix_p")),
-        "chances",
-    )
+    names = {x: free_name(df, f"_mix_{x}") for x in (*DIMENSIONS, "probability")}
+    chances = materialised(chances.select(*(F.col(x).alias(n) for x, n in names.items())), "chances")
     keys = _keys(df, text, topics)
-    on = [keys[x] == chances[f"_mix_{x}"] for x in DIMENSIONS]
-    kept = df.join(chances, on).filter(draw_of(df[id_column]) < F.col("_mix_p"))
+    on = [keys[x] == chances[names[x]] for x in DIMENSIONS]
+    kept = df.join(chances, on).filter(draw_of(df[id_column]) < chances[names["probability"]])
     return kept.select(*(df[x] for x in df.columns))
 
 

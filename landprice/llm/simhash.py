@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from landprice.llm.batches import map_batches, raw_texts, sliced
+from landprice.llm.batches import free_name, map_batches, raw_texts, sliced
 from landprice.llm.components import components
 from landprice.session import materialised
 
@@ -308,14 +308,15 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best")
     firsts = rows.groupBy("fp").agg(best)
     kept = class_roots(rows).join(firsts, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    names = [free_name(df, f"_kept_{i}") for i in range(3)]
     kept = materialised(kept.select(
-        F.coalesce("best.id", F.lit(0)).alias("_kept_id"), F.col("best.none").alias("_kept_none"),
-        F.col("best.text_key").alias("_kept_key"),
+        F.coalesce("best.id", F.lit(0)).alias(names[0]), F.col("best.none").alias(names[1]),
+        F.col("best.text_key").alias(names[2]),
     ), "kept")
     own = (
         F.coalesce(df[id_column].cast("long"), F.lit(0)), df[id_column].isNull(), text_key(df[text])
     )
-    keys = {f"_own_{i}": x for i, x in enumerate(own)}
-    on = [F.col(x) == F.col(y) for x, y in zip(keys, kept.columns)]
+    keys = {free_name(df, f"_own_{i}"): x for i, x in enumerate(own)}
+    on = [F.col(x) == F.col(y) for x, y in zip(keys, names)]
     # The texts are shuffled once; rows repeated as a whole meet in the join's own partition.
     return df.withColumns(keys).join(kept, on, "left_semi").dropDuplicates([*keys]).drop(*keys)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landprice.llm.batches import map_batches, raw_texts, sliced
+from landprice.llm.batches import free_name, map_batches, raw_texts, sliced
 from landprice.session import materialised
 
 #: Redrawn surrogates up to this number are sent to all tasks; more are joined to their texts.
@@ -342,17 +342,15 @@ def with_surrogates(df: DataFrame, key: bytes, text: str = "text", count: str |
             table = named.toArrow().to_pydict()
             shared = spark.sparkContext.broadcast(dict(zip(table["entity"], table["made"])))
         else:
-            extra = "_redrawn"
-            while extra in columns:
-                extra += "_"
+            extra, own_key = free_name(df, "_redrawn"), free_name(df, "_text_key")
             occurring = map_batches(keyed, lambda x: _entity_rows(x, True), schema).distinct()
             maps = (
                 occurring.join(redrawn, ["kind", "entity"])
-                .groupBy("text_key")
+                .groupBy(F.col("text_key").alias(own_key))
                 .agg(F.map_from_entries(F.collect_list(
                     F.struct(F.concat_ws(":", "kind", "entity"), "made"))).alias(extra))
             )
-            rows = rows.join(maps, F.xxhash64(rows[text]) == maps["text_key"], "left").drop("text_key")
+            rows = rows.join(maps, F.xxhash64(rows[text]) == maps[own_key], "left").drop(own_key)
 
     place = columns.index(text)
 

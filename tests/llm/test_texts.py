@@ -1,0 +1,324 @@
+"""Row-wise operators: chunks, BPE, language, surrogates, licences."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from landprice.llm import bpe, chunks, language, licences, surrogates
+from landprice.llm.queries import DEMO_KEY, QUERIES, fold, tokenizer
+from tests.llm.conftest import LONG, ODD_TEXTS, documents
+
+PATH = tokenizer("byte_bpe_50k.json")
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# chunks
+
+
+def test_chunks_cover_the_text_and_cut_between_characters():
+    for text in ("", "a", "é" * 900, LONG, "漢字かな交じり文" * 60):
+        data = text.encode()
+        ends = chunks.chunk_ends(data)
+        parts = [data[a:b] for a, b in zip([0, *ends], ends)]
+        assert b"".join(parts) == data
+        for part in parts:
+            part.decode()
+            assert len(part) <= chunks.MOST
+
+
+def test_gear_hash_is_that_of_a_rolling_sum():
+    data = np.frombuffer(bytes(random.Random(1).randbytes(300)), np.uint8)
+    table, hashes, value = chunks.gear(), chunks.gear_hashes(data), 0
+    for i, b in enumerate(data):
+        value = ((value << 1) + int(table[b])) & 0xFFFFFFFF
+        assert int(hashes[i]) == value
+
+
+def test_chunks_of_segments_are_those_of_the_whole(monkeypatch):
+    data = "".join(random.Random(2).choices("abcé fgh", k=5000)).encode()
+    whole = chunks.chunk_ends(data)
+    monkeypatch.setattr(chunks, "_SEGMENT", 700)
+    assert chunks.chunk_ends(data) == whole
+
+
+def test_an_insertion_moves_few_chunks():
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(900))
+    edited = text[:2000] + "inserted here" + text[2000:]
+    near = chunks.containment(chunks.fingerprint(text.encode()), chunks.fingerprint(edited.encode()))
+    assert near > 0.9
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_edited_texts_follow_ascending_ids(spark, odd, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        rows = chunks.compare_with_edited(odd).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    texts = sorted(((1 << 63 if i is None else i), t or "") for i, t in ODD_TEXTS)
+    expected = Counter()
+    for n, (i, t) in enumerate(texts):
+        after = texts[(n + 1) % len(texts)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        expected[(None if i == 1 << 63 else i, len(t), sha(edited))] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in rows) == expected
+    by_text = {}
+    for r in rows:
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        by_text.setdefault((r.doc_id, r.n_chars), set()).add(r.fingerprint)
+    assert all(len(x) == 1 for k, x in by_text.items() if k[0] == 6)
+
+
+def test_next_document_at_scale_of_given_data(spark, sf_dir):
+    docs = sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    rows = {r.doc_id: r for r in QUERIES["op1_chunks"](spark, sf_dir).collect()}
+    assert len(rows) == len(docs)
+    for n, (i, t) in enumerate(docs):
+        other = docs[(n + 1) % len(docs)][1]
+        assert rows[i].edited_sha256 == sha(t[: len(t) - len(t) // 2] + other[: len(t) // 2])
+    long = [r for r in rows.values() if r.n_chars > 600]
+    assert np.mean([r.near_edited for r in long]) > 0.4 > 0.1 > np.mean([r.near_next for r in long])
+
+
+def test_chunk_rows_join_to_the_text(odd):
+    rows = chunks.document_chunks(odd.filter("doc_id = 7")).orderBy("start").collect()
+    assert rows[0].start == 0 and rows[-1].end == len(LONG.encode())
+    assert all(a.end == b.start for a, b in zip(rows, rows[1:]))
+
+
+# BPE
+
+
+def reference():
+    from tokenizers import Tokenizer
+
+    tokenizer_ = Tokenizer.from_file(PATH)
+    tokenizer_.no_truncation()
+    tokenizer_.no_padding()
+    return tokenizer_
+
+
+def test_bpe_is_that_of_the_library():
+    library, coder = reference(), bpe.encoder(open(PATH, "rb").read())
+    rng = random.Random(5)
+    pieces = ["a", "b", "é", " ", "  ", "\n", "\x1c", "\x85", "'s", "'ll", "the", "ing", "1", "²", "½",
+              "aaaa", "漢", "\U0001f600", "<|endoftext|>", "\u00a0", "\t", "\u0301", "\u200b", "_", "!"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(40))) for _ in range(1500)]
+    texts += ["a" * 4000, "ab" * 999, " " * 77, LONG, ""]
+    for text, ids in zip(texts, coder.encode_all(texts)):
+        assert ids == library.encode(text, add_special_tokens=False).ids
+        assert coder.vocabulary.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_shares_prefix_states():
+    vocabulary = bpe.encoder(open(PATH, "rb").read()).vocabulary
+    words = [b"inter", b"international", b"internationally", b"inter", b"x"]
+    out = vocabulary.encode_words(words)
+    assert set(out) == set(words)
+    assert all(b"".join(map(vocabulary.spelling.__getitem__, ids)) == w for w, ids in out.items())
+
+
+def test_bpe_query_on_given_data(spark, sf_dir):
+    library = reference()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op2_bpe"](spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = library.encode(docs[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == sha(",".join(map(str, ids)))
+        assert r.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
+
+
+def test_bpe_of_odd_rows(odd):
+    rows = bpe.encoding_digests(odd, PATH).collect()
+    assert len(rows) == len(ODD_TEXTS)
+    assert {(r.n_tokens, r.ids_sha256) for r in rows if r.doc_id in (1, 2)} == {(0, sha(""))}
+    decoded = {(r.id, r.decoded) for r in bpe.encode(odd, PATH).collect()}
+    assert decoded == {(i, t or "") for i, t in ODD_TEXTS}
+
+
+# language
+
+
+def test_language_held_out_accuracy(spark, sf_dir):
+    rows = QUERIES["op4_language"](spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    held = rows.filter("held_out").join(docs, "doc_id").filter("lang is not null").collect()
+    right = sum(r.lang == r.lang_pred for r in held)
+    assert right >= 0.95 * len(held) > 0
+    assert all(0 <= r.score <= 1 for r in rows.collect())
+
+
+def test_language_path_is_the_best_path():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        scores = rng.normal(0, 6, (rng.integers(1, 7), rng.integers(1, 4)))
+        best, value = None, -np.inf
+        for path in np.ndindex(*[scores.shape[1]] * len(scores)):
+            total = sum(scores[i, p] for i, p in enumerate(path))
+            total -= 5 * sum(a != b for a, b in zip(path, path[1:]))
+            if total > value:
+                best, value = path, total
+        path = language.path_of(scores, 5)
+        got = scores[np.arange(len(path)), path].sum() - 5 * (np.diff(path) != 0).sum()
+        assert got == pytest.approx(value)
+        assert best is not None
+
+
+def test_language_spans_of_mixed_text(spark):
+    german = "der die das und nicht sein haben werden ich auch schön weiß "
+    english = "the and that with have this from they would there which their "
+    docs = spark.createDataFrame(
+        [(i, german * 20, "de") for i in range(3)] + [(i + 3, english * 20, "en") for i in range(3)],
+        "doc_id long, text string, lang string",
+    )
+    model = language.learn(docs, "lang", "text", "doc_id")
+    mixed = spark.createDataFrame([(1, german * 3 + "123 " + english * 5)], "doc_id long, text string")
+    spans = language.label_spans(mixed, model, "doc_id", "text").orderBy("start").collect()
+    assert [s.lang for s in spans] == ["de", "en"]
+    assert mixed.first().text[spans[1].start :].startswith("the ")
+    assert language.predict(mixed, model).first().lang_pred == "en"
+
+
+def test_scripts_narrow_candidates(spark):
+    docs = spark.createDataFrame(
+        [(1, "привет мир как дела", "ru"), (2, "hello world how goes it", "en")],
+        "doc_id long, text string, lang string",
+    )
+    model = language.learn(docs, "lang", "text", "doc_id")
+    assert language.predictions(model, ["щщщ ъъъ", "qqq"])[0] == ["ru", "en"]
+    # A script that nobody taught says nothing.
+    names, scores = language.predictions(model, ["漢字"])
+    assert names == ["en"] and scores == [0.5]
+
+
+def test_language_of_odd_rows(odd, none):
+    model = language.learn(odd.filter(~fold(0)), "lang", "text", "doc_id")
+    rows = language.predict(odd, model).collect()
+    assert len(rows) == len(ODD_TEXTS)
+    assert {r.lang_pred for r in rows if r.doc_id in (1, 2, 3, 4, 10)} == {"und"}
+    assert language.predict(none, model).count() == 0
+    untaught = language.learn(none, "lang", "text", "doc_id")
+    assert {r.lang_pred for r in language.predict(odd, untaught).collect()} == {"und"}
+
+
+# surrogates
+
+
+def test_permutation_is_one_cycle():
+    for size in (2, 3, 5, 22, 100, 1000):
+        cycle, value, seen = surrogates.Permutation(b"k", "t", size), 0, set()
+        while value not in seen:
+            seen.add(value)
+            value = cycle.after(value)
+        assert len(seen) == size and value == 0
+
+
+TEXT = (
+    "Mail hein.19@mail5.example.com or JOHN.5@SITE.CO.UK, call +1 (743) 555-3824 or 10.0.0.1 / "
+    "70.23.22.57; card 4316522678525456 and 4316-5226-7852-5456, not 2123465659789241 or 999.1.1.1. "
+    'token = "f33e61083db5dbdf4bd2369d2f80176e57f7aaaa" 123-45-6789. Mr. John Smith, Mary Smith and '
+    "later Smith met Mme Curie. Мария Петрова."
+)
+
+
+def test_surrogates_keep_type_format_gender_and_script():
+    made, n = surrogates.replaced(TEXT, b"k", {})
+    before, after = surrogates.entities(TEXT), surrogates.entities(made)
+    assert n == len(before) == len(after)
+    images = {}
+    for (_, _, kind, a), (_, _, kind_, b) in zip(before, after):
+        assert kind == kind_ and a != b and a not in made.split()
+        assert images.setdefault((kind, surrogates._plain(kind, a)), surrogates._plain(kind, b)) == (
+            surrogates._plain(kind, b)
+        )
+        if kind == "given":
+            assert surrogates._NAMES[a] == surrogates._NAMES[b]
+    assert len(set(images.values())) == len(images)
+    assert "2123465659789241" in made and "999.1.1.1" in made and "@SITE" not in made
+    cards = [b for _, _, kind, b in after if kind == "card"]
+    assert cards[1].replace("-", "") == cards[0] and surrogates.passes_check(cards[0])
+    assert surrogates.replaced(TEXT, b"other", {})[0] != made
+    assert surrogates.replaced("Nothing to hide: 12.5 % of 1,000.", b"k", {})[1] == 0
+
+
+def test_phones_stay_distinct():
+    images = {surrogates.surrogate(b"k", "phone", f"+1743555{i:04d}") for i in range(3000)}
+    assert len(images) == 3000
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_colliding_surrogates_are_drawn_again(spark, monkeypatch, most):
+    # Two-letter names before a reserved domain: 105 strings, so images meet real entities.
+    monkeypatch.setattr(surrogates, "BROADCAST_ROWS", most)
+    real = [f"{c}{v}@example.com" for c in "bcdfgh" for v in "aeiou"]
+    docs = spark.createDataFrame(
+        [(i, f"write to {x} or {real[0]} now") for i, x in enumerate(real)], "doc_id long, text string"
+    ).withColumn("_text_key", F.lit(1))
+    assert {surrogates.surrogate(b"k", "email", x) for x in real} & set(real)
+    out = surrogates.with_surrogates(docs, b"k", count="n").orderBy("doc_id").collect()
+    made = [r.text.split()[2] for r in out]
+    assert len(set(made)) == len(real) and not set(made) & set(real)
+    assert {r.text.split()[4] for r in out} == {made[0]} and {r.n for r in out} == {2}
+    assert docs.columns == out[0].__fields__[:-1]
+
+
+def test_surrogates_of_odd_rows(odd, none):
+    out = surrogates.with_surrogates(odd, DEMO_KEY)
+    assert out.columns == odd.columns
+    before, after = Counter(odd.collect()), Counter(out.collect())
+    assert {r.doc_id for r in before - after} == {11} and sum(after.values()) == len(ODD_TEXTS)
+    assert surrogates.with_surrogates(none, DEMO_KEY).count() == 0
+
+
+# licences
+
+
+def brute_force(words, template, limit):
+    """Best coefficient of any passage of at least two words."""
+    own = Counter(zip(template, template[1:]))
+    best = 0.0
+    for a in range(len(words)):
+        for b in range(a + 2, len(words) + 1):
+            got = Counter(zip(words[a:b], words[a + 1 : b]))
+            best = max(best, 2 * (own & got).total() / (own.total() + got.total()))
+    return best if best >= limit else None
+
+
+def test_licences_are_those_of_all_passages():
+    rng = random.Random(6)
+    for _ in range(150):
+        template = rng.choices("abcde", k=rng.randrange(2, 9))
+        words = rng.choices("abcdef", k=rng.randrange(0, 16))
+        if rng.random() < 0.5:
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = template
+        scanner = licences.Scanner([("L", " ".join(template))], 0.8)
+        found = [m.dice for m in scanner.matches(" ".join(words))]
+        assert max(found, default=None) == brute_force(words, template, 0.8)
+
+
+def test_licence_rows(spark, odd, none):
+    text = "Intro here.\nreleased  under\nthe MIT-License and more. Licensed under CC BY-NC 4.0."
+    rows = licences.scan(documents(spark, [(1, text), (1, text), (2, None)])).collect()
+    assert Counter(r.licence for r in rows) == {"MIT": 2, "CC-BY-NC-4.0": 2}
+    assert {text[r.start : r.end] for r in rows if r.licence == "MIT"} == {"released  under\nthe MIT-License"}
+    assert licences.scan(odd).count() == 0 == licences.scan(none).count()
+
+
+@pytest.mark.parametrize("name", ["op1_chunks", "op2_bpe", "op4_language", "op5_surrogates", "op9_licences"])
+def test_empty_tables_have_the_same_columns(spark, sf_dir, tmp_path, name):
+    spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    empty = QUERIES[name](spark, str(tmp_path))
+    assert empty.collect() == [] and empty.columns
