@@ -36,13 +36,21 @@ def to_number(value: Column) -> Column:
     return value.try_cast(_WIDE_NUMBER)
 
 
+def is_number(value: Column) -> Column:
+    """Whether text is a finite number of any size."""
+    number = value.try_cast("double")
+    # Text too large for a double is infinite, but not by that name.
+    named = F.lower(F.trim(value)).rlike("^[+-]?(inf|nan)")
+    return number.isNotNull() & ~F.isnan(number) & ~named
+
+
 def in_range(number: Column, upper: int) -> Column:
     """Values outside 0..upper become null, the row stays."""
     return F.when(number.between(0, upper), number)
 
 
 def clean_value(name: str, value: Column) -> Column:
-    """One register column from its raw text; coordinates keep their wide type."""
+    """One register column from its raw text; coordinates stay text until they are stored."""
     text = null_tokens(value)
     if name == "date_mutation":
         return to_date(text)
@@ -51,7 +59,7 @@ def clean_value(name: str, value: Column) -> Column:
     if name in SURFACE_COLUMNS:
         return in_range(to_number(text), MAX_STORED_SURFACE).cast(PRICE)
     if name in COORDINATE_COLUMNS:
-        return to_number(text)
+        return F.when(is_number(text), text)
     return text
 
 
@@ -61,11 +69,11 @@ def storage_misfit(name: str) -> Column | None:
     if name in TEXT_LENGTHS:
         return F.char_length(value) > TEXT_LENGTHS[name]
     if name in COORDINATE_COLUMNS:
-        return value.isNotNull() & value.try_cast(COORDINATE).isNull()
+        return value.isNotNull() & to_number(value).try_cast(COORDINATE).isNull()
     return None
 
 
 def stored(name: str) -> Column:
     """The cleaned column in its storage type."""
     value = F.col(name)
-    return value.try_cast(COORDINATE).alias(name) if name in COORDINATE_COLUMNS else value
+    return to_number(value).try_cast(COORDINATE).alias(name) if name in COORDINATE_COLUMNS else value

@@ -8,17 +8,19 @@ from dataclasses import dataclass
 from datetime import date
 from decimal import Decimal
 from functools import reduce
-from math import isfinite
+from math import copysign, isnan
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landprice.schema import DEFAULT_MAX_PRICE, FLAT, OUTBUILDING
+from landprice.schema import DEFAULT_MAX_PRICE, FLAT, OUTBUILDING, PRICE
 
 GARAGE_OPTIONS = ("tous", "avec", "sans")
-# Longer value lists become a semi join instead of an IN list in the plan.
-MAX_IN_LIST = 1_000
+# No stored price or surface reaches this; bounds beyond it on either side mean the same.
+_BEYOND = Decimal(10) ** (PRICE.precision - PRICE.scale)
+# Places that a decimal literal has room for next to the whole part.
+_LITERAL_SCALE = 20
 
 
 @dataclass(frozen=True)
@@ -47,19 +49,31 @@ def usable_years(values: Iterable[str | int]) -> list[int]:
 
 
 def usable_number(value: float | str | None) -> Decimal | None:
-    """A finite number as a decimal literal, which the scan can compare without a cast."""
+    """A number as a decimal literal, which the scan can compare without a cast.
+
+    Numbers no stored value can reach, infinities included, become the nearest such bound.
+    """
     try:
         number = None if value is None else float(value)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, OverflowError):
         return None
-    return Decimal(repr(number)) if number is not None and isfinite(number) else None
+    if number is None or isnan(number):
+        return None
+    if abs(number) >= _BEYOND:
+        return _BEYOND.copy_sign(Decimal(int(copysign(1, number))))
+    exact = Decimal(repr(number))
+    return exact if exact.as_tuple().exponent >= -_LITERAL_SCALE else round(exact, _LITERAL_SCALE)
 
 
-def usable_price(value: int | str | None) -> int:
+def usable_price(value: int | str | None) -> Decimal:
+    """A whole upper bound; text that is no number means the default."""
     try:
-        return DEFAULT_MAX_PRICE if value is None else int(value)
+        bound = DEFAULT_MAX_PRICE if value is None else int(value)
     except (TypeError, ValueError):
-        return DEFAULT_MAX_PRICE
+        bound = DEFAULT_MAX_PRICE
+    except OverflowError:  # infinity
+        bound = int(_BEYOND) if value > 0 else -int(_BEYOND)
+    return min(max(Decimal(bound), -_BEYOND), _BEYOND)
 
 
 def in_years(years: Sequence[int], column: str = "date_mutation") -> Column:
@@ -76,7 +90,7 @@ def in_years(years: Sequence[int], column: str = "date_mutation") -> Column:
 
 def base_validity(max_price: int | str | None = DEFAULT_MAX_PRICE) -> Column:
     price = F.col("valeur_fonciere")
-    return (price > 0) & (price <= usable_price(max_price)) & (F.col("surface_reelle_bati") > 0)
+    return (price > 0) & (price <= F.lit(usable_price(max_price))) & (F.col("surface_reelle_bati") > 0)
 
 
 def surface_between(
@@ -93,13 +107,14 @@ def surface_between(
 
 
 def keep_listed(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    """Keep rows whose column is in a driver-side list; an empty list keeps everything."""
+    """Keep rows whose column is in a driver-side list; an empty list keeps everything.
+
+    A long list is one hash set in the filter, and its ends are pushed to the scan.
+    """
     if not values:
         return df
-    if len(values) <= MAX_IN_LIST:
-        return df.filter(F.col(column).isin(list(values)))
-    listed = df.sparkSession.createDataFrame([(value,) for value in values], f"{column} string")
-    return df.join(listed.distinct(), column, "left_semi")
+    listed = F.col(column).isin(list(values))
+    return df.filter(listed & F.col(column).between(min(values), max(values)))
 
 
 def apply_report_filters(df: DataFrame, filters: Filters) -> DataFrame:

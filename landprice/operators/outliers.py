@@ -1,7 +1,7 @@
 """Interquartile-range trimming and the summaries built on it.
 
-A population limited to a known number of rows is summarised in one pass over its single
-partition; an unlimited one goes through the distributed exact quantiles.
+A limited population takes the built-in exact percentiles, which keep at most its distinct
+prices; an unlimited one goes through the distributed exact quantiles.
 """
 
 from __future__ import annotations
@@ -10,11 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from landprice.functions.prices import truncated
 from landprice.operators.quantiles import distribution
-from landprice.operators.topn import fits_one_task
 
 # Quantiles and the trimming factor of the report.
 LOW_DECILE, LOW_QUARTILE, HIGH_QUARTILE, HIGH_DECILE = 0.1, 0.25, 0.75, 0.9
@@ -45,9 +43,10 @@ def _bounded(rows: DataFrame, quantiles: Column) -> DataFrame:
     return with_q.withColumns({"lower": lower, "upper": upper})
 
 
-def _bounded_by_one_task(rows: DataFrame) -> DataFrame:
+def _bounded_within_plan(rows: DataFrame) -> DataFrame:
+    """Quantiles enter the plan as a scalar subquery; nothing runs yet."""
     wanted = F.array(*[F.lit(p) for p in _PROBABILITIES])
-    return _bounded(rows, F.percentile(_PRICE, wanted).over(W.partitionBy()))
+    return _bounded(rows, rows.agg(F.percentile(_PRICE, wanted)).scalar())
 
 
 def _bounded_at_scale(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -60,9 +59,7 @@ def _bounded_at_scale(rows: DataFrame) -> tuple[DataFrame, int]:
 
 def with_bounds(rows: DataFrame, limit: int | None) -> DataFrame:
     """Adds the price quantiles ``q`` and the bounds ``lower``/``upper`` to every row."""
-    if fits_one_task(limit):
-        return _bounded_by_one_task(rows)
-    return _bounded_at_scale(rows)[0]
+    return _bounded_at_scale(rows)[0] if limit is None else _bounded_within_plan(rows)
 
 
 def kept_rows(bounded: DataFrame) -> DataFrame:
@@ -79,8 +76,8 @@ def trimmed_summary(rows: DataFrame, limit: int | None) -> DataFrame:
 
     Trimming looks at the price only; the price per square metre uses the same rows.
     """
-    if fits_one_task(limit):
-        bounded = _bounded_by_one_task(rows)
+    if limit is not None:
+        bounded = _bounded_within_plan(rows)
         inside = within(F.col("lower"), F.col("upper"))
         price, price_m2 = F.when(inside, F.col(_PRICE)), F.when(inside, F.col(_PRICE_M2))
         statistics = bounded.agg(
@@ -102,6 +99,7 @@ def trimmed_summary(rows: DataFrame, limit: int | None) -> DataFrame:
             F.col("price_m2.q")[0].alias("prix_m2_median"),
         )
     return statistics.select(
+        # Output names of the summary.
         "nombre_transactions",
         F.col("nombre_transactions").alias("nombre_transactions_affiches"),
         *[
@@ -111,11 +109,11 @@ def trimmed_summary(rows: DataFrame, limit: int | None) -> DataFrame:
     )
 
 
-def outlier_statistics(rows: DataFrame, limit: int | None) -> DataFrame:
-    """One row: deciles, quartiles, bounds, and counts and price range before and after."""
+def outlier_statistics(bounded: DataFrame) -> DataFrame:
+    """One row about rows with their bounds: deciles, quartiles, bounds, and counts and price range before and after."""
     inside = within(F.col("lower"), F.col("upper"))
     kept_price = F.when(inside, F.col(_PRICE))
-    return with_bounds(rows, limit).agg(
+    return bounded.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(inside).alias("kept"),
         F.count_if(~inside).alias("outliers"),

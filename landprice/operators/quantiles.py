@@ -23,9 +23,6 @@ from landprice.session import materialised
 
 _COARSE = 1 << 14
 _FINE = 1 << 30
-# With at most this many groups the picked cells (two per probability, measure and group)
-# travel through the driver; with more they are written to the shared scratch folder.
-_LOCAL_GROUPS = 10_000
 
 
 def interpolated(low: Column, high: Column, position: Column) -> Column:
@@ -49,19 +46,18 @@ def distribution(
     measures: Mapping[str, Column],
     probabilities: Sequence[float],
     by: Sequence[str] = (),
-    most_groups: int | None = None,
 ) -> DataFrame:
     """One row per group (exactly one without ``by``).
 
     Columns: the ``by`` columns, ``rows``, and per measure a struct with ``n``, ``mean``,
     ``low``, ``high`` and the array ``q`` of exact interpolated quantiles; nulls are
-    ignored as in any aggregate. The first pass runs at once, so that the second is planned
-    with the picked cells as data of known size, which the planner broadcasts only if that
-    size allows it. ``most_groups`` is a proven upper bound on the number of groups.
+    ignored as in any aggregate. The first pass runs at once and its picked cells are written,
+    so that the second is planned with a table of known size, which the planner broadcasts
+    if that size allows it. Without ``by`` the few picked cells also bound the measures'
+    values in the second scan.
     """
     by = list(by)
     keys = [*by, "measure"]
-    bound = 1 if not by else most_groups
 
     def number(column: Column) -> Column:
         value = column.cast("double")
@@ -71,8 +67,12 @@ def distribution(
         F.struct(F.lit(name).alias("measure"), number(column).alias("v"))
         for name, column in measures.items()
     ]
-    values = df.select(*by, F.inline(F.array(*named)))
-    values = values.withColumn("coarse", _scaled(F.col("v"), _COARSE))
+
+    def measured(rows: DataFrame) -> DataFrame:
+        found = rows.select(*by, F.inline(F.array(*named)))
+        return found.withColumn("coarse", _scaled(F.col("v"), _COARSE))
+
+    values = measured(df)
 
     cells = values.groupBy(*keys, "coarse").agg(
         F.count(F.lit(1)).alias("c"),
@@ -93,6 +93,8 @@ def distribution(
         F.sum("total").over(group).alias("total"),
         F.min("low").over(group).alias("low"),
         F.max("high").over(group).alias("high"),
+        F.col("low").alias("cell_low"),
+        F.col("high").alias("cell_high"),
     )
     positions = [(F.col("n") - F.lit(1)) * F.lit(float(p)) for p in probabilities]
     ranks = [rank.cast("bigint") for p in positions for rank in (F.floor(p), F.ceil(p))]
@@ -102,10 +104,15 @@ def distribution(
 
     wanted = reduce(or_, [holds(rank) for rank in ranks])
     picked = cells.filter(wanted | (F.col("n") == 0))
-    if bound is not None and bound <= _LOCAL_GROUPS:
-        picked = df.sparkSession.createDataFrame(picked.collect(), picked.schema)
-    else:
-        picked = materialised(picked, "cells")
+    picked = materialised(picked, "cells")
+    if not by:
+        # Two cells for each probability and measure at most.
+        ends = picked.filter("cell_low is not null").select("measure", "cell_low", "cell_high")
+        ranges = [
+            number(measures[row.measure]).between(row.cell_low, row.cell_high)
+            for row in ends.collect()
+        ]
+        values = measured(df.filter(reduce(or_, ranges, F.lit(False))))
 
     coarse_keys = [*keys, "coarse"]
     marks = picked.select(*coarse_keys)

@@ -96,7 +96,6 @@ def analyse_by_parcel(
         _measures(),
         [MEDIAN],
         by=["niveau", "parcelle"],
-        most_groups=len(requested) + 1,
     ).select(
         "niveau",
         F.when(F.col("niveau") == 0, F.lit(GLOBAL))

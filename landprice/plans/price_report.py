@@ -25,8 +25,8 @@ from landprice.operators.outliers import (
     trimmed_summary,
     with_bounds,
 )
-from landprice.operators.topn import fits_one_task, recent_first, recent_rows
-from landprice.schema import DEFAULT_LIMIT, KEY
+from landprice.operators.topn import recent_first, recent_rows
+from landprice.schema import KEY
 from landprice.session import materialised
 
 # The columns a report needs and those it shows when present.
@@ -45,9 +45,20 @@ OPTIONAL = ("code_postal", "adresse_nom_voie", "nom_commune", "adresse_numero")
 class PriceReport:
     """The reported sales and, planned on first use, their summary and output records."""
 
-    rows: DataFrame
-    recent: DataFrame
+    sales: DataFrame
     limit: int | None
+    joined: bool
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """The population of the statistics; a garage join runs once for its several passes."""
+        if self.limit is not None:
+            return self.recent
+        return materialised(self.sales, "garage") if self.joined else self.sales
+
+    @cached_property
+    def recent(self) -> DataFrame:
+        return recent_rows(self.sales, self.limit)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -101,44 +112,51 @@ def as_json(records: DataFrame) -> DataFrame:
 def price_report(
     df: DataFrame,
     filters: Filters = Filters(),
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
     garage: str = "tous",
 ) -> PriceReport:
-    """Statistics run on the ``limit`` most recent rows; None takes the whole population."""
-    sales = filtered_sales(df, filters, garage)
-    if garage != "tous" and not fits_one_task(limit):
-        # Several passes follow; the garage join should run in one of them only.
-        sales = materialised(sales, "garage")
-    recent = recent_rows(sales, limit)
-    if limit is not None and not fits_one_task(limit):
-        recent = materialised(recent, "recent")
-    # Statistics need no order, so an unlimited population is not sorted for them.
-    return PriceReport(rows=sales if limit is None else recent, recent=recent, limit=limit)
+    """Statistics run on the whole population, or on its ``limit`` most recent rows."""
+    return PriceReport(filtered_sales(df, filters, garage), limit, garage != "tous")
 
 
 @dataclass(frozen=True)
 class OutlierReport:
-    statistics: DataFrame
-    outliers: DataFrame
-    sample: DataFrame
+    """What the trimming removed; the bounds are found once, on first use."""
+
+    report: PriceReport
+    sample_size: int
+    seed: int
+
+    @cached_property
+    def _bounded(self) -> DataFrame:
+        return with_bounds(self.report.rows, self.report.limit)
+
+    @cached_property
+    def statistics(self) -> DataFrame:
+        return outlier_statistics(self._bounded)
+
+    @cached_property
+    def _found(self) -> DataFrame:
+        return outlier_rows(self._bounded).select(*self.report.rows.columns)
+
+    @cached_property
+    def outliers(self) -> DataFrame:
+        return self._found.orderBy(*recent_first(self._found))
+
+    @cached_property
+    def sample(self) -> DataFrame:
+        shown = self._found.columns
+        keys = [name for name in (*KEY, "date_mutation", "code_postal") if name in shown]
+        return sample_rows(self._found, keys, self.sample_size, self.seed)
 
 
 def outlier_report(
     df: DataFrame,
     filters: Filters = Filters(),
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
     garage: str = "tous",
     sample_size: int = 5,
     seed: int = 0,
 ) -> OutlierReport:
     """What the trimming removed, over the same rows as the report."""
-    rows = price_report(df, filters, limit, garage).rows
-    outliers = outlier_rows(with_bounds(rows, limit))
-    if fits_one_task(limit):
-        outliers = outliers.orderBy(*recent_first(rows))
-    keys = [name for name in (*KEY, "date_mutation", "code_postal") if name in rows.columns]
-    return OutlierReport(
-        statistics=outlier_statistics(rows, limit),
-        outliers=outliers.select(*rows.columns),
-        sample=sample_rows(outliers.select(*rows.columns), keys, sample_size, seed),
-    )
+    return OutlierReport(price_report(df, filters, limit, garage), sample_size, seed)

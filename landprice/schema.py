@@ -60,7 +60,8 @@ NULL_TOKENS = ("", "NaN", "nan", "NULL")
 MAX_STORED_PRICE = 100_000_000
 MAX_STORED_SURFACE = 10_000_000
 DEFAULT_MAX_PRICE = 10_000_000
-DEFAULT_LIMIT = 10_000
+# Rows of the published report; queries that compare with it state this limit.
+REPORT_LIMIT = 10_000
 TABLE_CANDIDATES = ("dvf_data", "transactions", "dvf")
 
 PRICE_COLUMN = "valeur_fonciere"

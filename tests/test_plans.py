@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landprice.operators.dedup import new_rows
+from landprice.operators.quantiles import distribution
 from landprice.operators.filters import Filters, apply_report_filters, garage_filter
 from landprice.plans.analysis import mean_price_m2
 from landprice.plans.price_report import price_report
@@ -71,7 +72,7 @@ def test_every_report_filter_reaches_the_scan(stored):
 
 
 def test_summary_reads_narrow_columns_and_has_no_join(stored):
-    text = plan(price_report(stored).summary)
+    text = plan(price_report(stored, limit=10_000).summary)
     read = re.findall(r"ReadSchema: struct<(.*?)>\n", text)
     wide = {"nature_mutation", "adresse_nom_voie", "longitude", "nom_commune"}
     assert read and not any(wide & {c.split(":")[0] for c in r.split(",")} for r in read)
@@ -79,7 +80,7 @@ def test_summary_reads_narrow_columns_and_has_no_join(stored):
 
 
 def test_top_n_cutoff_date_reaches_the_scan(stored):
-    text = plan(price_report(stored).transactions)
+    text = plan(price_report(stored, limit=10_000).transactions)
     assert "TakeOrderedAndProject" in text
     assert re.search(r"GreaterThanOrEqual\(date_mutation,ScalarSubquery", pushed(text))
 
@@ -100,7 +101,7 @@ def test_garage_side_is_distinct_and_narrow(stored):
 
 
 def test_daily_means_combine_before_the_shuffle(stored):
-    text = plan(daily_prices(price_report(stored).transactions))
+    text = plan(daily_prices(price_report(stored, limit=10_000).transactions))
     assert "partial_sum" in text
 
 
@@ -118,7 +119,31 @@ def test_insert_reads_only_keys_and_skips_far_ids(stored):
     assert text.count("LeftAnti") >= 1
 
 
+def ran(df) -> str:
+    """The final plan after the run."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("by", [[], ["code_postal"]])
+def test_quantiles_shuffle_no_values(stored, by):
+    price = F.col("valeur_fonciere")
+    text = ran(distribution(stored, {"price": price}, [0.25, 0.5], by))
+    # The values meet the picked cells in the scan's own stage; later joins see counts only.
+    assert re.search(r"BroadcastHashJoin .*LeftSemi", text)
+    assert not re.search(r"SortMergeJoin .*LeftSemi", text)
+    scan = text[: text.rindex("FileScan parquet")]
+    assert "partial_count" in scan[scan.rindex("Exchange hashpartitioning") :]
+
+
+def test_long_lists_shuffle_nothing(stored):
+    filters = Filters(parcelles=[f"P{i:06d}" for i in range(1500)])
+    text = plan(apply_report_filters(stored, filters))
+    assert "Exchange" not in text and "Join" not in text
+    assert "GreaterThanOrEqual(id_parcelle,P000000)" in pushed(text)
+
+
 def test_no_python_in_any_plan(stored):
-    for df in (price_report(stored).summary, price_report(stored).transactions):
+    for df in (price_report(stored, limit=10_000).summary, price_report(stored, limit=10_000).transactions):
         text = plan(df)
         assert "Python" not in text and "Pandas" not in text

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from landprice.functions.prices import band_floor, band_label, half_up, price_per_m2, truncated
-from landprice.operators import topn
 from landprice.operators.filters import Filters
 from landprice.plans.analysis import (
     analyse_by_parcel,
@@ -84,12 +83,34 @@ def test_report_matches_pandas(market, limit, garage):
     assert len(kept) <= len(flats)
 
 
-def test_limit_beyond_one_task_gives_the_same_report(market, monkeypatch):
-    expected = price_report(market, limit=50).summary.first()
-    monkeypatch.setattr(topn, "ONE_TASK_ROWS", 10)
-    report = price_report(market, limit=50)
-    assert report.summary.first() == expected
-    assert report.transactions.count() == 50
+@pytest.mark.parametrize("limit", [199_999, 200_001, None])
+def test_every_limit_has_one_contract(market, limit):
+    flats, _, stats = pandas_report(market.toPandas())
+    report = price_report(market, limit=limit)
+    assert [report.summary.first()[name] for name in STATISTICS] == stats
+    assert [r.prix for r in report.transactions.collect()] == [int(v) for v in flats.valeur_fonciere]
+
+
+def test_undated_sales_count_alike_with_and_without_a_limit(market):
+    undated = market.withColumn("date_mutation", F.when(F.col("id_mutation") > "m010", F.col("date_mutation")))
+    counts = {
+        price_report(undated, limit=limit).summary.first().nombre_transactions
+        for limit in (10_000, None)
+    }
+    assert len(counts) == 1
+
+
+def test_reports_run_nothing_before_they_are_used(spark, market):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("construction", "reports")
+    try:
+        for garage in ("tous", "avec"):
+            for limit in (10, 10**9, None):
+                price_report(market, limit=limit, garage=garage)
+                outlier_report(market, limit=limit, garage=garage)
+        assert list(tracker.getJobIdsForGroup("construction")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_transactions_are_untrimmed_and_ordered(market):
