@@ -51,7 +51,7 @@ def main() -> None:
     timings = {name: min(seconds(lambda: run(name)) for _ in range(2)) for name in HEADLINE}
 
     template = catalog.landed_files(spark, folder) + "/import_year={year}"
-    table = catalog.new_table(spark)
+    table = catalog.new_table(spark, "bench")
     timings["import_years"] = seconds(
         lambda: import_years(spark, table, template, 1995, 2001, file_name="")
     )

@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landprice.session import materialised
+from landprice.session import discard_rows, materialised
 from landprice.sources.register_csv import (
     YEAR_FILE,
     accepted,
@@ -46,10 +46,7 @@ def stage_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     (reports, de-duplication, insert, recovery from a lost executor) reads the staged
     columnar copy instead of decoding again.
     """
-    staged = materialised(read_register(spark, paths), "staged")
-    if not staged.filter(F.col("reject_reason") == "header").isEmpty():
-        raise ValueError(f"files with different headers in one group: {', '.join(paths)}")
-    return staged
+    return materialised(read_register(spark, paths), "staged")
 
 
 def import_staged(staged: DataFrame, name: str, year: int) -> int:
@@ -60,7 +57,10 @@ def import_staged(staged: DataFrame, name: str, year: int) -> int:
 def import_files(spark: SparkSession, name: str, year: int, paths: Sequence[str]) -> int:
     """Stage and insert one group of files, compressed or not, under one import year."""
     create_table(spark, name)
-    return import_staged(stage_files(spark, paths), name, year)
+    staged = stage_files(spark, paths)
+    inserted = import_staged(staged, name, year)
+    discard_rows(staged)
+    return inserted
 
 
 def import_years(
@@ -103,8 +103,9 @@ def import_years(
                 counted = reject_report(staged).collect()
                 outcomes.extend((year, row.outcome, row.rows) for row in counted)
                 inserted, error = import_staged(staged, name, year), None
+                discard_rows(staged)
             except Exception as problem:  # noqa: BLE001 - one year must not stop the others
-                inserted, error = 0, f"{type(problem).__name__}: {problem}"[:500]
+                inserted, error = 0, f"{type(problem).__name__}: {problem}"
             seconds = round(staging + time.monotonic() - started, 2)
             if inserted:
                 records = year_count(spark, name, year)

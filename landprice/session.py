@@ -33,19 +33,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``.
+    """A new folder name below ``spark.checkpoint.dir``, which every executor must see.
 
-    Only a local session may run without that setting; on a cluster the folder must
-    be one that every executor sees.
+    A local session, where driver and executors are one process, gets a folder if none is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = _local_scratch.setdefault(
-            context.applicationId, tempfile.mkdtemp(prefix="landprice-")
-        )
+        if context.applicationId not in _local_scratch:
+            _local_scratch[context.applicationId] = tempfile.mkdtemp(prefix="landprice-")
+        base = _local_scratch[context.applicationId]
     return f"{base.rstrip('/')}/landprice/{kind}-{uuid.uuid4().hex}"
 
 
@@ -54,3 +53,17 @@ def materialised(df: DataFrame, kind: str) -> DataFrame:
     path = scratch_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders whose rows are no longer needed."""
+    jvm, configuration = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(configuration).delete(place, True)
+
+
+def discard_rows(df: DataFrame) -> None:
+    """Delete what ``materialised`` wrote."""
+    files = df.inputFiles()
+    discard(df.sparkSession, *{file.rsplit("/", 1)[0] for file in files})

@@ -7,8 +7,12 @@ form for the reject report, its position in the file, and its byte-level validit
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,8 @@ YEAR_FILE = "full.csv.gz"
 # Every character a line is stripped of before parsing.
 _BLANKS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 _MALFORMED = "_malformed"
+# First lines that are read at the same time.
+_CONCURRENT_HEADERS = 16
 
 # Position of a line in the landed files; sorts as the file reads.
 POSITION = ("_file", "_block", "_line")
@@ -57,11 +63,26 @@ def parse_header(line: str) -> list[str]:
 
 
 def read_header(spark: SparkSession, path: str) -> str:
-    """First line of a file of the group, read from a block that starts its file."""
+    """First line of a file, read from the block that starts it; no more is decoded."""
     first = text_lines(spark, [path]).filter(F.col("_block") == 0).first()
-    if first is None:
-        raise ValueError(f"empty file: {path}")
-    return first.value.strip()
+    return "" if first is None else first.value.strip()
+
+
+def read_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """The first line of every file below the paths."""
+    files = [unquote(file) for file in text_lines(spark, paths).inputFiles()]
+    read = inheritable_thread_target(spark)(lambda file: read_header(spark, file))
+    with ThreadPoolExecutor(max_workers=_CONCURRENT_HEADERS) as pool:
+        return dict(zip(files, pool.map(read, files)))
+
+
+def by_layout(headers: Mapping[str, str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the column order that their own header gives; empty files have none."""
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file, header in sorted(headers.items()):
+        if header:
+            layouts.setdefault(tuple(parse_header(header)), []).append(file)
+    return layouts
 
 
 def numbered(lines: DataFrame) -> DataFrame:
@@ -74,29 +95,22 @@ def spread(lines: DataFrame) -> DataFrame:
     return lines.repartition(*POSITION)
 
 
-def raw_records(lines: DataFrame, header: str) -> DataFrame:
+def raw_records(lines: DataFrame, names: Sequence[str], headers: Sequence[str]) -> DataFrame:
     """Text columns by name plus ``reject_reason``/``raw_line`` for undecodable or ragged lines.
 
-    Blank lines and the header itself are skipped. A second, different header among the
-    lines means the files do not share a column order and is flagged as ``header``.
+    ``names`` is the column order of all these lines; blank lines and the header texts are
+    skipped.
     """
-    names = parse_header(header)
     schema = ", ".join(f"`{name}` string" for name in [*names, _MALFORMED])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _MALFORMED, "escape": '"'}
     decodable = F.is_valid_utf8("value")
     line = _stripped(F.col("value"))
     kept = lines.withColumn("value", F.when(decodable, line).otherwise(F.col("value")))
-    kept = kept.filter(~F.col("value").isin("", header))
+    kept = kept.filter(~F.col("value").isin("", *sorted(set(headers))))
     parsed = kept.withColumn("_record", F.from_csv("value", schema, options))
     record = F.col("_record")
-    cells = F.split("value", ",")
-    reason = (
-        F.when(~decodable, F.lit("encoding"))
-        .when(
-            F.array_contains(cells, "id_mutation") & F.array_contains(cells, "date_mutation"),
-            F.lit("header"),
-        )
-        .when(record[_MALFORMED].isNotNull(), F.lit("fields"))
+    reason = F.when(~decodable, F.lit("encoding")).when(
+        record[_MALFORMED].isNotNull(), F.lit("fields")
     )
     present = set(names)
     return parsed.select(
@@ -110,6 +124,16 @@ def raw_records(lines: DataFrame, header: str) -> DataFrame:
     )
 
 
+def unbound_records(lines: DataFrame) -> DataFrame:
+    """Lines of files whose header can't be used: all are rejects."""
+    return lines.select(
+        *POSITION,
+        *[F.lit(None).cast("string").alias(name) for name in REGISTER_COLUMNS],
+        F.lit("header").alias("reject_reason"),
+        F.col("value").alias("raw_line"),
+    )
+
+
 def clean_records(raw: DataFrame) -> DataFrame:
     """Typed columns; rows that cannot be stored get a reason instead of failing the load."""
     others = [name for name in raw.columns if name not in REGISTER_COLUMNS]
@@ -125,21 +149,32 @@ def clean_records(raw: DataFrame) -> DataFrame:
     earlier = [F.col("reject_reason")] if "reject_reason" in others else []
     line = F.col("raw_line") if "raw_line" in others else F.lit(None).cast("string")
     reason = F.coalesce(*earlier, F.when(essential, F.lit("essential")), *misfits)
-    return cleaned.select(
+    outcome = F.struct(
         *[name for name in others if name not in REJECT_COLUMNS],
         *[stored(name) for name in REGISTER_COLUMNS],
         reason.alias("reject_reason"),
-        line.alias("raw_line"),
-    ).withColumn("raw_line", F.when(F.col("reject_reason").isNotNull(), F.col("raw_line")))
+        F.when(reason.isNotNull(), line).alias("raw_line"),
+    )
+    # A filter on the reason can't move below the generated row, so nothing is cleaned twice.
+    return cleaned.select(F.inline(F.array(outcome)))
 
 
 def read_register(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Cleaned rows and rejects of one group of files that share a header."""
-    header = read_header(spark, paths[0])
-    lines = numbered(text_lines(spark, paths))
-    if any(path.endswith(".gz") for path in paths):
-        lines = spread(lines)
-    return clean_records(raw_records(lines, header))
+    """Cleaned rows and rejects of files, each bound by its own header."""
+    headers = read_headers(spark, paths)
+    layouts = by_layout(headers)
+    if not layouts:
+        raise ValueError(f"no header in {', '.join(paths)}")
+
+    def bound(names: tuple[str, ...], files: list[str]) -> DataFrame:
+        # One layout keeps the given paths, so that a folder stays one path.
+        lines = numbered(text_lines(spark, paths if len(layouts) == 1 else files))
+        if any(file.endswith(".gz") for file in files):
+            lines = spread(lines)
+        return raw_records(lines, names, [headers[file] for file in files])
+
+    parts = [bound(names, files) for names, files in layouts.items()]
+    return clean_records(reduce(DataFrame.unionByName, parts))
 
 
 def accepted(cleaned: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from landprice.functions.prices import price, price_per_m2, surface
 from landprice.operators.dedup import new_rows
 from landprice.schema import FLAT, HOUSE, TABLE_CANDIDATES, TABLE_SCHEMA
-from landprice.session import materialised
+from landprice.session import discard_rows, materialised
 from landprice.sources.register_csv import POSITION
 
 # Clustering inside a year: type and place lookups skip row groups by their min and max.
@@ -183,10 +184,11 @@ def rearrange_year(spark: SparkSession, name: str, year: int) -> None:
         POSITION[-1], F.monotonically_increasing_id()
     )
     data = [column for column in TABLE_SCHEMA.names if column != "import_year"]
-    arranged(staged).select(*data).createOrReplaceTempView("_rearranged_year")
+    view = f"_rearranged_{uuid.uuid4().hex}"
+    arranged(staged).select(*data).createOrReplaceTempView(view)
     spark.sql(
-        f"INSERT OVERWRITE TABLE {name} PARTITION (import_year = {int(year)}) "
-        "SELECT * FROM _rearranged_year"
+        f"INSERT OVERWRITE TABLE {name} PARTITION (import_year = {int(year)}) SELECT * FROM {view}"
     )
-    spark.catalog.dropTempView("_rearranged_year")
+    spark.catalog.dropTempView(view)
     spark.catalog.refreshTable(name)
+    discard_rows(staged)

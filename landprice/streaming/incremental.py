@@ -6,22 +6,27 @@ cleaning, de-duplication and insert as a batch import.
 
 from __future__ import annotations
 
+import contextlib
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from landprice.operators.dedup import new_rows
 from landprice.schema import TABLE_SCHEMA
-from landprice.session import materialised
+from landprice.session import discard_rows, materialised
 from landprice.sources.register_csv import (
     POSITION,
     accepted,
+    by_layout,
     clean_records,
     numbered,
+    parse_header,
     raw_records,
-    read_header,
     spread,
     tagged,
+    unbound_records,
     year_of_path,
 )
 from landprice.sources.table import append_rows, create_table
@@ -51,6 +56,24 @@ def _read_batch_time(spark: SparkSession, path: str) -> object | None:
     return row.import_date if row else None
 
 
+def _bound_lines(landed: DataFrame, headers: dict[str, str]) -> DataFrame:
+    """Records of the lines, each file by its own header; a file without a usable one is all
+    rejects, so that it can't stop the load."""
+    usable = {}
+    for file, header in headers.items():
+        with contextlib.suppress(ValueError):
+            parse_header(header)
+            usable[file] = header
+    parts = [
+        raw_records(landed.filter(F.col("_file").isin(files)), names, [usable[f] for f in files])
+        for names, files in by_layout(usable).items()
+    ]
+    others = sorted(set(headers) - set(usable))
+    if others:
+        parts.append(unbound_records(landed.filter(F.col("_file").isin(others))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def insert_batch(lines: DataFrame, batch_id: int, name: str, times: str) -> None:
     """Insert one micro-batch exactly once.
 
@@ -60,13 +83,13 @@ def insert_batch(lines: DataFrame, batch_id: int, name: str, times: str) -> None
     and the rows that already carry this time.
     """
     spark = lines.sparkSession
-    first = lines.select("_file").orderBy("_file").first()
-    if first is None:
+    # Each file is decoded here and never again; headers are looked up in the written lines.
+    landed = materialised(spread(numbered(lines)), "lines")
+    starts = landed.filter("_block = 0").groupBy("_file").agg(F.min_by("value", "_line").alias("line"))
+    headers = {row._file: row.line.strip() for row in starts.collect()}  # a row for each file
+    if not headers:
         return
-    header = read_header(spark, first._file)
-    cleaned = materialised(clean_records(raw_records(spread(numbered(lines)), header)), "batch")
-    if not cleaned.filter(F.col("reject_reason") == "header").isEmpty():
-        raise ValueError("files with different headers in one micro-batch")
+    cleaned = materialised(clean_records(_bound_lines(landed, headers)), "batch")
     moment, replayed = _batch_time(spark, times, batch_id)
     batch = tagged(accepted(cleaned), year_of_path(F.col("_file"))).withColumn(
         "import_date", F.lit(moment)
@@ -82,8 +105,12 @@ def insert_batch(lines: DataFrame, batch_id: int, name: str, times: str) -> None
         others = table.filter(F.col("import_date") != F.lit(moment))
         complete = new_rows(batch, others, [F.col(part) for part in POSITION])
         missing = complete.select(*TABLE_SCHEMA.names).exceptAll(mine)
-        append_rows(materialised(missing, "replay"), name)
+        missing = materialised(missing, "replay")
+        append_rows(missing, name)
+        discard_rows(missing)
     spark.catalog.refreshTable(name)
+    discard_rows(landed)
+    discard_rows(cleaned)
 
 
 def ingest_stream(

@@ -152,14 +152,48 @@ def test_storage_misfits_carry_the_column(load):
     assert outcomes(cleaned) == {"storage:code_postal": 1, "storage:longitude": 1, "accepted": 1}
 
 
-def test_second_header_is_flagged(spark, tmp_path):
-    paths = [
-        write_file(tmp_path / "a.csv", [line()]),
-        write_file(
-            tmp_path / "b.csv", [",".join(reversed(record()))], ",".join(reversed(COLUMNS))
-        ),
-    ]
-    assert outcomes(read_register(spark, paths))["header"] == 1
+def test_each_file_is_bound_by_its_own_header(spark, tmp_path):
+    quoted = ",".join(f'"{name}"' for name in COLUMNS)
+    moved = [name for name in COLUMNS if name not in ("id_parcelle", "nom_commune")]
+    moved = ["nom_commune", *moved, "id_parcelle"]
+    cells = dict(zip(COLUMNS, record(id_mutation="m3", id_parcelle="P3", nom_commune="Y")))
+    folder = tmp_path / "2024"
+    write_file(folder / "a.csv", [line(id_parcelle="P1", nom_commune="X")])
+    write_file(folder / "b.csv.gz", [line(id_mutation="m2", id_parcelle="P2")], quoted)
+    write_file(folder / "c.csv", [",".join(cells[name] for name in moved)], ",".join(moved))
+    rows = read_register(spark, [str(folder)])
+    assert outcomes(rows) == {"accepted": 3}
+    found = {row.id_mutation: (row.id_parcelle, row.nom_commune) for row in accepted(rows).collect()}
+    assert found["m3"] == ("P3", "Y") and found["m2"][0] == "P2" and found["m1"] == ("P1", "X")
+
+
+def test_gz_files_of_a_folder_are_spread(spark, tmp_path):
+    write_file(tmp_path / "2024" / "full.csv.gz", [line()])
+    plan = read_register(spark, [str(tmp_path / "2024")])._jdf.queryExecution().toString()
+    assert "REPARTITION" in plan
+
+
+@pytest.mark.parametrize(
+    ("text", "outcome"),
+    [
+        ("12345.5", "storage:longitude"),
+        ("1e30", "storage:longitude"),
+        ("-1e40", "storage:longitude"),
+        ("1e400", "storage:longitude"),
+        ("1e3", "accepted"),
+        ("inf", "accepted"),
+        ("NaN", "accepted"),
+        ("east", "accepted"),
+    ],
+)
+def test_coordinates_that_cannot_be_stored(load, text, outcome):
+    assert outcomes(load([line(longitude=text)])) == {outcome: 1}
+
+
+def test_cleaning_is_planned_once_below_the_filter(load):
+    plan = accepted(load([line()]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 1 and plan.count("from_csv") == 1
+    assert plan.index("isnull(reject_reason") < plan.index("Generate inline")
 
 
 def test_parsed_once(load):
