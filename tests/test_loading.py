@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from landprice.schema import TABLE_SCHEMA
 from landprice.sources import table as tables
 from landprice.streaming import incremental
 from landprice.streaming.incremental import ingest_stream
-from tests.samples import line, write_file
+from tests.samples import COLUMNS, line, record, write_file
 
 # Shaped like a real delivery: equal keys within one lot, and lots that are mostly absent.
 LOT = {"id_mutation": "2024-4", "id_parcelle": "AI0551", "lot1_numero": "175"}
@@ -187,6 +189,33 @@ def test_replayed_batch_adds_only_what_is_missing(spark, table, tmp_path):
     assert len(rows_of(spark, table)) == 4 + 3
 
 
+def test_stream_binds_each_file_by_its_own_header(spark, table, tmp_path):
+    landing = tmp_path / "landing" / "2024"
+    quoted = ",".join(f'"{name}"' for name in COLUMNS)
+    write_file(landing / "a.csv", [line(id_mutation="a")])
+    write_file(landing / "b.csv.gz", [line(id_mutation="b")], quoted)
+    backwards = ",".join(reversed(record(id_mutation="c")))
+    write_file(landing / "c.csv", [backwards], ",".join(reversed(COLUMNS)))
+    write_file(landing / "d.csv", ["1,2"], "other,names")
+    for _ in range(2):
+        ingest_stream(
+            spark, str(landing.parent), table, str(tmp_path / "checkpoint")
+        ).awaitTermination()
+    rows = spark.table(table).orderBy("id_mutation").collect()
+    assert [(r.id_mutation, r.id_parcelle) for r in rows] == [
+        (name, record()[COLUMNS.index("id_parcelle")]) for name in "abc"
+    ]
+
+
+def test_imports_leave_nothing_staged(spark, table, tmp_path):
+    base = Path(spark.conf.get("spark.checkpoint.dir")) / "landprice"
+    before = set(base.iterdir()) if base.exists() else set()
+    import_files(spark, table, 2024, [write_file(tmp_path / "a.csv", [line()])])
+    tables.rearrange_year(spark, table, 2024)
+    assert {x for x in set(base.iterdir()) - before if any(x.iterdir())} == set()
+    assert spark.table(table).count() == 1
+
+
 def test_stream_refuses_files_outside_year_folders(spark, table, tmp_path):
     write_file(tmp_path / "landing" / "x.csv", [line()])
     query = ingest_stream(spark, str(tmp_path / "landing"), table, str(tmp_path / "c"))
