@@ -57,6 +57,9 @@ _CLASS_OF = {c: i for i, letters in enumerate(CLASSES) for c in letters}
 _NAMES = {name: group for group, names in GIVEN_NAMES.items() for name in names}
 _WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 
+_HEADS = (*TITLES, *_NAMES)
+
+_DIGIT = re.compile(r"\d")
 _SECRET = re.compile(
     r"(?i)\b(?:token|secret|api[_-]?key|password|passwd|access[_-]?key)\s*[=:]\s*[\"']?"
     r"([A-Za-z0-9+/_\-]{12,})"
@@ -225,27 +228,29 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             taken.append((start, end))
             found.append((start, end, kind, text[start:end]))
 
-    for m in _SECRET.finditer(text):
-        if any(c.isdigit() for c in m[1]):
-            take(*m.span(1), "secret")
+    # Most texts hold no digit and none of the names; a pattern is run only where it can match.
+    digit = _DIGIT.search(text) is not None
+    if digit:
+        for m in _SECRET.finditer(text):
+            if any(c.isdigit() for c in m[1]):
+                take(*m.span(1), "secret")
     if "@" in text:
         for m in _EMAIL.finditer(text):
             take(*m.span(), "email")
-    for m in _ADDRESS.finditer(text):
-        if all(int(x) < 256 for x in m[0].split(".")):
-            take(*m.span(), "address")
-    for m in _CARD.finditer(text):
-        digits = re.sub(r"\D", "", m[0])
-        if passes_check(digits) and len(set(digits)) > 1:
-            take(*m.span(), "card")
-    if "-" in text:
+    if digit:
+        for m in _ADDRESS.finditer(text):
+            if all(int(x) < 256 for x in m[0].split(".")):
+                take(*m.span(), "address")
+        for m in _CARD.finditer(text):
+            digits = re.sub(r"\D", "", m[0])
+            if passes_check(digits) and len(set(digits)) > 1:
+                take(*m.span(), "card")
         for m in _SOCIAL.finditer(text):
             take(*m.span(), "social")
-    if "+" in text or "(" in text:
         for m in _PHONE.finditer(text):
             take(*m.span(), "phone")
     names: dict[str, str] = {}
-    for m in _NAME.finditer(text):
+    for m in _NAME.finditer(text) if any(x in text for x in _HEADS) else ():
         for group, kind in ((1, "given"), (2, "surname"), (3, "surname")):
             word = m[group]
             if word and word[0].isupper() and (group == 1 or m[2] is None or m[2][0].isupper()):
