@@ -148,7 +148,7 @@ def learn(df: DataFrame, label: str, text: str, key: str) -> LanguageModel:
 
     def count(batches):
         cells = np.zeros((len(languages), CELLS + len(_NAMES)), np.int64)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1 << 20):
             number = batch.column("number").to_numpy()
             words = words_of(texts(batch, "text"))
             of_word = number[words.text]
@@ -276,7 +276,8 @@ def predict(
     kept = [x for x in df.columns if keep_text or x != text]
 
     def run(batches):
-        for batch in sliced(batches, text):
+        # Each character takes some forty bytes of arrays.
+        for batch in sliced(batches, text, 1 << 20):
             names, scores = predictions(shared.value, texts(batch, text))
             yield pa.RecordBatch.from_arrays(
                 [*map(batch.column, kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
