@@ -28,6 +28,8 @@ HEADLINE = (
     "insert_absent",
     "import_status_by_year",
     "table_stats_report",
+    "register_price_report",
+    "register_by_parcel",
 )
 
 
