@@ -62,7 +62,11 @@ class PriceReport:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return trimmed_summary(self.rows, self.limit)
+        rows = self.rows.select("valeur_fonciere", "prix_m2")
+        if self.limit is not None:
+            # The bounds and the statistics both need the limited rows.
+            rows = materialised(rows, "recent")
+        return trimmed_summary(rows, self.limit)
 
     @cached_property
     def transactions(self) -> DataFrame:
@@ -129,7 +133,10 @@ class OutlierReport:
 
     @cached_property
     def _bounded(self) -> DataFrame:
-        return with_bounds(self.report.rows, self.report.limit)
+        rows = self.report.rows
+        if self.report.limit is not None:
+            rows = materialised(rows, "recent")
+        return with_bounds(rows, self.report.limit)
 
     @cached_property
     def statistics(self) -> DataFrame:
