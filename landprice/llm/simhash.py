@@ -308,10 +308,16 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best")
     firsts = rows.groupBy("fp").agg(best)
     kept = class_roots(rows).join(firsts, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    return only(df, kept.select("best"), id_column, text)
+
+
+def only(df: DataFrame, kept: DataFrame, id_column: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``df`` that ``best`` in ``kept`` names, each once. ``keep``: columns of ``kept``
+    that are added."""
     names = [free_name(df, f"_kept_{i}") for i in range(3)]
     kept = materialised(kept.select(
         F.coalesce("best.id", F.lit(0)).alias(names[0]), F.col("best.none").alias(names[1]),
-        F.col("best.text_key").alias(names[2]),
+        F.col("best.text_key").alias(names[2]), *keep,
     ), "kept")
     own = (
         F.coalesce(df[id_column].cast("long"), F.lit(0)), df[id_column].isNull(), text_key(df[text])
@@ -319,4 +325,5 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     keys = {free_name(df, f"_own_{i}"): x for i, x in enumerate(own)}
     on = [F.col(x) == F.col(y) for x, y in zip(keys, names)]
     # The texts are shuffled once; rows repeated as a whole meet in the join's own partition.
-    return df.withColumns(keys).join(kept, on, "left_semi").dropDuplicates([*keys]).drop(*keys)
+    named = df.withColumns(keys).join(kept, on, "inner" if keep else "left_semi")
+    return named.dropDuplicates([*keys]).drop(*keys).select(*df.columns, *keep)
