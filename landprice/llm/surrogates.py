@@ -8,7 +8,18 @@ themselves, or that are taken, are found by joins over all distinct entities and
 
 Defined results: null text stays null and empty text empty; texts without entities are returned
 unchanged; a repeated row gives a repeated row; an empty table gives no rows; other columns
-are kept, whatever their names. A card number must pass its check digit and an address its
+are kept, whatever their names. What is detected:
+
+* secret: values of keys whose name ends in a word of ``_KEYS`` (``client_secret=``, ``"token":``);
+  for password-like names any value, for others quoted values and unquoted ones of 8 characters
+  or more with a digit or both cases; the literals true, false, null, none are no values; keys with
+  a well-known start (``_KNOWN``), the body of private keys, passwords in URLs;
+* email, address (IPv4), card, social (ddd-dd-dddd);
+* phone: +country, 00country, (ddd) ddd-dddd, ddd-ddd-dddd with or without 1, and forms of
+  9 to 15 digits with a leading 0, in groups apart by space, point, hyphen or slash;
+* given names of ``GIVEN_NAMES`` and the surname after one or after a title.
+
+A card number must pass its check digit and an address its
 ranges; other numbers are left alone. An entity without any letter or digit to change is kept.
 """
 
@@ -60,10 +71,33 @@ _WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _HEADS = (*TITLES, *_NAMES)
 
 _DIGIT = re.compile(r"\d")
-_SECRET = re.compile(
-    r"(?i)\b(?:token|secret|api[_-]?key|password|passwd|access[_-]?key)\s*[=:]\s*[\"']?"
-    r"([A-Za-z0-9+/_\-]{12,})"
+#: Words at the end of the names of secrets; the first ones name passwords.
+_PASSWORDS = r"pass[_-]?word|passwd|pass[_-]?phrase|pass[_-]?code|pwd"
+_KEYS = r"token|secret|(?:api|access|secret|private|auth|encryption)[_-]?key|credentials?"
+_KEY_PARTS = ("pass", "pwd", "token", "secret", "key", "credential")
+_SETS = r"\\?[\"']?\s*(?:=>|:=|[=:])"
+_QUOTED = r"\\?(?P<quote>[\"'])(?P<quoted>(?:(?!\\?(?P=quote))[^\\\n]|\\(?!(?P=quote))[^\n])+)"
+_PASSWORD = re.compile(
+    rf"(?i)(?:{_PASSWORDS}){_SETS}(?:\s*{_QUOTED}|[ \t]*(?P<bare>(?:(?!&\w+=)[^\s\"'])+))"
 )
+_SECRET = re.compile(rf"(?i)(?:{_KEYS}){_SETS}\s*(?:{_QUOTED}|(?P<bare>[^\s\"'<>{{}}()\[\],;&]{{8,}}))")
+_LITERALS = ("true", "false", "null", "none")
+#: Starts of keys of public services and what follows them.
+_KNOWN = {
+    "AKIA": "[0-9A-Z]{16}", "ASIA": "[0-9A-Z]{16}", "AIza": r"[\w-]{35}", "ghp_": "[A-Za-z0-9]{36}",
+    "gho_": "[A-Za-z0-9]{36}", "ghu_": "[A-Za-z0-9]{36}", "ghs_": "[A-Za-z0-9]{36}",
+    "ghr_": "[A-Za-z0-9]{36}", "github_pat_": r"\w{22,}", "glpat-": r"[\w-]{20,}",
+    "npm_": "[A-Za-z0-9]{36}", "hf_": "[A-Za-z0-9]{30,}", "xoxa-": r"[\w-]{10,}",
+    "xoxb-": r"[\w-]{10,}", "xoxp-": r"[\w-]{10,}", "xoxr-": r"[\w-]{10,}", "xoxs-": r"[\w-]{10,}",
+    "sk-": r"(?=[\w-]*\d)[\w-]{20,}", "sk_live_": "[A-Za-z0-9]{16,}", "sk_test_": "[A-Za-z0-9]{16,}",
+    "rk_live_": "[A-Za-z0-9]{16,}", "SG.": r"[\w-]{16,}\.[\w-]{16,}",
+    "eyJ": r"[\w-]{10,}\.[\w-]{10,}\.[\w-]{5,}",
+}
+_KNOWN_KEY = re.compile(
+    r"(?<![A-Za-z0-9_])(?:" + "|".join(f"{re.escape(k)}{v}" for k, v in _KNOWN.items()) + r")(?![A-Za-z0-9_])"
+)
+_PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*([^-]*[^-\s])\s*-----END")
+_IN_URL = re.compile(r"://[^\s:/@]+:([^\s/@]+)@")
 _EMAIL = re.compile(r"(?<![\w.+-])[\w.+%-]*[\w+%-]@(?:[\w-]+\.)+[A-Za-z]{2,}(?![\w-])")
 _ADDRESS = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
 _CARD = re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)")
@@ -73,6 +107,14 @@ _PHONE = re.compile(
     r"|(?<![\w+])\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
     r"|(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)"
 )
+#: National forms, and countries with single digits apart: groups of digits that stand alone.
+_ALONE = r"(?<![\w+])(?<!\d[ ./-])(?<![.-])"
+_NATIONAL = re.compile(
+    rf"{_ALONE}(?:1[ .-])?[2-9]\d{{2}}[ .-][2-9]\d{{2}}[ .-]\d{{4}}(?![ ./-]?\d)(?!\w)"
+    rf"|{_ALONE}00[1-9]\d{{0,2}}(?:[ ./-]\d{{2,8}}){{1,5}}(?![ ./-]?\d)(?!\w)"
+    rf"|{_ALONE}\+[2-9]\d{{0,2}}(?:[ ./-]?\(?\d{{1,4}}\)?){{2,6}}(?![ ./-]?\d)(?!\w)"
+    rf"|{_ALONE}0[1-9]\d{{0,3}}(?:[ ./-]\d{{2,8}}){{1,5}}(?![ ./-]?\d)(?!\w)"
+)
 _NAME = re.compile(
     rf"\b(?:(?:{'|'.join(TITLES)})\.?\s+)?({'|'.join(sorted(_NAMES, key=len, reverse=True))})"
     rf"\s+({_WORD})|\b(?:{'|'.join(TITLES)})\.?\s+({_WORD})"
@@ -191,9 +233,16 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
             if entity[area + 3 : area + 6] == "555":
                 choices[area + 3 : area + 6] = [None] * 3
             choices[:area] = [None] * area
+        if entity[:2] == "00":
+            choices[:3] = [None] * 3
+        elif entity[0] == "0":
+            choices[:2] = [None, "123456789"]
         return _reshaped(key, tweak, entity, choices)
     if kind == "secret" and all(c in _HEX for c in entity):
         return _reshaped(key, tweak, entity, [_HEX] * len(entity))
+    if kind == "secret" and _KNOWN_KEY.fullmatch(entity):
+        start = max((len(x) for x in _KNOWN if entity.startswith(x)))
+        return _reshaped(key, tweak, entity, [None] * start + _by_class(entity[start:]))
     return _reshaped(key, tweak, entity, _by_class(entity))
 
 
@@ -218,6 +267,12 @@ def _dressed(kind: str, found: str, made: str) -> str:
     return made
 
 
+def _random(value: str) -> bool:
+    """Whether an unquoted value looks like a key and not like a word."""
+    digit = any(map(str.isdigit, value))
+    return len(value) >= 8 and (digit or value.lower() != value != value.upper() and not value.istitle())
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """``start``, ``end``, kind and text of each entity, by place; they do not overlap."""
     found: list[tuple[int, int, str, str]] = []
@@ -230,10 +285,21 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
     # Most texts hold no digit and none of the names; a pattern is run only where it can match.
     digit = _DIGIT.search(text) is not None
-    if digit:
-        for m in _SECRET.finditer(text):
-            if any(c.isdigit() for c in m[1]):
-                take(*m.span(1), "secret")
+    for m in _PRIVATE_KEY.finditer(text) if "PRIVATE KEY" in text else ():
+        take(*m.span(1), "secret")
+    if ("=" in text or ":" in text) and any(x in text.lower() for x in _KEY_PARTS):
+        for pattern in (_PASSWORD, _SECRET):
+            for m in pattern.finditer(text):
+                value = m["quoted"] or m["bare"].rstrip(".,;:!?)]}")
+                if value.lower() in _LITERALS or m["bare"] and pattern is _SECRET and not _random(value):
+                    continue
+                start = m.start("quoted" if m["quoted"] else "bare")
+                if value:
+                    take(start, start + len(value), "secret")
+    for m in _KNOWN_KEY.finditer(text) if any(x in text for x in _KNOWN) else ():
+        take(*m.span(), "secret")
+    for m in _IN_URL.finditer(text) if "://" in text and "@" in text else ():
+        take(*m.span(1), "secret")
     if "@" in text:
         for m in _EMAIL.finditer(text):
             take(*m.span(), "email")
@@ -249,6 +315,9 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             take(*m.span(), "social")
         for m in _PHONE.finditer(text):
             take(*m.span(), "phone")
+        for m in _NATIONAL.finditer(text):
+            if 9 <= sum(map(str.isdigit, m[0])) <= 15:
+                take(*m.span(), "phone")
     names: dict[str, str] = {}
     for m in _NAME.finditer(text) if any(x in text for x in _HEADS) else ():
         for group, kind in ((1, "given"), (2, "surname"), (3, "surname")):
