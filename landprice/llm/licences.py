@@ -6,9 +6,9 @@ That bounds the passage's size on both sides and the number of bigrams it must s
 templates are dropped by counts alone; only passages from one shared bigram to another are
 tried, since a passage gains nothing from bigrams at its ends that the template lacks.
 
-Defined results: null or empty text matches nothing; of passages of one licence that overlap,
-the one with the highest coefficient counts, of equal ones the earlier and then the shorter;
-passages of different licences may overlap; a repeated row gives repeated rows; an empty table
+Defined results: null or empty text matches nothing; of passages that overlap, the one with the
+highest coefficient counts, of equal ones of one licence the earlier and then the shorter; equal
+ones of different licences are all given; a repeated row gives repeated rows; an empty table
 gives no rows; other columns are not read. A template of less than two words never matches.
 """
 
@@ -74,6 +74,44 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
      "International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    # Near relatives of the above, so that their wording is not taken for another licence.
+    *(
+        (name, f"This {what} is free software{mark} you can redistribute it and/or modify it under the "
+         f"terms of the GNU {kind} as published by the Free Software Foundation{after} either version "
+         f"{version} of the License, or (at your option) any later version.")
+        for name, what, mark, kind, after, version in (
+            ("GPL-2.0", "program", ";", "General Public License", ";", "2"),
+            ("AGPL-3.0", "program", ":", "Affero General Public License", ",", "3"),
+            ("LGPL-2.1", "library", ";", "Lesser General Public License", ";", "2.1"),
+            ("LGPL-2.0", "library", ";", "Library General Public License", ";", "2"),
+        )
+    ),
+    *(
+        (name, f"This work is licensed under the GNU {kind}, version {version}.")
+        for name, kind, version in (
+            ("GPL-2.0", "General Public License", "2"),
+            ("AGPL-3.0", "Affero General Public License", "3"),
+            ("LGPL-3.0", "Lesser General Public License", "3"),
+            ("LGPL-2.1", "Lesser General Public License", "2.1"),
+            ("LGPL-2.0", "Library General Public License", "2"),
+        )
+    ),
+    *(
+        (f"CC-{kind}-{version}", text)
+        for kind, name in (
+            ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"),
+            ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+            ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+            ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+        )
+        for version, place in (("4.0", "International"), ("3.0", "Unported"))
+        for text in (
+            f"Licensed under CC {kind} {version}.",
+            f"This work is licensed under a Creative Commons {name} {version} {place} License.",
+        )
+        if (kind, version) not in (("BY", "4.0"), ("BY-NC", "4.0"))
+        and (kind, version, text[:8]) != ("BY-SA", "4.0", "Licensed")
+    ),
 )
 
 _WORD = re.compile(r"[^\W_]+")
@@ -124,18 +162,21 @@ class Scanner:
         for hit in hits:
             for number in holders[hit[1]]:
                 by_template[number].append(hit)
-        by_licence: dict[str, list[tuple[float, int, int, int]]] = defaultdict(list)
+        found: list[tuple[float, int, int, int]] = []
         for number, own in by_template.items():
             if len(own) >= self._bounds[number][1]:
-                by_licence[self.names[number]] += self._passages(number, own)
-        out = []
-        for name, found in by_licence.items():
-            kept: list[tuple[int, int]] = []
-            for dice, a, b, number in sorted(found):
-                # A bigram reaches one word on: passages that share a word overlap.
-                if all(b + 1 < first or last + 1 < a for first, last in kept):
-                    kept.append((a, b))
-                    out.append(Match(name, number, spans[a][0], spans[b + 1][1], -dice))
+                found += self._passages(number, own)
+        out: list[Match] = []
+        kept: list[tuple[float, int, int, str]] = []
+        for dice, a, b, number in sorted(found):
+            name = self.names[number]
+            # A bigram reaches one word on: passages that share a word overlap.
+            if all(
+                b + 1 < first or last + 1 < a or dice == other and name != licence
+                for other, first, last, licence in kept
+            ):
+                kept.append((dice, a, b, name))
+                out.append(Match(name, number, spans[a][0], spans[b + 1][1], -dice))
         return sorted(out, key=lambda x: (x.start, x.end, x.licence))
 
     def _passages(self, number: int, hits: list) -> list[tuple[float, int, int, int]]:

@@ -355,6 +355,31 @@ def test_licence_rows(spark, odd, none):
     assert licences.scan(odd).count() == 0 == licences.scan(none).count()
 
 
+def test_near_relatives_are_not_taken_for_each_other():
+    scanner = licences.Scanner()
+    notice = ("This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} "
+              "as published by the Free Software Foundation; either version {} of the License, or (at your "
+              "option) any later version.")
+    long = "This work is licensed under a Creative Commons {} 4.0 International License."
+    for name, text in (
+        *licences.TEMPLATES,
+        ("GPL-3.0", notice.format("program", "General Public License", "3")),
+        ("LGPL-3.0", notice.format("library", "Lesser General Public License", "3")),
+        ("GPL-2.0", notice.format("program", "General Public License", "2")),
+        ("AGPL-3.0", notice.format("program", "Affero General Public License", "3")),
+        ("GPL-2.0", "It is licensed under the GNU General Public License, version 2."),
+        ("CC-BY-4.0", long.format("Attribution")), ("CC-BY-NC-4.0", long.format("Attribution-NonCommercial")),
+        ("CC-BY-SA-4.0", long.format("Attribution-ShareAlike")),
+    ):
+        assert {m.licence for m in scanner.matches(f"Intro here. {text} More words.")} == {name}, text
+
+
+def test_equal_passages_of_different_licences_are_all_given():
+    scanner = licences.Scanner([("A", "one two three four"), ("B", "two three four five")], 0.6)
+    assert [m.licence for m in scanner.matches("one two three four five")] == ["A", "B"]
+    assert [m.licence for m in scanner.matches("x one two three four six")] == ["A"]
+
+
 @pytest.mark.parametrize("name", ["op1_chunks", "op2_bpe", "op4_language", "op5_surrogates", "op9_licences"])
 def test_empty_tables_have_the_same_columns(spark, sf_dir, tmp_path, name):
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
