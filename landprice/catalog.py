@@ -401,6 +401,14 @@ def rounded_mean_surface(spark: SparkSession, folder: str) -> DataFrame:
     return mean_surface(_reported(spark, folder, REPORT_LIMIT))
 
 
+@_register(
+    f"{_trends_sql(None)} SELECT CAST(floor(CAST(sum(surface) AS DOUBLE) / count(*) + 0.5) "
+    "AS BIGINT) AS surface_moyenne FROM t"
+)
+def rounded_mean_surface_all(spark: SparkSession, folder: str) -> DataFrame:
+    return mean_surface(_reported(spark, folder, None))
+
+
 # --- outliers ---------------------------------------------------------------------------
 
 _OUTLIERS = (
@@ -463,6 +471,15 @@ def outlier_sample(spark: SparkSession, folder: str) -> DataFrame:
     return outlier_report(sales_view(spark, folder), limit=REPORT_LIMIT, seed=7).sample
 
 
+@_register(
+    f"{_population_sql('', None)}{_OUTLIERS} SELECT {_SALE_COLUMNS} FROM x WHERE NOT inside ORDER BY "
+    "md5(concat_ws('|', '7', id_mutation, numero_disposition, id_parcelle, "
+    "coalesce(lot1_numero, ''), CAST(date_mutation AS VARCHAR), code_postal)) LIMIT 5"
+)
+def outlier_sample_all(spark: SparkSession, folder: str) -> DataFrame:
+    return outlier_report(sales_view(spark, folder), limit=None, seed=7).sample
+
+
 # --- cleaning and key handling ----------------------------------------------------------
 
 # Register text made from the sales view, with every kind of bad cell planted.
