@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landprice.llm import bpe, chunks, language, lattice, licences, mixing, simhash, surrogates, topk, urls
+from landprice.llm import (
+    bpe, chunks, filter_audit, forest, language, lattice, licences, mixing, runs, simhash,
+    surrogates, topk, urls,
+)
 
 
 def tokenizer(name: str) -> str:
@@ -74,6 +77,19 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(vectors, F.col("vec_id") % 50 == 0, "vec_id", "embedding")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return forest.nearest(vectors, F.col("vec_id") % 20 == 0, "vec_id", "embedding")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 _TOPK_SQL = """
 WITH vectors AS (
     SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v
@@ -93,6 +109,17 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_chunks, op2_bpe, op3_simhash, op4_language, op5_surrogates, op6_mixing, op7_urls, op8_lattice, op9_licences, op10_topk)}
-
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql(), "op7_urls": urls.oracle_sql(), "op10_topk": _TOPK_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chunks, op2_bpe, op3_simhash, op4_language, op5_surrogates, op6_mixing, op7_urls,
+        op8_lattice, op9_licences, op10_topk, op11_runs, op12_forest, op13_filter_audit,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": mixing.oracle_sql(),
+    "op7_urls": urls.oracle_sql(),
+    "op10_topk": _TOPK_SQL,
+    "op13_filter_audit": filter_audit.oracle_sql(),
+}

@@ -27,7 +27,7 @@ PIECES = tokenizer("piece_bpe_32k.model")
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, sf_dir, name):
     connection = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "labels"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     result = QUERIES[name](spark, sf_dir)
     expected = connection.execute(ORACLE_SQL[name])
@@ -38,7 +38,7 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 def test_every_operator_is_registered():
     names = [x for x in contract.queries() if x.startswith("op")]
-    assert sorted(int(x[2:].split("_")[0]) for x in names) == list(range(1, 11))
+    assert sorted(int(x[2:].split("_")[0]) for x in names) == list(range(1, 14))
     assert contract.queries()["pipeline"] is corpus_pipeline.run
 
 
