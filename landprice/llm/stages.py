@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landprice.llm import bpe, language, mixing, near_copies, simhash, surrogates
+from landprice.llm import bpe, language, mixing, simhash, surrogates
 from landprice.llm.batches import free_name
 from landprice.llm.queries import DEMO_KEY, fold, tokenizer
 
@@ -26,14 +26,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of ``op3_simhash``: the one with the smallest id."""
-    return simhash.one_of_each(docs)
-
-
-def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8 or more): the one
+    """One document of each class of ``op3_simhash``, by its shingles and bit distance: the one
     with the smallest id."""
-    return near_copies.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def surrogates_for_entities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from xxhash import xxh64_intdigest
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from landprice.llm import components, lattice, mixing, near_copies, simhash, stages, topk, urls
+from landprice.llm import components, lattice, mixing, simhash, stages, topk, urls
 from landprice.llm.queries import ORACLE_SQL, QUERIES, tokenizer
 from landprice.session import materialised
 from tests.llm.conftest import ODD_TEXTS, documents
@@ -329,6 +329,7 @@ def test_pipeline_on_given_data(spark, sf_dir):
 
 def test_dedup_keeps_one_of_each_class(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert dict(corpus_pipeline.STAGES)["near_dedup"] is stages.one_of_each_group
     kept = sorted(r.doc_id for r in stages.one_of_each_group(spark, docs, sf_dir).select("doc_id").collect())
     groups = QUERIES["op3_simhash"](spark, sf_dir).select("component_id").distinct().collect()
     assert kept == sorted(r.component_id for r in groups)
@@ -338,42 +339,3 @@ def test_repeated_rows_leave_one(spark):
     rows = documents(spark, [(1, "same text of a document here")] * 3 + [(1, "quite other words in this one")])
     kept = simhash.one_of_each(rows).collect()
     assert len(kept) == 2 and len({r.text for r in kept}) == 2
-
-
-def classes_of_near_copies(texts):
-    """Brute force: the smallest place of each class of five-word Jaccard >= 0.8."""
-    words = [(x or "").encode().lower().split() for x in texts]
-    own = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
-    root = list(range(len(own)))
-    for b in range(len(own)):
-        for a in range(b):
-            common = len(own[a] & own[b])
-            if own[a] == own[b] or 5 * common >= 4 * (len(own[a]) + len(own[b]) - common):
-                low, high = sorted((root[a], root[b]))
-                root = [low if x == high else x for x in root]
-    return sorted(set(root))
-
-
-def test_pipeline_leaves_no_near_copy(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
-    kept = sorted(r.doc_id for r in stage(spark, docs, sf_dir).select("doc_id").collect())
-    rows = sorted(docs.select("doc_id", "text").collect())
-    assert kept == [rows[i].doc_id for i in classes_of_near_copies([r.text for r in rows])]
-
-
-@pytest.mark.parametrize("most", [0, 8])
-def test_near_copies_are_those_of_all_pairs(spark, monkeypatch, most):
-    monkeypatch.setattr(near_copies, "PAIRS_PER_ROW", most)
-    rng = random.Random(8)
-    texts = [None, "", "two words", "Two  words"]
-    for size in (6, 20, 60, 120):
-        text = rng.choices("abcdefghijklmnopqrstuvwxyz", k=size)
-        for _ in range(14):
-            text = list(text) if rng.random() < 0.8 else rng.choices("abcdefghijklmnopqrstuvwxyz", k=size)
-            for _ in range(rng.randrange(3)):
-                text[rng.randrange(size)] = rng.choice(["x1", "x2", "x3"])
-            texts.append(" ".join(text))
-    rows = documents(spark, list(enumerate(texts)))
-    kept = sorted(r.doc_id for r in near_copies.one_of_each(rows).collect())
-    assert kept == classes_of_near_copies(texts)
