@@ -51,7 +51,7 @@ def stage_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def import_staged(staged: DataFrame, name: str, year: int) -> int:
     """Insert the accepted rows of one staged year; returns the exact number inserted."""
-    return insert_new(tagged(accepted(staged), F.lit(year)), name, year)
+    return insert_new(tagged(accepted(staged), F.lit(year)), name)
 
 
 def import_files(spark: SparkSession, name: str, year: int, paths: Sequence[str]) -> int:

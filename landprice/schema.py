@@ -62,6 +62,9 @@ MAX_STORED_SURFACE = 10_000_000
 DEFAULT_MAX_PRICE = 10_000_000
 # Rows of the published report; queries that compare with it state this limit.
 REPORT_LIMIT = 10_000
+# Number of the load that brought a row, and the year of the empty partition that takes it.
+LOAD = "import_load"
+MARKER_YEAR = 0
 TABLE_CANDIDATES = ("dvf_data", "transactions", "dvf")
 
 PRICE_COLUMN = "valeur_fonciere"
@@ -88,5 +91,8 @@ TABLE_SCHEMA = T.StructType(
         *DATA_SCHEMA.fields,
         T.StructField("import_date", T.TimestampType()),
         T.StructField("import_year", T.ShortType()),
+        T.StructField(LOAD, T.IntegerType()),
     ]
 )
+# What a load writes; the catalog gives its number.
+STORED_SCHEMA = T.StructType([field for field in TABLE_SCHEMA if field.name != LOAD])

@@ -55,12 +55,29 @@ def materialised(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system Spark reads; none if it does not exist."""
+    place, files = _place(spark, path)
+    if not files.exists(place):
+        return []
+    return sorted(entry.getPath().getName() for entry in files.listStatus(place))
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    place, files = _place(spark, path)
+    files.mkdirs(place)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete scratch folders whose rows are no longer needed."""
-    jvm, configuration = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(configuration).delete(place, True)
+        place, files = _place(spark, path)
+        files.delete(place, True)
 
 
 def discard_rows(df: DataFrame) -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +9,13 @@ from pyspark.sql import functions as F
 
 from landprice.functions.prices import price, price_per_m2, surface
 from landprice.operators.dedup import new_rows
-from landprice.schema import FLAT, HOUSE, TABLE_CANDIDATES, TABLE_SCHEMA
-from landprice.session import discard_rows, materialised
+from landprice.operators.layout import rank_bounds, with_curve_position
+from landprice.schema import FLAT, HOUSE, LOAD, STORED_SCHEMA, TABLE_CANDIDATES, TABLE_SCHEMA
+from landprice.sources import loads
 from landprice.sources.register_csv import POSITION
 
-# Clustering inside a year: type and place lookups skip row groups by their min and max.
-LAYOUT = ("type_local", "code_postal", "date_mutation", "id_parcelle", "id_mutation")
+# Clustering inside a year: lookups by any of these skip row groups by their min and max.
+LAYOUT = ("type_local", "code_postal", "date_mutation", "id_parcelle")
 
 
 def create_table(spark: SparkSession, name: str) -> None:
@@ -24,7 +24,8 @@ def create_table(spark: SparkSession, name: str) -> None:
         f"`{field.name}` {field.dataType.simpleString()}" for field in TABLE_SCHEMA
     )
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY (import_year)"
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+        f"PARTITIONED BY (import_year, {LOAD})"
     )
 
 
@@ -40,35 +41,45 @@ def read_register_table(spark: SparkSession, name: str | None = None) -> DataFra
     return spark.table(name or resolve_table(spark))
 
 
-def arranged(rows: DataFrame) -> DataFrame:
-    """Range-partitioned and sorted, so that lookups read few row groups.
+def arranged(rows: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """Range-partitioned and sorted along a curve through all layout columns.
 
-    The number of files follows the data: no count is given, so adaptive execution merges
-    small ranges. Line positions, where present, end the range key, so that any number of
-    rows of one place or sale can be cut into several ranges.
+    ``like`` holds rows of about the same values that are cheaper to sample than ``rows``. The
+    number of files follows the data: no count is given, so adaptive execution merges small
+    ranges. Line positions, where present, end the range key, so that any number of rows of one
+    place or sale can be cut into several ranges.
     """
-    key = [*LAYOUT, *[name for name in POSITION if name in rows.columns]]
-    ranged = rows.repartitionByRange(*[F.col(name) for name in key])
-    return ranged.sortWithinPartitions(*LAYOUT)
-
-
-def append_rows(rows: DataFrame, name: str) -> None:
-    arranged(rows).select(*TABLE_SCHEMA.names).write.insertInto(name)
-
-
-def insert_new(batch: DataFrame, name: str, year: int) -> int:
-    """Insert one year's rows whose key is neither repeated in the batch nor in the table.
-
-    ``batch`` carries the line positions, which order equal keys. The number of inserted
-    rows is the growth of the year, which Parquet footers answer; task retries cannot
-    distort it.
+    bounds = rank_bounds(rows if like is None else like, LAYOUT)
+    placed = with_curve_position(rows, bounds, "_curve")
+    order = ["import_year", "_curve", *LAYOUT]
+    ends = [name for name in POSITION if name in rows.columns] or ["id_mutation"]
+    ranged = placed.repartitionByRange(*[F.col(name) for name in [*order, *ends]])
+    return ranged.sortWithinPartitions(*order).drop("_curve")
+
+
+def append_rows(rows: DataFrame, name: str) -> int:
+    """Publish rows as one load; the number of rows written."""
+    written = loads.write_aside(arranged(rows), name)
+    while written.rows:
+        number = loads.latest_load(rows.sparkSession, name) + 1
+        if loads.publish(rows.sparkSession, name, written, number):
+            break
+    return written.rows
+
+
+def insert_new(batch: DataFrame, name: str, **options) -> int:
+    """Insert the rows whose key is neither repeated in the batch nor in the table, as one load.
+
+    ``batch`` carries the line positions, which order equal keys. Nothing is visible before all
+    is; the key holds against writers that publish meanwhile. The number of inserted rows is
+    counted in the written files, so task retries and other writers cannot distort it.
     """
     spark = batch.sparkSession
-    before = year_count(spark, name, year)
-    order = [F.col(part) for part in POSITION]
-    append_rows(new_rows(batch, spark.table(name), order), name)
     spark.catalog.refreshTable(name)
-    return year_count(spark, name, year) - before
+    seen = loads.latest_load(spark, name)
+    order = [F.col(part) for part in POSITION]
+    fresh = new_rows(batch, spark.table(name).filter(F.col(LOAD) <= seen), order)
+    return loads.add_load(fresh, name, seen, lambda rows: arranged(rows, batch), **options)
 
 
 def year_count(spark: SparkSession, name: str, year: int) -> int:
@@ -82,24 +93,11 @@ def has_year(spark: SparkSession, name: str, year: int) -> bool:
 
 
 def clear_year(spark: SparkSession, name: str, year: int) -> int:
-    """Remove a year; returns the number of rows it had.
-
-    Overwriting the partition with nothing deletes the files of managed and external
-    tables alike; dropping the partition then removes it from the catalog.
-    """
+    """Remove a year; returns the number of rows it had. Readers see all of it or nothing."""
     removed = year_count(spark, name, year)
-    if removed:
-        nothing = ", ".join(
-            f"CAST(NULL AS {field.dataType.simpleString()})"
-            for field in TABLE_SCHEMA
-            if field.name != "import_year"
-        )
-        spark.sql(
-            f"INSERT OVERWRITE TABLE {name} PARTITION (import_year = {int(year)}) "
-            f"SELECT {nothing} FROM range(0)"
-        )
-    spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (import_year = {int(year)})")
-    spark.catalog.refreshTable(name)
+    loads.drop_partitions(
+        spark, name, [part for part in loads.partitions(spark, name) if part[0] == int(year)]
+    )
     return removed
 
 
@@ -178,17 +176,10 @@ def refresh_statistics(spark: SparkSession, name: str) -> None:
 
 
 def rearrange_year(spark: SparkSession, name: str, year: int) -> None:
-    """Rewrite one year in lookup order, merging the files of many small loads."""
-    rows = spark.table(name).filter(F.col("import_year") == F.lit(year).cast("short"))
-    staged = materialised(rows, "rearrange").withColumn(
-        POSITION[-1], F.monotonically_increasing_id()
-    )
-    data = [column for column in TABLE_SCHEMA.names if column != "import_year"]
-    view = f"_rearranged_{uuid.uuid4().hex}"
-    arranged(staged).select(*data).createOrReplaceTempView(view)
-    spark.sql(
-        f"INSERT OVERWRITE TABLE {name} PARTITION (import_year = {int(year)}) SELECT * FROM {view}"
+    """Rewrite one year along the curve, merging the files of many small loads into one."""
+    numbers = [load for y, load in loads.partitions(spark, name) if y == int(year)]
+    rows = spark.table(name).filter(
+        (F.col("import_year") == F.lit(year).cast("short")) & F.col(LOAD).isin(numbers)
     )
-    spark.catalog.dropTempView(view)
-    spark.catalog.refreshTable(name)
-    discard_rows(staged)
+    if numbers and (rewritten := loads.write_aside(arranged(rows), name)).rows:
+        loads.replace_partitions(spark, name, int(year), numbers, rewritten)

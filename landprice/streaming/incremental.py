@@ -7,14 +7,14 @@ cleaning, de-duplication and insert as a batch import.
 from __future__ import annotations
 
 import contextlib
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from landprice.operators.dedup import new_rows
-from landprice.schema import TABLE_SCHEMA
+from landprice.schema import STORED_SCHEMA
 from landprice.session import discard_rows, materialised
 from landprice.sources.register_csv import (
     POSITION,
@@ -29,31 +29,52 @@ from landprice.sources.register_csv import (
     unbound_records,
     year_of_path,
 )
-from landprice.sources.table import append_rows, create_table
+from landprice.sources.loads import WrittenLoad, is_published
+from landprice.sources.table import append_rows, create_table, insert_new
 
 FILES_PER_BATCH = 64
 
 
 def _batch_time(spark: SparkSession, folder: str, batch_id: int) -> tuple[object, bool]:
     """Import time of a micro-batch, fixed before its first insert, and whether it is a replay."""
-    path = f"{folder}/batch_id={batch_id}"
-    known = _read_batch_time(spark, path)
+    path, schema = f"{folder}/batch_id={batch_id}", "import_date timestamp"
+    known = _read_record(spark, path, schema)
     if known is not None:
-        return known, True
+        return known.import_date, True
     now = spark.range(1).select(F.current_timestamp().alias("import_date"))
     now.coalesce(1).write.mode("overwrite").parquet(path)
-    return _read_batch_time(spark, path), False
+    return _read_record(spark, path, schema).import_date, False
 
 
-def _read_batch_time(spark: SparkSession, path: str) -> object | None:
-    reader = spark.read.schema("import_date timestamp").option("ignoreMissingFiles", "true")
+def _read_record(spark: SparkSession, path: str, schema: str) -> Row | None:
+    reader = spark.read.schema(schema).option("ignoreMissingFiles", "true")
     try:
-        row = reader.parquet(path).first()
+        return reader.parquet(path).first()
     except Exception as problem:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(problem):
             return None
         raise
-    return row.import_date if row else None
+
+
+_ATTEMPT = "folder string, years array<int>, rows bigint, number int"
+
+
+def _attempts(spark: SparkSession, folder: str, batch_id: int) -> str:
+    return f"{folder}/attempt_id={batch_id}"
+
+
+def _record_attempt(path: str, load: WrittenLoad, number: int, spark: SparkSession) -> None:
+    row = spark.createDataFrame([(load.folder, list(load.years), load.rows, number)], _ATTEMPT)
+    row.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def _arrived(spark: SparkSession, name: str, path: str) -> bool:
+    """Whether the load that a micro-batch last tried to publish is in the table."""
+    tried = _read_record(spark, path, _ATTEMPT)
+    if tried is None:
+        return False
+    load = WrittenLoad(tried.folder, tuple(tried.years), tried.rows)
+    return is_published(spark, name, load, tried.number)
 
 
 def _bound_lines(landed: DataFrame, headers: dict[str, str]) -> DataFrame:
@@ -78,11 +99,16 @@ def insert_batch(lines: DataFrame, batch_id: int, name: str, times: str) -> None
     """Insert one micro-batch exactly once.
 
     A micro-batch may be replayed after a failure between its insert and its commit. Keys
-    alone cannot catch that, since rows with a null key part never conflict. So each batch
-    has a recorded import time; a replay inserts the multiset difference between the batch
-    and the rows that already carry this time.
+    alone cannot catch that, since rows with a null key part never conflict. So the load that a
+    batch is about to publish is recorded first, and a replay whose load is in the catalog is
+    done without reading a row. Loads arrive whole or not at all; only where others have put
+    rows of the batch's recorded import time into its years does a replay compare rows, and
+    inserts the multiset difference.
     """
     spark = lines.sparkSession
+    attempts = _attempts(spark, times, batch_id)
+    if _arrived(spark, name, attempts):
+        return
     # Each file is decoded here and never again; headers are looked up in the written lines.
     landed = materialised(spread(numbered(lines)), "lines")
     starts = landed.filter("_block = 0").groupBy("_file").agg(F.min_by("value", "_line").alias("line"))
@@ -96,16 +122,20 @@ def insert_batch(lines: DataFrame, batch_id: int, name: str, times: str) -> None
     )
     if not batch.filter(F.col("import_year").isNull()).isEmpty():
         raise ValueError("landed files must lie in a four-digit year folder")
-    table = spark.table(name)
-    if not replayed:
-        order = [F.col(part) for part in POSITION]
-        append_rows(new_rows(batch, table, order), name)
+    before_publish = partial(_record_attempt, attempts, spark=spark)
+    mine = None
+    if replayed:
+        years = [row.import_year for row in batch.select("import_year").distinct().collect()]
+        mine = spark.table(name).filter(
+            F.col("import_year").isin(years) & (F.col("import_date") == F.lit(moment))
+        )
+    if mine is None or mine.isEmpty():
+        insert_new(batch, name, before_publish=before_publish)
     else:
-        mine = table.filter(F.col("import_date") == F.lit(moment))
-        others = table.filter(F.col("import_date") != F.lit(moment))
+        others = spark.table(name).filter(F.col("import_date") != F.lit(moment))
         complete = new_rows(batch, others, [F.col(part) for part in POSITION])
-        missing = complete.select(*TABLE_SCHEMA.names).exceptAll(mine)
-        missing = materialised(missing, "replay")
+        stored = STORED_SCHEMA.names
+        missing = materialised(complete.select(stored).exceptAll(mine.select(stored)), "replay")
         append_rows(missing, name)
         discard_rows(missing)
     spark.catalog.refreshTable(name)

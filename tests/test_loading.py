@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from landprice.plans.imports import import_files, import_years
 from landprice.plans.price_report import price_report
-from landprice.schema import TABLE_SCHEMA
+from landprice.operators import layout
+from landprice.schema import KEY, LOAD, TABLE_SCHEMA
+from landprice.sources import loads
 from landprice.sources import table as tables
 from landprice.streaming import incremental
 from landprice.streaming.incremental import ingest_stream
@@ -104,9 +106,11 @@ def test_rearranged_year_keeps_its_rows(spark, table, tmp_path):
             line(id_mutation=f"{part}-{i}", code_postal=f"{i % 5:05d}") for i in range(20)
         ]
         import_files(spark, table, 2024, [write_file(tmp_path / f"{part}.csv", lines)])
-    before = sorted(map(str, spark.table(table).collect()))
+    # The number of a row's load is where it is stored, and a rearranged year is one load.
+    before = sorted(map(str, spark.table(table).drop(LOAD).collect()))
     tables.rearrange_year(spark, table, 2024)
-    assert sorted(map(str, spark.table(table).collect())) == before
+    assert sorted(map(str, spark.table(table).drop(LOAD).collect())) == before
+    assert spark.table(table).select(LOAD).distinct().count() == 1
     tables.refresh_statistics(spark, table)
     assert "60 rows" in str(spark.sql(f"DESCRIBE EXTENDED {table}").collect())
 
@@ -222,3 +226,152 @@ def test_stream_refuses_files_outside_year_folders(spark, table, tmp_path):
     with pytest.raises(Exception, match="year folder"):
         query.awaitTermination()
     assert spark.table(table).isEmpty()
+
+
+# --- loads
+
+
+def sales(spark, ids, year=2024, **columns):
+    """Rows ready to be written, with line positions."""
+    rows = spark.createDataFrame([(str(i), n) for n, i in enumerate(ids)], "id_mutation string, n long")
+    values = {"date_mutation": "2024-01-02", "numero_disposition": "1", "id_parcelle": "P1",
+              "lot1_numero": "1", "import_year": year, **columns}
+    for field in TABLE_SCHEMA:
+        if field.name != "id_mutation":
+            value = values.get(field.name)
+            value = value if hasattr(value, "_jc") or hasattr(value, "_expr") else F.lit(value)
+            rows = rows.withColumn(field.name, value.cast(field.dataType))
+    return rows.withColumns({"_file": F.lit("f"), "_block": F.lit(0).cast("long"), "_line": F.col("n")}).drop("n")
+
+
+def ids_of(spark, table):
+    spark.catalog.refreshTable(table)
+    return sorted(r.id_mutation for r in spark.table(table).select("id_mutation").collect())
+
+
+def test_a_writer_that_dies_leaves_no_row(spark, table, monkeypatch):
+    tables.create_table(spark, table)
+    assert tables.insert_new(sales(spark, "ab"), table) == 2
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(loads, "publish", dies)
+    with pytest.raises(RuntimeError):
+        tables.insert_new(sales(spark, "cd"), table)
+    monkeypatch.undo()
+    assert ids_of(spark, table) == ["a", "b"]
+    assert len(loads.remove_unpublished(spark, table)) == 1
+    assert loads.remove_unpublished(spark, table) == []
+    assert tables.insert_new(sales(spark, "bcd"), table) == 2
+    assert ids_of(spark, table) == ["a", "b", "c", "d"]
+
+
+def test_a_load_of_several_years_is_one_catalog_call(spark, table):
+    tables.create_table(spark, table)
+    rows = sales(spark, range(6), import_year=F.expr("2020 + cast(id_mutation as int) % 3"))
+    assert tables.insert_new(rows, table) == 6
+    assert sorted(loads.partitions(spark, table)) == [(0, 1), (2020, 1), (2021, 1), (2022, 1)]
+    assert {r.import_year: r.record_count for r in tables.import_status(spark.table(table)).collect()} == {
+        2020: 2, 2021: 2, 2022: 2}
+    assert tables.clear_year(spark, table, 2021) == 2
+    assert ids_of(spark, table) == ["0", "2", "3", "5"]
+
+
+def test_the_key_holds_against_a_second_writer(spark, table):
+    tables.create_table(spark, table)
+    tables.insert_new(sales(spark, "a"), table)
+
+    def other_publishes(load, number):
+        # Between the first writer's comparison and its publication, for another year.
+        if not rivals:
+            rivals.append(number)
+            assert tables.insert_new(sales(spark, "bc", year=2023), table) == 2
+
+    rivals = []
+    inserted = tables.insert_new(sales(spark, "abcde"), table, before_publish=other_publishes)
+    assert (rivals, inserted) == ([2], 2)
+    assert ids_of(spark, table) == list("abcde")
+    keys = spark.table(table).groupBy(*KEY).count()
+    assert keys.filter("count > 1").isEmpty()
+    # A writer all of whose rows came from elsewhere meanwhile publishes nothing.
+    rivals.clear()
+    assert tables.insert_new(
+        sales(spark, "bc"), table, before_publish=other_publishes) == 0
+    assert max(load for _, load in loads.partitions(spark, table)) == 3
+
+
+def test_a_replayed_batch_whose_load_arrived_reads_no_table(spark, table, tmp_path, monkeypatch):
+    path = write_file(tmp_path / "2024" / "x.csv", [line(id_mutation="a"), line(id_mutation="a")])
+    tables.create_table(spark, table)
+    batch = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"))
+    times = str(tmp_path / "times")
+    incremental.insert_batch(batch, 0, table, times)
+    assert ids_of(spark, table) == ["a", "a"]
+    monkeypatch.setattr(incremental, "materialised", None)  # it stops before it reads a line
+    incremental.insert_batch(batch, 0, table, times)
+    monkeypatch.undo()
+    # The record alone is not enough: the load must be in the catalog.
+    loads.drop_partitions(spark, table, loads.partitions(spark, table))
+    incremental.insert_batch(batch, 0, table, times)
+    assert ids_of(spark, table) == ["a", "a"]
+
+
+# --- layout
+
+
+def rows_scanned(spark, table, condition):
+    """Rows that the scan read for a filter, after row groups and pages were skipped."""
+    found = spark.table(table).filter(condition).select("id_mutation", "valeur_fonciere")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_lookups_by_any_column_read_few_row_groups(spark, table, monkeypatch):
+    monkeypatch.setattr(loads, "ROW_GROUP_BYTES", 4_000)
+    tables.create_table(spark, table)
+    rows = spark.range(40_000).select(
+        F.col("id").cast("string").alias("id_mutation"),
+        F.expr("date_add(DATE'2024-01-01', int(pmod(xxhash64(id, 1), 360)))").alias("date_mutation"),
+        F.expr("concat('P', lpad(pmod(xxhash64(id, 2), 20000), 6, '0'))").alias("id_parcelle"),
+        F.expr("lpad(pmod(xxhash64(id, 3), 400), 5, '0')").alias("code_postal"),
+        F.expr("element_at(array('Appartement', 'Maison', 'Dépendance'), int(1 + pmod(xxhash64(id, 4), 3)))").alias("type_local"),
+        F.lit(2024).cast("short").alias("import_year"),
+    )
+    for field in TABLE_SCHEMA:
+        if field.name not in rows.columns:
+            rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
+    tables.append_rows(rows, table)
+    lookups = ("id_parcelle = 'P000123'", "code_postal = '00007'", "date_mutation = DATE'2024-05-05'",
+               "id_mutation = '777'")
+    after = {x: rows_scanned(spark, table, x) for x in lookups}
+    monkeypatch.setattr(tables, "LAYOUT", ("type_local", "code_postal"))
+    monkeypatch.setattr(tables, "with_curve_position", lambda df, bounds, name: df.withColumn(name, F.lit(0)))
+    monkeypatch.setattr(loads, "BLOOM_COLUMNS", ())
+    tables.clear_year(spark, table, 2024)
+    tables.append_rows(rows, table)
+    before = {x: rows_scanned(spark, table, x) for x in lookups}
+    assert spark.table(table).count() == 40_000
+    for lookup in ("id_parcelle = 'P000123'", "date_mutation = DATE'2024-05-05'", "id_mutation = '777'"):
+        assert after[lookup] < 0.5 * before[lookup], (lookup, after, before)
+    assert after["code_postal = '00007'"] < 8_000, (after, before)
+
+
+def test_curve_ranks_follow_the_values(spark):
+    rows = spark.range(5000).select(
+        (F.col("id") % 1000).cast("int").alias("a"), F.col("id").cast("string").alias("b"),
+        F.when(F.col("id") % 7 > 0, F.lit("same")).alias("c"), F.lit(None).cast("string").alias("d"),
+    )
+    bounds = layout.rank_bounds(rows, ("a", "b", "c", "d"))
+    assert bounds["c"] == ["same"] and bounds["d"] == [] and len(bounds["a"]) == 63
+    ranked = rows.withColumns({f"r_{x}": layout.rank(F.col(x), bounds[x]) for x in bounds}).collect()
+    for x in "abc":
+        for r in ranked[:500]:
+            assert r[f"r_{x}"] == (0 if r[x] is None else sum(v <= r[x] for v in bounds[x]))
+    assert {r.r_d for r in ranked} == {0}
+    placed = layout.with_curve_position(rows, bounds, "p")
+    assert placed.columns == [*rows.columns, "p"] and placed.select("p").distinct().count() > 500
