@@ -9,12 +9,13 @@ are narrow in all of them and lookups by any one column skip most groups.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ranks of a column are below 2 to this power.
-RANK_BITS = 6
+RANK_BITS = 4
 #: Rows whose values set the bounds; a bounded sample, whatever the size of the table.
 SAMPLE_ROWS = 4096
 
@@ -42,34 +43,24 @@ def rank_bounds(rows: DataFrame, columns: Sequence[str], bits: int = RANK_BITS)
     return out
 
 
-def rank(column: Column, bounds: Sequence) -> Column:
-    """How many bounds are at or below the value, by binary search; null is 0."""
-    if not bounds:
-        return F.lit(0)
-    values = F.array(*[F.lit(x) for x in bounds])
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
-
-    def further(found: Column, step: Column) -> Column:
-        following = found + step
-        inside = (following <= len(bounds)) & (F.get(values, following - 1) <= column)
-        return F.when(inside, following).otherwise(found)
-
-    return F.when(column.isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), further))
+def rank(column: Column, cuts: Sequence) -> Column:
+    """How many bounds are at or below the value; null is 0. A few compiled comparisons."""
+    passed = [(column >= F.lit(cut)).cast("int") for cut in cuts]
+    return F.coalesce(reduce(Column.__add__, passed), F.lit(0)) if passed else F.lit(0)
 
 
 def with_curve_position(rows: DataFrame, bounds: Bounds, name: str, bits: int = RANK_BITS) -> DataFrame:
     """``rows`` with the interleaved bits of all columns' ranks, the highest bits first."""
-    # Ranks of a column with few bounds are spread over all bits, else they would only ever
-    # set the low ones and count for nothing.
     ranks = {
-        f"{name}_{number}": F.shiftleft(
-            rank(F.col(column), cuts), max(0, bits - len(cuts).bit_length())
-        )
+        f"{name}_{number}": rank(F.col(column), cuts)
         for number, (column, cuts) in enumerate(bounds.items())
     }
+    # Ranks of a column with few bounds are spread over all bits, else they would only ever
+    # set the low ones and count for nothing.
+    spread = [max(0, bits - len(cuts).bit_length()) for cuts in bounds.values()]
     position = F.lit(0).cast("long")
     for bit in reversed(range(bits)):
-        for column in ranks:
-            one = F.shiftright(column, bit).bitwiseAND(F.lit(1)).cast("long")
+        for column, shift in zip(ranks, spread):
+            one = F.shiftright(F.shiftleft(column, shift), bit).bitwiseAND(F.lit(1)).cast("long")
             position = F.shiftleft(position, 1).bitwiseOR(one)
     return rows.withColumns(ranks).withColumn(name, position).drop(*ranks)

@@ -367,11 +367,11 @@ def test_curve_ranks_follow_the_values(spark):
         F.when(F.col("id") % 7 > 0, F.lit("same")).alias("c"), F.lit(None).cast("string").alias("d"),
     )
     bounds = layout.rank_bounds(rows, ("a", "b", "c", "d"))
-    assert bounds["c"] == ["same"] and bounds["d"] == [] and len(bounds["a"]) == 63
+    assert bounds["c"] == ["same"] and bounds["d"] == [] and len(bounds["a"]) == 15
     ranked = rows.withColumns({f"r_{x}": layout.rank(F.col(x), bounds[x]) for x in bounds}).collect()
     for x in "abc":
         for r in ranked[:500]:
             assert r[f"r_{x}"] == (0 if r[x] is None else sum(v <= r[x] for v in bounds[x]))
     assert {r.r_d for r in ranked} == {0}
     placed = layout.with_curve_position(rows, bounds, "p")
-    assert placed.columns == [*rows.columns, "p"] and placed.select("p").distinct().count() > 500
+    assert placed.columns == [*rows.columns, "p"] and placed.select("p").distinct().count() > 100
