@@ -8,15 +8,15 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from landprice.session import discard_rows, materialised
 from landprice.sources.register_csv import (
     YEAR_FILE,
     accepted,
+    outcome_counts,
     read_register,
-    reject_report,
     tagged,
     year_path,
 )
@@ -49,6 +49,18 @@ def stage_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return materialised(read_register(spark, paths), "staged")
 
 
+def stage_and_count(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    """``stage_files`` and its rows by outcome, observed while they are written.
+
+    The write is the last stage of its job, whose tasks report once however often they are
+    repeated, so the counts are those of the written rows and no scan follows.
+    """
+    observed = Observation()
+    cleaned = read_register(spark, paths).observe(observed, *outcome_counts())
+    staged = materialised(cleaned, "staged")
+    return staged, {outcome: rows for outcome, rows in observed.get.items() if rows}
+
+
 def import_staged(staged: DataFrame, name: str, year: int) -> int:
     """Insert the accepted rows of one staged year; returns the exact number inserted."""
     return insert_new(tagged(accepted(staged), F.lit(year)), name)
@@ -81,10 +93,10 @@ def import_years(
     years = range(start_year, end_year + 1)
     pending = [year for year in years if not has_year(spark, name, year)]
 
-    def stage(year: int) -> tuple[DataFrame, float]:
+    def stage(year: int) -> tuple[DataFrame, dict[str, int], float]:
         started = time.monotonic()
-        staged = stage_files(spark, [year_path(template, year, file_name)])
-        return staged, time.monotonic() - started
+        staged, counts = stage_and_count(spark, [year_path(template, year, file_name)])
+        return staged, counts, time.monotonic() - started
 
     results, outcomes = [], []
     with ThreadPoolExecutor(max_workers=CONCURRENT_YEARS) as pool:
@@ -98,10 +110,9 @@ def import_years(
                 continue
             started, staging = time.monotonic(), 0.0
             try:
-                staged, staging = jobs[year].result()
+                staged, counts, staging = jobs[year].result()
                 started = time.monotonic()
-                counted = reject_report(staged).collect()
-                outcomes.extend((year, row.outcome, row.rows) for row in counted)
+                outcomes.extend((year, outcome, rows) for outcome, rows in counts.items())
                 inserted, error = import_staged(staged, name, year), None
                 discard_rows(staged)
             except Exception as problem:  # noqa: BLE001 - one year must not stop the others

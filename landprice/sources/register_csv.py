@@ -8,11 +8,9 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +23,6 @@ YEAR_FILE = "full.csv.gz"
 # Every character a line is stripped of before parsing.
 _BLANKS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 _MALFORMED = "_malformed"
-# First lines that are read at the same time.
-_CONCURRENT_HEADERS = 16
 
 # Position of a line in the landed files; sorts as the file reads.
 POSITION = ("_file", "_block", "_line")
@@ -62,22 +58,30 @@ def parse_header(line: str) -> list[str]:
     return names
 
 
-def read_header(spark: SparkSession, path: str) -> str:
-    """First line of a file, read from the block that starts it; no more is decoded."""
-    first = text_lines(spark, [path]).filter(F.col("_block") == 0).first()
-    return "" if first is None else first.value.strip()
+def read_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """The first line of every file below the paths that has any, found by one job.
 
+    Each file starts a task of its own, which stops after its first batch of lines; later blocks
+    of a large file give their first line too, which is left out.
+    """
+    # In a session of its own, because several imports read headers at the same time.
+    alone = spark.newSession()
+    whole = alone.conf.get("spark.sql.files.maxPartitionBytes")
+    alone.conf.set("spark.sql.files.openCostInBytes", whole)
+    lines = text_lines(alone, paths)
 
-def read_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """The first line of every file below the paths."""
-    files = [unquote(file) for file in text_lines(spark, paths).inputFiles()]
-    read = inheritable_thread_target(spark)(lambda file: read_header(spark, file))
-    with ThreadPoolExecutor(max_workers=_CONCURRENT_HEADERS) as pool:
-        return dict(zip(files, pool.map(read, files)))
+    def first_line(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    firsts = lines.mapInArrow(first_line, lines.schema).filter("_block = 0").collect()
+    return {unquote(row._file): row.value.strip() for row in firsts}
 
 
 def by_layout(headers: Mapping[str, str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by the column order that their own header gives; empty files have none."""
+    """Files by the column order that their own header gives; blank headers bind none."""
     layouts: dict[tuple[str, ...], list[str]] = {}
     for file, header in sorted(headers.items()):
         if header:
@@ -187,6 +191,14 @@ def rejected(cleaned: DataFrame) -> DataFrame:
     )
 
 
+def outcome_counts() -> list[Column]:
+    """Rows of each outcome that cleaning can give, as aggregates over the whole input."""
+    limited = [name for name in REGISTER_COLUMNS if storage_misfit(name) is not None]
+    reasons = ["encoding", "fields", "header", "essential", *[f"storage:{name}" for name in limited]]
+    reason = F.coalesce("reject_reason", F.lit("accepted"))
+    return [F.count_if(reason == outcome).alias(outcome) for outcome in ["accepted", *reasons]]
+
+
 def reject_report(cleaned: DataFrame) -> DataFrame:
     """Number of rows per outcome; accepted rows under ``accepted``."""
     return cleaned.groupBy(

@@ -1,15 +1,16 @@
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from landprice.plans.imports import import_files, import_years
+from landprice.plans.imports import import_files, import_years, stage_and_count
 from landprice.plans.price_report import price_report
 from landprice.operators import layout
 from landprice.schema import KEY, LOAD, TABLE_SCHEMA
-from landprice.sources import loads
+from landprice.sources import loads, register_csv
 from landprice.sources import table as tables
 from landprice.streaming import incremental
 from landprice.streaming.incremental import ingest_stream
@@ -228,6 +229,49 @@ def test_stream_refuses_files_outside_year_folders(spark, table, tmp_path):
     assert spark.table(table).isEmpty()
 
 
+def jobs_of(spark, action):
+    group = f"counted-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        result = action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_headers_of_many_files_are_one_job(spark, tmp_path):
+    backwards = ",".join(reversed(COLUMNS))
+    for number in range(300):
+        header = [backwards] if number % 3 == 0 else []
+        suffix = ".gz" if number % 2 else ""
+        write_file(tmp_path / f"part {number}.csv{suffix}", [line(id_mutation=str(number))] * 3, *header)
+    write_file(tmp_path / "z.csv", [line()] * 20_000)
+    (tmp_path / "empty.csv").write_text("")
+    headers, jobs = jobs_of(spark, lambda: register_csv.read_headers(spark, [str(tmp_path)]))
+    assert jobs == 1 and len(headers) == 301
+    assert sorted({x for x in headers.values()}) == sorted({backwards, ",".join(COLUMNS)})
+    assert sum(x == backwards for x in headers.values()) == 100
+
+
+def test_later_blocks_of_a_file_are_no_headers(spark, tmp_path):
+    write_file(tmp_path / "x.csv", [line(id_mutation=str(n)) for n in range(2000)])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert register_csv.read_headers(spark, [str(tmp_path)]).popitem()[1] == ",".join(COLUMNS)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = register_csv.read_register(spark, [str(tmp_path)])
+        assert register_csv.accepted(rows).count() == 2000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_outcomes_are_counted_while_staging(spark, tmp_path):
+    path = write_file(tmp_path / "a.csv", [*DELIVERY, line(code_postal="123456")])
+    staged, counts = stage_and_count(spark, [path])
+    assert counts == {r.outcome: r.rows for r in register_csv.reject_report(staged).collect()}
+    assert counts == {"accepted": 7, "fields": 1, "essential": 1, "storage:code_postal": 1}
+
+
 # --- loads
 
 
