@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landprice.functions.prices import price
 from landprice.operators.dedup import insert_if_absent, keep_first
 from landprice.operators.filters import (
     Filters,
@@ -15,6 +16,7 @@ from landprice.operators.filters import (
     street_search,
     valid_postal_codes,
 )
+from landprice.operators.sketches import RANK_ERROR, approximate_distribution, merged, sketched
 from landprice.plans.analysis import (
     analyse_by_parcel,
     analyse_prices,
@@ -26,10 +28,11 @@ from landprice.plans.imports import import_files, import_years
 from landprice.plans.price_report import as_json, filtered_sales, outlier_report, price_report
 from landprice.plans.trends import daily_prices, mean_surface, surface_histogram
 from landprice.schema import DATA_SCHEMA, REPORT_LIMIT
-from landprice.session import discard, scratch_path
+from landprice.session import discard, materialised, scratch_path
 from landprice.sources.register_csv import accepted, clean_records, read_register, reject_report
 from landprice.sources.star_view import SALES_SQL, sales_view
 from landprice.sources.table import (
+    append_rows,
     clear_year,
     create_table,
     import_status,
@@ -607,9 +610,45 @@ def insert_absent(spark: SparkSession, folder: str) -> DataFrame:
     return fresh.select(*_KEPT_COLUMNS.split(", "))
 
 
-# --- table reports ----------------------------------------------------------------------
+# --- approximate quantiles ---------------------------------------------------------------
+
+_SKETCHED = (0.1, 0.25, 0.5, 0.75, 0.9)
+
+
+@_register(
+    f"WITH v AS ({SALES_SQL}), s AS (SELECT type_local, count(*) AS rows, "
+    "count(valeur_fonciere) AS n, min(valeur_fonciere) AS low, max(valeur_fonciere) AS high, "
+    "round(avg(valeur_fonciere), 4) AS mean FROM v GROUP BY type_local) "
+    "SELECT s.*, CAST(p AS DOUBLE) AS probability, true AS within_error "
+    f"FROM s, (VALUES {', '.join(f'({p})' for p in _SKETCHED)}) AS x(p)"
+)
+def approximate_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of every (year, type, postal code), kept as a table and merged by type; the rank of
+    each answer among all prices is counted exactly."""
+    view = sales_view(spark, folder)
+    cells = sketched(view, {"price": price()}, ("import_year", "type_local", "code_postal"))
+    kept = materialised(cells, "sketches")
+    by_type = merged(kept, ["price"], ["type_local"])
+    found = approximate_distribution(by_type, ["price"], _SKETCHED, ["type_local"])
+    found = materialised(found.select("type_local", "rows", "price.*"), "sketches")
+    values = view.select("type_local", price().alias("v"))
+    ranks = values.join(found.select("type_local", "q"), "type_local").groupBy("type_local").agg(
+        F.array(*[F.count_if(F.col("v") < F.col("q")[i]) for i in range(len(_SKETCHED))]).alias("below"),
+        F.array(*[F.count_if(F.col("v") <= F.col("q")[i]) for i in range(len(_SKETCHED))]).alias("upto"),
+    )
+    wanted = F.array(*[F.lit(p) for p in _SKETCHED])
+    each = found.join(ranks, "type_local").select(
+        "type_local", "rows", "n", "low", "high", F.round("mean", 4).alias("mean"),
+        F.inline(F.arrays_zip(wanted.alias("probability"), F.col("below"), F.col("upto"))),
+    )
+    room = F.lit(RANK_ERROR) * F.col("n")
+    rank = F.col("probability") * F.col("n")
+    within = (F.col("below") <= rank + room) & (F.col("upto") >= rank - room)
+    return each.withColumn("within_error", within).drop("below", "upto")
 
 
+# --- table reports ----------------------------------------------------------------------
+
 @_register(
     f"WITH v AS ({SALES_SQL}) SELECT import_year, count(*) AS record_count, "
     "min(date_mutation) AS first_import, max(date_mutation) AS last_import "
@@ -890,6 +929,26 @@ def skip_imported_year(spark: SparkSession, folder: str) -> DataFrame:
     return years.filter("year = 1991 OR records IS NOT NULL").select("year", "status", "records")
 
 
+@_register(
+    f"{_LOADED_SQL} SELECT {', '.join(_STORED)}, "
+    "CAST(CAST(valeur_fonciere AS DECIMAL(12,2)) AS DOUBLE) AS valeur_fonciere, "
+    "CAST(CAST(surface_reelle_bati AS DECIMAL(12,2)) AS DOUBLE) AS surface_reelle_bati "
+    "FROM l WHERE import_year = 1997"
+)
+def rearranged_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A year that came in two loads, rewritten as one along the curve: the same rows."""
+    year = spark.table(imported_table(spark, folder)).filter("import_year = 1997")
+    name = new_table(spark, "rearranged")
+    create_table(spark, name)
+    for half in ("code_postal < '00050'", "NOT coalesce(code_postal < '00050', false)"):
+        append_rows(year.filter(half), name)
+    rearrange_year(spark, name, 1997)
+    numbers = ("valeur_fonciere", "surface_reelle_bati")
+    return spark.table(name).select(
+        *_STORED, *[F.col(column).cast("double").alias(column) for column in numbers]
+    )
+
+
 @_register(
     f"{_LOADED_SQL} SELECT import_year, count(*) AS record_count FROM l "
     "WHERE import_year <> 1996 GROUP BY import_year"

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+from bisect import bisect_left
 from datetime import date, timedelta
 from decimal import Decimal
 
@@ -8,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from landprice.operators import sketches
 from landprice.operators.dedup import insert_if_absent, keep_first, new_rows
 from landprice.operators.filters import (
     Filters,
@@ -273,3 +276,38 @@ def test_sample_is_reproducible(spark):
 def test_scratch_lies_in_the_checkpoint_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert sorted(r.id for r in materialised(spark.range(3), "x").collect()) == [0, 1, 2]
+
+
+# --- sketches
+
+
+def test_merged_sketches_answer_like_one_sketch(spark):
+    rng = random.Random(5)
+    rows = [(f"g{i % 3}", i % 40, rng.lognormvariate(10, 2)) for i in range(30_000)]
+    rows += [("none", 1, None), ("none", 2, float("nan")), ("one", 1, 5.0), (None, 1, 7.0), (None, 2, 9.0)]
+    df = spark.createDataFrame(rows, "g string, part int, v double")
+    probabilities = (0.0, 0.1, 0.5, 0.9, 1.0)
+    cells = sketches.sketched(df, {"v": F.col("v")}, ["g", "part"])
+    found = {
+        r.g: r for r in sketches.approximate_distribution(
+            sketches.merged(cells, ["v"], ["g"]), ["v"], probabilities, ["g"]).collect()
+    }
+    assert found["none"].rows == 2 and tuple(found["none"].v) == (0, None, None, None, None)
+    assert tuple(found["one"].v) == (1, 5.0, 5.0, 5.0, [5.0] * 5)
+    assert found[None].v.q[0] == 7.0 and found[None].v.q[-1] == 9.0 and found[None].rows == 2
+    for g in ("g0", "g1", "g2"):
+        values = sorted(v for x, _, v in rows if x == g)
+        for p, q in zip(probabilities, found[g].v.q):
+            assert abs(bisect_left(values, q) - p * len(values)) <= sketches.RANK_ERROR * len(values) + 1
+        assert (found[g].v.low, found[g].v.high, found[g].v.n) == (values[0], values[-1], len(values))
+    # A further load is one more cell; without sales there is one empty row.
+    more = cells.unionByName(sketches.sketched(df.filter("g = 'one'"), {"v": F.col("v")}, ["g", "part"]))
+    assert sketches.merged(more, ["v"], ["g"]).filter("g = 'one'").first().v.n == 2
+    empty = sketches.merged(cells.limit(0), ["v"])
+    assert [(r.rows, r.v.n, r.v.q) for r in sketches.approximate_distribution(empty, ["v"], probabilities).collect()] == [(0, 0, None)]
+
+
+def test_sketches_shuffle_no_value(spark):
+    df = spark.range(100_000).select((F.col("id") % 7).alias("g"), F.col("id").cast("double").alias("v"))
+    plan = sketches.sketched(df, {"v": F.col("v")}, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("partial_kll") > plan.index("Exchange")
