@@ -51,7 +51,8 @@ def arranged(rows: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """
     bounds = rank_bounds(rows if like is None else like, LAYOUT)
     placed = with_curve_position(rows, bounds, "_curve")
-    order = ["import_year", "_curve", *LAYOUT]
+    years = [name for name in ("import_year",) if name in rows.columns]
+    order = [*years, "_curve", *LAYOUT]
     ends = [name for name in POSITION if name in rows.columns] or ["id_mutation"]
     ranged = placed.repartitionByRange(*[F.col(name) for name in [*order, *ends]])
     return ranged.sortWithinPartitions(*order).drop("_curve")
