@@ -19,6 +19,7 @@ from landprice.operators.filters import (
 from landprice.operators.sketches import RANK_ERROR, approximate_distribution, merged, sketched
 from landprice.plans.analysis import (
     analyse_by_parcel,
+    analyse_every_parcel,
     analyse_prices,
     count_transactions,
     mean_price_by_type,
@@ -337,6 +338,14 @@ def analyse_parcels(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded_analysis(analyse_by_parcel(sales_view(spark, folder), list(_PARCELS)))
 
 
+@_register(
+    f"WITH v AS ({SALES_SQL}) SELECT id_parcelle AS parcelle, {_ANALYSIS} FROM v "
+    "WHERE id_parcelle IS NOT NULL GROUP BY id_parcelle"
+)
+def analyse_all_parcels(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded_analysis(analyse_every_parcel(sales_view(spark, folder)))
+
+
 @_register(
     f"WITH v AS ({SALES_SQL}) SELECT type_local, round(avg(valeur_fonciere), 4) AS prix_moyen "
     "FROM v GROUP BY type_local"

@@ -23,6 +23,8 @@ from landprice.session import materialised
 
 _COARSE = 1 << 14
 _FINE = 1 << 30
+#: Groups of up to this many rows fit in one task's aggregate, also many at a time.
+GROUP_ROWS = 1 << 16
 
 
 def interpolated(low: Column, high: Column, position: Column) -> Column:
@@ -33,6 +35,11 @@ def interpolated(low: Column, high: Column, position: Column) -> Column:
     )
 
 
+def _number(column: Column) -> Column:
+    value = column.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def _scaled(value: Column, steps: int) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(steps))).cast("bigint")
 
@@ -59,12 +66,8 @@ def distribution(
     by = list(by)
     keys = [*by, "measure"]
 
-    def number(column: Column) -> Column:
-        value = column.cast("double")
-        return F.when(~F.isnan(value), value)
-
     named = [
-        F.struct(F.lit(name).alias("measure"), number(column).alias("v"))
+        F.struct(F.lit(name).alias("measure"), _number(column).alias("v"))
         for name, column in measures.items()
     ]
 
@@ -109,7 +112,7 @@ def distribution(
         # Two cells for each probability and measure at most.
         ends = picked.filter("cell_low is not null").select("measure", "cell_low", "cell_high")
         ranges = [
-            number(measures[row.measure]).between(row.cell_low, row.cell_high)
+            _number(measures[row.measure]).between(row.cell_low, row.cell_high)
             for row in ends.collect()
         ]
         values = measured(df.filter(reduce(or_, ranges, F.lit(False))))
@@ -159,6 +162,53 @@ def distribution(
     )
 
 
+def grouped_distribution(
+    df: DataFrame,
+    measures: Mapping[str, Column],
+    probabilities: Sequence[float],
+    by: Sequence[str],
+    group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """``distribution`` for any number of groups, most of them small.
+
+    A first pass counts rows per group with map-side combine and keeps the groups over
+    ``group_rows``; there are at most rows / ``group_rows`` of them. All others take the built-in
+    percentile, whose state such a group bounds: one aggregate, whose shuffle carries each distinct
+    value of a group once per map task, and no join. The large groups go through ``distribution``.
+    They are written first, so the plan knows their size, and only if there are any are the rows
+    told apart, by a join with that short list.
+    """
+    by = list(by)
+    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    large = materialised(counted.filter(F.col("_rows") > F.lit(group_rows)).select(*by), "groups")
+    found = not large.isEmpty()
+    small = df.join(large, _same(df, large, by), "left_anti") if found else df
+    values = small.select(
+        *by, *[_number(column).alias(f"_v{i}") for i, column in enumerate(measures.values())]
+    )
+    at = F.array(*[F.lit(float(p)) for p in probabilities])
+    nothing = F.array(*[F.lit(None).cast("double") for _ in probabilities])
+
+    def summary(name: str, value: str) -> Column:
+        n = F.count(value)
+        return F.struct(
+            n.alias("n"),
+            (F.sum(value) / F.when(n > 0, n)).alias("mean"),
+            F.min(value).alias("low"),
+            F.max(value).alias("high"),
+            F.coalesce(F.percentile(value, at), nothing).alias("q"),
+        ).alias(name)
+
+    grouped = values.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[summary(name, f"_v{i}") for i, name in enumerate(measures)],
+    )
+    if not found:
+        return grouped
+    rest = df.join(large, _same(df, large, by), "left_semi")
+    return grouped.unionByName(distribution(rest, measures, probabilities, by))
+
+
 def _narrow(counts: DataFrame, picked: DataFrame, keys: Sequence[str], step: str) -> DataFrame:
     """Rank ranges of the next finer step inside the picked cells."""
     joined = picked.join(

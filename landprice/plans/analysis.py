@@ -15,7 +15,7 @@ from landprice.functions.prices import (
 )
 from landprice.operators.filters import apply_analysis_filters, garage_filter, postal_prefix
 from landprice.operators.outliers import MEDIAN
-from landprice.operators.quantiles import distribution
+from landprice.operators.quantiles import distribution, grouped_distribution
 from landprice.schema import FLAT
 from landprice.session import materialised
 
@@ -91,7 +91,7 @@ def analyse_by_parcel(
     leveled = rows.select(
         "valeur_fonciere", "surface_reelle_bati", F.inline(F.array(*levels))
     )
-    found = distribution(
+    found = grouped_distribution(
         leveled,
         _measures(),
         [MEDIAN],
@@ -121,6 +121,17 @@ def analyse_by_parcel(
     return result.orderBy("niveau", "parcelle").drop("niveau")
 
 
+def analyse_every_parcel(df: DataFrame, type_local: str | None = None) -> DataFrame:
+    """The analysis of each parcel of the register, however many there are."""
+    rows = apply_analysis_filters(df, type_local=type_local).filter(F.col("id_parcelle").isNotNull())
+    found = grouped_distribution(rows, _measures(), [MEDIAN], ["id_parcelle"])
+    return found.select(
+        F.col("id_parcelle").alias("parcelle"),
+        F.col("rows").alias("nombre_transactions"),
+        *_statistics(),
+    )
+
+
 def mean_price_by_type(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("type_local")

@@ -25,7 +25,7 @@ from landprice.operators.filters import (
     usable_years,
 )
 from landprice.operators.outliers import sample_rows
-from landprice.operators.quantiles import distribution
+from landprice.operators.quantiles import distribution, grouped_distribution
 from landprice.operators.topn import recent_rows
 from landprice.session import materialised, scratch_path
 from tests.samples import sales
@@ -146,7 +146,15 @@ def _expected(values):
     return len(series), series.mean(), list(series.quantile(PROBABILITIES))
 
 
-def test_distribution_matches_pandas(spark):
+@pytest.fixture(params=["cells", "small groups", "by size"])
+def exact_distribution(request):
+    if request.param == "cells":
+        return distribution
+    bound = {} if request.param == "small groups" else {"group_rows": 350}
+    return lambda *arguments: grouped_distribution(*arguments, **bound)
+
+
+def test_distribution_matches_pandas(spark, exact_distribution):
     rng = np.random.default_rng(3)
     groups = {
         "hot": list(np.round(rng.lognormal(12, 0.7, 6000), 2)),
@@ -163,7 +171,7 @@ def test_distribution_matches_pandas(spark):
     )
     measures = {"a": F.col("v"), "b": F.when(F.col("i") > 0, F.col("v") * 2)}
     found = {
-        row.k: row for row in distribution(df, measures, PROBABILITIES, ["k"]).collect()
+        row.k: row for row in exact_distribution(df, measures, PROBABILITIES, ["k"]).collect()
     }
     assert set(found) == set(groups)
     for key, values in groups.items():
@@ -192,6 +200,11 @@ def test_distribution_never_uses_the_one_task_percentile(spark):
     assert "percentile" not in plan.optimizedPlan().toString().lower()
 
 
+def test_grouped_distribution_of_nothing_is_empty(spark):
+    empty = spark.range(0).select("id", F.lit(1.0).alias("v"))
+    assert grouped_distribution(empty, {"a": F.col("v")}, [0.5], ["id"]).collect() == []
+
+
 # --- top n
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landprice.operators.dedup import new_rows
-from landprice.operators.quantiles import distribution
+from landprice.operators.quantiles import distribution, grouped_distribution
 from landprice.operators.filters import Filters, apply_report_filters, garage_filter
 from landprice.plans.analysis import mean_price_m2
 from landprice.plans.price_report import price_report
@@ -136,6 +136,22 @@ def test_quantiles_shuffle_no_values(stored, by):
     assert "partial_count" in scan[scan.rindex("Exchange hashpartitioning") :]
 
 
+def test_quantiles_of_many_groups_join_no_values(spark):
+    sales = spark.range(300_000).select(
+        (F.col("id") % 100_000).alias("place"), F.col("id").cast("double").alias("price")
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = grouped_distribution(sales, {"price": F.col("price")}, [0.5], ["place"])
+        text = ran(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found.count() == 100_000
+    assert found.filter(F.col("price.q")[0] != F.col("place") + 100_000).isEmpty()
+    final = text[: text.index("Initial Plan")]
+    assert "Join" not in final and final.count("Exchange") == 1
+
+
 def test_long_lists_shuffle_nothing(stored):
     filters = Filters(parcelles=[f"P{i:06d}" for i in range(1500)])
     text = plan(apply_report_filters(stored, filters))
