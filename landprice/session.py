@@ -68,6 +68,12 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(entry.getPath().getName() for entry in files.listStatus(place))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or anything that fits its pattern, is there."""
+    place, files = _place(spark, path)
+    return bool(files.globStatus(place))
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     place, files = _place(spark, path)
     files.mkdirs(place)

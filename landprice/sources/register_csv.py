@@ -59,7 +59,14 @@ def parse_header(line: str) -> list[str]:
 
 
 def read_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """The first line of every file below the paths that has any, found by one job.
+    """The first line of every file below the paths that has any."""
+    return read_group_headers(spark, {0: paths})[0]
+
+
+def read_group_headers(
+    spark: SparkSession, groups: Mapping[int, Sequence[str]]
+) -> dict[int, dict[str, str]]:
+    """The first line of every non-empty file of each group of paths, found by one job.
 
     Each file starts a task of its own, which stops after its first batch of lines; later blocks
     of a large file give their first line too, which is left out.
@@ -68,7 +75,10 @@ def read_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
     alone = spark.newSession()
     whole = alone.conf.get("spark.sql.files.maxPartitionBytes")
     alone.conf.set("spark.sql.files.openCostInBytes", whole)
-    lines = text_lines(alone, paths)
+    lines = reduce(
+        DataFrame.union,
+        [text_lines(alone, paths).withColumn("_group", F.lit(group)) for group, paths in groups.items()],
+    )
 
     def first_line(batches):
         for batch in batches:
@@ -76,8 +86,10 @@ def read_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
                 yield batch.slice(0, 1)
                 return
 
-    firsts = lines.mapInArrow(first_line, lines.schema).filter("_block = 0").collect()
-    return {unquote(row._file): row.value.strip() for row in firsts}
+    headers: dict[int, dict[str, str]] = {group: {} for group in groups}
+    for row in lines.mapInArrow(first_line, lines.schema).filter("_block = 0").collect():
+        headers[row._group][unquote(row._file)] = row.value.strip()
+    return headers
 
 
 def by_layout(headers: Mapping[str, str]) -> dict[tuple[str, ...], list[str]]:
@@ -163,9 +175,11 @@ def clean_records(raw: DataFrame) -> DataFrame:
     return cleaned.select(F.inline(F.array(outcome)))
 
 
-def read_register(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Cleaned rows and rejects of files, each bound by its own header."""
-    headers = read_headers(spark, paths)
+def read_register(
+    spark: SparkSession, paths: Sequence[str], headers: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Cleaned rows and rejects of files, each bound by its own header, which is read if not given."""
+    headers = read_headers(spark, paths) if headers is None else headers
     layouts = by_layout(headers)
     if not layouts:
         raise ValueError(f"no header in {', '.join(paths)}")

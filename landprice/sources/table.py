@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,18 +68,20 @@ def append_rows(rows: DataFrame, name: str) -> int:
     return written.rows
 
 
-def insert_new(batch: DataFrame, name: str, **options) -> int:
+def insert_new(
+    batch: DataFrame, name: str, order: Sequence[str] = POSITION, **options
+) -> int:
     """Insert the rows whose key is neither repeated in the batch nor in the table, as one load.
 
-    ``batch`` carries the line positions, which order equal keys. Nothing is visible before all
+    ``batch`` carries the line positions, which order equal keys unless told otherwise. Nothing is visible before all
     is; the key holds against writers that publish meanwhile. The number of inserted rows is
     counted in the written files, so task retries and other writers cannot distort it.
     """
     spark = batch.sparkSession
     spark.catalog.refreshTable(name)
     seen = loads.latest_load(spark, name)
-    order = [F.col(part) for part in POSITION]
-    fresh = new_rows(batch, spark.table(name).filter(F.col(LOAD) <= seen), order)
+    first = [F.col(part) for part in order]
+    fresh = new_rows(batch, spark.table(name).filter(F.col(LOAD) <= seen), first)
     return loads.add_load(fresh, name, seen, lambda rows: arranged(rows, batch), **options)
 
 
@@ -87,6 +89,15 @@ def year_count(spark: SparkSession, name: str, year: int) -> int:
     return spark.table(name).filter(F.col("import_year") == F.lit(year).cast("short")).count()
 
 
+def year_counts(spark: SparkSession, name: str, years: Iterable[int]) -> dict[int, int]:
+    """Rows of each of these years that has any; years without a partition are not looked at."""
+    held = sorted({year for year, _ in loads.partitions(spark, name)} & set(years))
+    if not held:
+        return {}
+    rows = spark.table(name).filter(F.col("import_year").isin(held))
+    return {row.import_year: row["count"] for row in rows.groupBy("import_year").count().collect()}
+
+
 def has_year(spark: SparkSession, name: str, year: int) -> bool:
     return not spark.table(name).filter(
         F.col("import_year") == F.lit(year).cast("short")

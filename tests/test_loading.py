@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from landprice.plans import imports
 from landprice.plans.imports import import_files, import_years, stage_and_count
 from landprice.plans.price_report import price_report
 from landprice.operators import layout
@@ -90,6 +91,51 @@ def test_year_range_rules(spark, table, tmp_path):
     assert statuses(import_years(spark, table, template, 2022, 2022)) == {2022: ("success", 2, 2)}
 
 
+def test_following_years_are_one_load_in_year_order(spark, table, tmp_path):
+    for year in (2021, 2022, 2023, 2025):
+        key = line(id_mutation="a", lot1_numero="1", nom_commune=str(year))
+        year_file(tmp_path, year, [key, line(id_mutation=f"b{year}")])
+    template = f"{tmp_path}/{{year}}"
+    import_years(spark, table, template, 2022, 2022)
+    everything = import_years(spark, table, template, 2020, 2025)
+    assert statuses(everything) == {
+        2020: ("failed", None, 0),
+        2021: ("success", 1, 1),
+        2022: ("already_imported", 2, 0),
+        2023: ("success", 1, 1),
+        2024: ("failed", None, 0),
+        2025: ("success", 1, 1),
+    }
+    # 2022 parts the years; what lies on either side of it is one load each.
+    assert sorted(loads.partitions(spark, table)) == [
+        (0, 1), (0, 2), (0, 3), (2021, 2), (2022, 1), (2023, 3), (2025, 3)
+    ]
+    assert spark.table(table).filter("id_mutation = 'a'").first().nom_commune == "2022"
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_a_failing_load_is_tried_year_by_year(spark, table, tmp_path, monkeypatch, late):
+    for year in (2021, 2022, 2023):
+        year_file(tmp_path, year, [line(id_mutation="a", lot1_numero="1"), line(id_mutation="b")])
+    real = imports.insert_new
+
+    def fails(batch, *arguments, before_publish, **options):
+        if batch.select("import_year").distinct().count() > 1:
+            if late:  # something may be visible already, so nothing may be tried again
+                real(batch, *arguments, before_publish=before_publish, **options)
+            raise RuntimeError("several years")
+        return real(batch, *arguments, before_publish=before_publish, **options)
+
+    monkeypatch.setattr(imports, "insert_new", fails)
+    result = import_years(spark, table, f"{tmp_path}/{{year}}", 2021, 2023)
+    found = statuses(result)
+    if late:
+        assert {status for status, _, _ in found.values()} == {"failed"}
+    else:
+        assert found == {2021: ("success", 2, 2), 2022: ("success", 1, 1), 2023: ("success", 1, 1)}
+    assert spark.table(table).count() == 4
+
+
 def test_files_in_one_group_dedup_in_path_order(spark, table, tmp_path):
     key = {"id_mutation": "k", "lot1_numero": "1"}
     paths = [
