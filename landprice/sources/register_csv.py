@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
+from threading import Lock
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,7 @@ YEAR_FILE = "full.csv.gz"
 # Every character a line is stripped of before parsing.
 _BLANKS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 _MALFORMED = "_malformed"
+_building = Lock()
 
 # Position of a line in the landed files; sorts as the file reads.
 POSITION = ("_file", "_block", "_line")
@@ -150,12 +152,11 @@ def unbound_records(lines: DataFrame) -> DataFrame:
     )
 
 
-def clean_records(raw: DataFrame) -> DataFrame:
-    """Typed columns; rows that cannot be stored get a reason instead of failing the load."""
-    others = [name for name in raw.columns if name not in REGISTER_COLUMNS]
-    cleaned = raw.select(
-        *others, *[clean_value(name, F.col(name)).alias(name) for name in REGISTER_COLUMNS]
-    )
+@lru_cache(maxsize=16)
+def _cleaning(application: str, others: tuple[str, ...]) -> tuple[list[Column], Column]:
+    """Expressions of the cleaning step. They are some thousand calls into the JVM and the same for
+    every file group, so an application builds them once."""
+    cleaned = [clean_value(name, F.col(name)).alias(name) for name in REGISTER_COLUMNS]
     misfits = [
         F.when(misfit, F.lit(f"storage:{name}"))
         for name in REGISTER_COLUMNS
@@ -171,8 +172,16 @@ def clean_records(raw: DataFrame) -> DataFrame:
         reason.alias("reject_reason"),
         F.when(reason.isNotNull(), line).alias("raw_line"),
     )
+    return cleaned, outcome
+
+
+def clean_records(raw: DataFrame) -> DataFrame:
+    """Typed columns; rows that cannot be stored get a reason instead of failing the load."""
+    others = tuple(name for name in raw.columns if name not in REGISTER_COLUMNS)
+    with _building:
+        cleaned, outcome = _cleaning(raw.sparkSession.sparkContext.applicationId, others)
     # A filter on the reason can't move below the generated row, so nothing is cleaned twice.
-    return cleaned.select(F.inline(F.array(outcome)))
+    return raw.select(*others, *cleaned).select(F.inline(F.array(outcome)))
 
 
 def read_register(
