@@ -26,11 +26,13 @@ from landprice.plans.analysis import (
     mean_price_m2,
 )
 from landprice.plans.imports import import_files, import_years
+from landprice.plans.kept_report import garage_report, whole_population_summary
 from landprice.plans.price_report import as_json, filtered_sales, outlier_report, price_report
 from landprice.plans.trends import daily_prices, mean_surface, surface_histogram
 from landprice.schema import DATA_SCHEMA, REPORT_LIMIT
 from landprice.session import discard, materialised, scratch_path
 from landprice.sources.register_csv import accepted, clean_records, read_register, reject_report
+from landprice.sources.sides import OUTBUILDINGS, PRICE_CELLS, refresh
 from landprice.sources.star_view import SALES_SQL, sales_view
 from landprice.sources.table import (
     append_rows,
@@ -807,6 +809,59 @@ def register_price_report(spark: SparkSession, folder: str) -> DataFrame:
     return price_report(sales, Filters(years=[1996, 1997]), limit=REPORT_LIMIT).summary
 
 
+@_register(
+    _summary_of(
+        f"{_STORED_POPULATION}, s AS (SELECT *, valeur_fonciere / surface_reelle_bati AS prix_m2 "
+        f"FROM d WHERE {_VALID})"
+    )
+)
+def register_whole_population(spark: SparkSession, folder: str) -> DataFrame:
+    name = imported_table(spark, folder)
+    refresh(spark, name, PRICE_CELLS)
+    return whole_population_summary(spark, name)
+
+
+@_register(
+    _summary_of(
+        f"{_STORED_POPULATION}, s AS (SELECT *, valeur_fonciere / surface_reelle_bati AS prix_m2 "
+        f"FROM d WHERE {_VALID.replace('Appartement', 'Maison')}{_TWO_YEARS} "
+        "AND code_postal IN ('00010', '00020', '00077'))"
+    )
+)
+def register_population_of_places(spark: SparkSession, folder: str) -> DataFrame:
+    name = imported_table(spark, folder)
+    refresh(spark, name, PRICE_CELLS)
+    places = ["00010", "00020", "00077"]
+    filters = Filters(type_local="Maison", years=[1996, 1997], codes_postaux=places)
+    return whole_population_summary(spark, name, filters)
+
+
+@_register(
+    _summary_of(
+        f"{_STORED_POPULATION}, s AS (SELECT *, valeur_fonciere / surface_reelle_bati AS prix_m2 "
+        f"FROM d WHERE {_VALID} AND id_mutation IN "
+        f"(SELECT id_mutation FROM d WHERE type_local = 'Dépendance') {_RECENT} LIMIT {REPORT_LIMIT})"
+    )
+)
+def register_report_with_garage(spark: SparkSession, folder: str) -> DataFrame:
+    name = imported_table(spark, folder)
+    refresh(spark, name, OUTBUILDINGS)
+    return garage_report(spark, name, "avec", limit=REPORT_LIMIT).summary
+
+
+@_register(
+    _summary_of(
+        f"{_STORED_POPULATION}, s AS (SELECT *, valeur_fonciere / surface_reelle_bati AS prix_m2 "
+        f"FROM d WHERE {_VALID} AND id_mutation NOT IN "
+        f"(SELECT id_mutation FROM d WHERE type_local = 'Dépendance') {_RECENT} LIMIT {REPORT_LIMIT})"
+    )
+)
+def register_report_without_garage(spark: SparkSession, folder: str) -> DataFrame:
+    name = imported_table(spark, folder)
+    refresh(spark, name, OUTBUILDINGS)
+    return garage_report(spark, name, "sans", limit=REPORT_LIMIT).summary
+
+
 @_register(
     f"{_STORED_POPULATION}, f AS (SELECT * FROM d WHERE id_parcelle IN ({_PARCEL_LIST})), "
     f"p AS (SELECT id_parcelle, {_ANALYSIS} FROM f GROUP BY id_parcelle) "

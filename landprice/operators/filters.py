@@ -148,7 +148,12 @@ def apply_analysis_filters(
     return kept
 
 
-def garage_filter(rows: DataFrame, unfiltered: DataFrame, option: str = "tous") -> DataFrame:
+def garage_filter(
+    rows: DataFrame,
+    unfiltered: DataFrame,
+    option: str = "tous",
+    outbuildings: DataFrame | None = None,
+) -> DataFrame:
     """Keep sales with ("avec") or without ("sans") an outbuilding row.
 
     The outbuildings come from the unfiltered data: they have no built surface, so the
@@ -156,12 +161,13 @@ def garage_filter(rows: DataFrame, unfiltered: DataFrame, option: str = "tous")
     so a sale with many outbuildings is one row on that side. The distinct also groups by
     a hash of the id: its shuffle is then not the one the join needs, the join gets its
     own on both sides, and adaptive execution can split a sale with very many rows.
+    Where the ids of sales with an outbuilding are at hand, ``unfiltered`` is not read.
     """
     if option not in GARAGE_OPTIONS:
         raise ValueError(f"garage option must be one of {GARAGE_OPTIONS}, not {option!r}")
     if option == "tous":
         return rows
-    with_garage = (
+    with_garage = outbuildings if outbuildings is not None else (
         unfiltered.filter(F.col("type_local") == F.lit(OUTBUILDING))
         .select("id_mutation", F.xxhash64("id_mutation").alias("_hash"))
         .distinct()

@@ -73,9 +73,14 @@ class PriceReport:
         return sale_records(self.recent)
 
 
-def filtered_sales(df: DataFrame, filters: Filters, garage: str = "tous") -> DataFrame:
+def filtered_sales(
+    df: DataFrame,
+    filters: Filters,
+    garage: str = "tous",
+    outbuildings: DataFrame | None = None,
+) -> DataFrame:
     """Filtered and projected sales as doubles, with the price per square metre."""
-    rows = garage_filter(apply_report_filters(df, filters), df, garage)
+    rows = garage_filter(apply_report_filters(df, filters), df, garage, outbuildings)
     present = set(df.columns)
     doubles = {"valeur_fonciere": price(), "surface_reelle_bati": surface()}
     shown = dict.fromkeys(name for name in (*NEEDED, *OPTIONAL, *KEY) if name in present)
@@ -118,9 +123,14 @@ def price_report(
     filters: Filters = Filters(),
     limit: int | None = None,
     garage: str = "tous",
+    outbuildings: DataFrame | None = None,
 ) -> PriceReport:
-    """Statistics run on the whole population, or on its ``limit`` most recent rows."""
-    return PriceReport(filtered_sales(df, filters, garage), limit, garage != "tous")
+    """Statistics run on the whole population, or on its ``limit`` most recent rows.
+
+    ``outbuildings`` holds the ids of all sales with an outbuilding, if they are kept somewhere.
+    """
+    sales = filtered_sales(df, filters, garage, outbuildings)
+    return PriceReport(sales, limit, garage != "tous")
 
 
 @dataclass(frozen=True)
