@@ -2,8 +2,11 @@
 
 Tokens are summed by source, language and topic. Weights of these cells are raked to the target
 share of each source, language and topic in turn; a cell is never asked for more tokens than it
-has. A document is then kept with probability asked / present of its cell, decided by a hash of
-its id, so the expected tokens of each margin are the target. DataFrame functions only.
+has, and what a full cell cannot give the other cells of its group do. A group that holds less than
+its target is asked for all it has, and the rest of the budget goes to the other groups in proportion
+(``reachable``). A document is then kept with probability asked / present of its cell, decided by a
+hash of its id, so the expected tokens are the budget and, where the margins can be met together,
+those of each margin are the reachable target; ``margin_report`` states both. DataFrame functions only.
 
 Defined results: a null source or language is a group of its own; null text has no tokens and
 is kept with its cell's probability; a cell without tokens has probability 1, since it costs
@@ -27,6 +30,8 @@ BUDGET = 0.5
 FLATTENING = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 #: Rounds over the three margins.
 SWEEPS = 8
+#: Relative differences under this are rounding, not a cell with room or a group over its target.
+ROUNDING = 1e-9
 #: Topics by the first marker that a text holds, in this order; the rest is prose.
 TOPICS: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("legal", ("License", "Licensed under", "Copyright")),
@@ -85,35 +90,86 @@ def flattened_targets(table: DataFrame, powers: dict[str, float] = FLATTENING) -
     return out
 
 
+def reachable(table: DataFrame, targets: DataFrame, name: str, budget: float = BUDGET) -> DataFrame:
+    """``targets`` of one dimension cut at what its groups hold, the rest spread over the others.
+
+    All groups that are not full get one multiple of their target. It only grows from round to
+    round, and each round fills another group, so the rounds end; one number comes to the driver.
+    """
+    total = table.agg(F.sum("tokens")).first()[0] or 0
+    held = table.groupBy(name).agg(F.sum("tokens").alias("n")).filter("n > 0")
+    held = held.select(name, (F.col("n") / F.lit(float(budget * total or 1))).alias("most"))
+    groups = materialised(held.join(targets, name), "margins")
+    multiple, before = 1.0, 0
+    while True:
+        full = F.col("target") * F.lit(multiple) >= F.col("most")
+        now = groups.agg(
+            F.count_if(full), F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("target")))
+        ).first()
+        if now[0] == before or not now[2]:
+            break
+        before, multiple = now[0], (1 - now[1]) / now[2]
+    return groups.select(name, F.least("most", F.col("target") * F.lit(multiple)).alias("target"))
+
+
 def fitted(
     table: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET, sweeps: int = SWEEPS
 ) -> DataFrame:
     """``table`` with ``probability``. Cells without a target in some dimension are not asked for.
 
-    Margins are summed with map-side combine and joined back; the written rounds keep plans
-    short and make a lost executor cost one round.
+    A cell's weight may exceed what it holds; it counts as full then and only the other cells of a
+    group are scaled, so that a group's sum is its target. If the full cells alone exceed the target,
+    all of the group are scaled down from what they hold. Margins are summed with map-side combine
+    and joined back; the written rounds keep plans short and make a lost executor cost one round.
     """
     total = table.agg(F.sum("tokens")).first()[0] or 0
     asked = budget * total
+    targets = {name: reachable(table, targets[name], name, budget) for name in DIMENSIONS}
     now = table.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
     most = F.col("tokens") / F.lit(float(asked or 1))
+    full = F.col("weight") >= most * F.lit(1 - ROUNDING)
     for sweep in range(sweeps):
         for name in DIMENSIONS:
-            sums = now.groupBy(name).agg(F.sum("weight").alias("present"))
+            sums = now.groupBy(name).agg(
+                F.coalesce(F.sum(F.when(full, most)), F.lit(0.0)).alias("held"),
+                F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)).alias("free"),
+            )
+            target = F.coalesce("target", F.lit(0.0))
+            over = F.col("held") > target * F.lit(1 + ROUNDING)
             factors = sums.join(targets[name], name, "left").select(
                 name,
-                F.when(F.col("present") > 0, F.coalesce("target", F.lit(0.0)) / F.col("present"))
-                .otherwise(0.0).alias("factor"),
-            )
-            now = now.join(factors, name).withColumn(
-                "weight", F.least(most, F.col("weight") * F.col("factor"))
+                over.alias("over"),
+                F.when(over, target / (F.col("held") + F.col("free")))
+                .when(F.col("free") > 0, (target - F.col("held")) / F.col("free"))
+                .otherwise(1.0).alias("factor"),
             )
+            start = F.when(F.col("over"), F.least(most, F.col("weight"))).otherwise(F.col("weight"))
+            now = now.join(factors, name).withColumn("weight", start * F.col("factor"))
             now = now.select(*DIMENSIONS, "tokens", "weight")
         now = materialised(now, "rake")
     share = F.when(F.col("tokens") > 0, F.col("weight") * asked / F.col("tokens")).otherwise(1.0)
     return now.select(*DIMENSIONS, "tokens", F.least(F.lit(1.0), share).alias("probability"))
 
 
+def margin_report(
+    table: DataFrame, chances: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET
+) -> DataFrame:
+    """Per dimension and group: shares of the budget that were wanted, could be had, and are expected."""
+    total = table.agg(F.sum("tokens")).first()[0] or 0
+    asked, out = F.lit(float(budget * total or 1)), None
+    for name in DIMENSIONS:
+        expected = chances.groupBy(name).agg(
+            (F.sum(F.col("tokens") * F.col("probability")) / asked).alias("expected")
+        )
+        could = reachable(table, targets[name], name, budget).withColumnRenamed("target", "reachable")
+        rows = targets[name].join(could, name).join(expected, name).select(
+            F.lit(name).alias("dimension"), F.col(name).alias("group"),
+            F.col("target").alias("wanted"), "reachable", "expected",
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _slim(df: DataFrame, text: str, topics, id_column: str) -> DataFrame:
     rows = df.select(
         df[id_column].alias("doc_id"), *(x.alias(k) for k, x in _keys(df, text, topics).items()),
@@ -162,15 +218,28 @@ def oracle_sql(topics=TOPICS, budget: float = BUDGET, sweeps: int = SWEEPS) -> s
         for name in DIMENSIONS:
             now = f"w{sweep}_{name}"
             steps.append(f"""
-{now} AS (SELECT source, lang, topic, tokens, least(tokens / (SELECT asked FROM totals),
-    weight * coalesce(target, 0) / sum(weight) OVER (PARTITION BY {name})) AS weight
-    FROM {before} LEFT JOIN t_{name} USING ({name}))""")
+{now} AS (SELECT * EXCLUDE (most, target, held, free, weight),
+    CASE WHEN held > target * {1 + ROUNDING} THEN least(most, weight) * target / (held + free)
+         WHEN free > 0 THEN weight * (target - held) / free ELSE weight END AS weight
+    FROM (SELECT *, coalesce(sum(most) FILTER (weight >= most * {1 - ROUNDING}) OVER g, 0) AS held,
+        coalesce(sum(weight) FILTER (weight < most * {1 - ROUNDING}) OVER g, 0) AS free
+        FROM (SELECT {before}.*, tokens / (SELECT asked FROM totals) AS most,
+              coalesce(target, 0) AS target FROM {before} LEFT JOIN t_{name} USING ({name}))
+        WINDOW g AS (PARTITION BY {name})))""")
             before = now
+    # Groups in the order in which they fill up; the first that does not sets the multiple.
     targets = ",".join(
         f"""
-t_{name} AS (SELECT {name}, pow(sum(tokens), {FLATTENING[name]})
-    / sum(pow(sum(tokens), {FLATTENING[name]})) OVER () AS target
-    FROM cells GROUP BY {name} HAVING sum(tokens) > 0)"""
+p_{name} AS (SELECT {name}, sum(tokens) / (SELECT asked FROM totals) AS most,
+    pow(sum(tokens), {FLATTENING[name]}) / sum(pow(sum(tokens), {FLATTENING[name]})) OVER () AS part
+    FROM cells GROUP BY {name} HAVING sum(tokens) > 0),
+m_{name} AS (SELECT most / part AS fills,
+    (1 - coalesce(sum(most) OVER b, 0)) / (sum(part) OVER r) AS multiple FROM p_{name}
+    WINDOW b AS (ORDER BY most / part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+           r AS (ORDER BY most / part ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+t_{name} AS (SELECT {name}, least(most, part * (
+    SELECT coalesce(min_by(multiple, fills) FILTER (multiple < fills), max(fills)) FROM m_{name}
+    )) AS target FROM p_{name})"""
         for name in DIMENSIONS
     )
     return f"""

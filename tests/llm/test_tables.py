@@ -288,6 +288,44 @@ def test_raking_meets_its_targets(spark):
         assert got == pytest.approx({r[name]: r["target"] for r in targets[name].collect()}, rel=1e-3)
 
 
+def _filled(holds, wanted, budget):
+    """Water-filling by bisection over the common multiple."""
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        at = (low + high) / 2
+        if sum(min(holds[x], at * wanted[x]) for x in wanted) < budget:
+            low = at
+        else:
+            high = at
+    return {x: min(holds[x], high * wanted[x]) for x in wanted}
+
+
+def test_groups_that_hold_too_little_give_all_and_the_rest_is_spread(spark):
+    rows = [("big", "en", "prose", 90_000), ("big", "de", "prose", 6_000), ("big", "en", "table", 500),
+            ("rare", "en", "prose", 200), ("rare", "fr", "table", 100), ("mid", "de", "prose", 3_000),
+            ("mid", "fr", "legal", 200), ("mid", "en", "prose", 0)]
+    table = materialised(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"), "t")
+    targets = mixing.flattened_targets(table)
+    total = sum(r[3] for r in rows)
+    chances = materialised(mixing.fitted(table, targets, 0.5), "c")
+    kept = chances.agg(F.sum(F.expr("tokens * probability"))).first()[0]
+    assert kept == pytest.approx(0.5 * total, rel=1e-3)
+    report = mixing.margin_report(table, chances, targets, 0.5).collect()
+    short = 0
+    for i, name in enumerate(mixing.DIMENSIONS):
+        holds = Counter()
+        for r in rows:
+            holds[r[i]] += r[3] / (0.5 * total)
+        wanted = {r["group"]: r.wanted for r in report if r.dimension == name}
+        could = {r["group"]: r.reachable for r in report if r.dimension == name}
+        assert could == pytest.approx(_filled(holds, wanted, 1.0), rel=1e-9)
+        assert sum(could.values()) == pytest.approx(1)
+        short += sum(could[x] < 0.99 * wanted[x] for x in wanted)
+        expected = {r["group"]: r.expected for r in report if r.dimension == name}
+        assert sum(expected.values()) == pytest.approx(1, rel=1e-3)
+    assert short >= 3
+
+
 def test_mixing_of_odd_rows(odd, none):
     report = mixing.sample_report(odd)
     rows = report.collect()
