@@ -28,11 +28,12 @@ from landprice.plans.analysis import (
 from landprice.plans.imports import import_files, import_years
 from landprice.plans.kept_report import garage_report, whole_population_summary
 from landprice.plans.price_report import as_json, filtered_sales, outlier_report, price_report
+from landprice.plans.street_lookup import sales_in_streets
 from landprice.plans.trends import daily_prices, mean_surface, surface_histogram
 from landprice.schema import DATA_SCHEMA, REPORT_LIMIT
 from landprice.session import discard, materialised, scratch_path
 from landprice.sources.register_csv import accepted, clean_records, read_register, reject_report
-from landprice.sources.sides import OUTBUILDINGS, PRICE_CELLS, refresh
+from landprice.sources.sides import OUTBUILDINGS, PRICE_CELLS, STREETS, refresh
 from landprice.sources.star_view import SALES_SQL, sales_view
 from landprice.sources.table import (
     append_rows,
@@ -862,6 +863,27 @@ def register_report_without_garage(spark: SparkSession, folder: str) -> DataFram
     return garage_report(spark, name, "sans", limit=REPORT_LIMIT).summary
 
 
+_STREET_COLUMNS = "id_mutation, numero_disposition, code_postal, adresse_nom_voie"
+
+
+@_register(
+    f"{_LOADED_SQL} SELECT {_STREET_COLUMNS} FROM l WHERE contains(upper(adresse_nom_voie), 'TION_1')"
+)
+def register_street_search(spark: SparkSession, folder: str) -> DataFrame:
+    name = imported_table(spark, folder)
+    refresh(spark, name, STREETS)
+    return sales_in_streets(spark, name, "tion_1").select(*_STREET_COLUMNS.split(", "))
+
+
+@_register(
+    f"{_LOADED_SQL} SELECT {_STREET_COLUMNS} FROM l WHERE contains(upper(adresse_nom_voie), '_7')"
+)
+def register_street_search_short(spark: SparkSession, folder: str) -> DataFrame:
+    name = imported_table(spark, folder)
+    refresh(spark, name, STREETS)
+    return sales_in_streets(spark, name, "_7").select(*_STREET_COLUMNS.split(", "))
+
+
 @_register(
     f"{_STORED_POPULATION}, f AS (SELECT * FROM d WHERE id_parcelle IN ({_PARCEL_LIST})), "
     f"p AS (SELECT id_parcelle, {_ANALYSIS} FROM f GROUP BY id_parcelle) "

@@ -57,6 +57,18 @@ def _outbuildings(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return rows.filter(held).select(*by, "id_mutation").distinct()
 
 
+def _street_grams(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    places = rows.filter(F.length("adresse_nom_voie") > 0).select(*by, "adresse_nom_voie", "code_postal")
+    name = F.upper("adresse_nom_voie")
+    # Up to the last letter, where grams get shorter: a text of one or two letters starts some gram.
+    grams = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: name.substr(i, F.lit(GRAM)))
+    each = places.distinct().withColumn("gram", F.explode(F.array_distinct(grams)))
+    # Row groups of the kept files then hold few grams each.
+    return each.sortWithinPartitions(*by, "gram")
+
+
+#: Letters of a street name that are looked up together.
+GRAM = 3
 #: Counts of valid sales per sale year, type, postal code and cell of price and price per m².
 PRICE_CELLS = Side(
     "price_cells",
@@ -80,6 +92,13 @@ OUTBUILDINGS = Side(
     "outbuildings", T.StructType([T.StructField("id_mutation", T.StringType())]), _outbuildings
 )
 
+#: For every three letters of a street name the streets that hold them, and their postal codes.
+STREETS = Side(
+    "streets",
+    T.StructType([T.StructField(x, T.StringType()) for x in ("gram", "adresse_nom_voie", "code_postal")]),
+    _street_grams,
+)
+
 
 @dataclass(frozen=True)
 class Snapshot:
