@@ -1,14 +1,20 @@
-"""Probability of texts from a subword lattice under word counts of the corpus.
+"""Marginal probability of texts from a subword lattice.
 
-Every way to spell a word in pieces of an existing vocabulary is a path of its lattice; a
-forward recursion in log space sums all paths. The vocabulary's scores are the first weights.
-They are re-estimated from expected counts over the distinct words of the training texts, since
-the lattice serves words that counts do not cover. The model gives a word
-``(c + T * Q) / (N + T)``: ``c`` its count, ``N`` all tokens, ``T`` the number of distinct
-tokens, ``Q`` its lattice probability. An end is a token of its own.
+Every way to spell a text in pieces of an existing vocabulary is a path of its lattice; a
+forward recursion in log space sums all paths. No piece spans words, so the sum over a text is
+the product of the sums over its words, each with the space before it. The vocabulary's scores
+are the first weights. They are re-estimated from the expected uses of each piece in the training
+texts and keep a fixed share of the weight, whatever the number of texts. After a piece comes one
+that goes on with the word, one that opens a word, or the end; a text opens with one of the last
+two, so its probability is ``product of words * end / (opening + end)``: a distribution over all
+texts. That is the score.
+
+Beside it stands a mixture with word counts, which gives a word ``(c + T * Q) / (N + T)``: ``c``
+its count, ``N`` all tokens, ``T`` the number of distinct tokens, ``Q`` the lattice's probability
+of the word once a word is opened. An end is a token of its own.
 
 Defined results: null text is empty and holds one token, its end; a repeated row gives a
-repeated row; an empty table gives no rows; without training texts the lattice alone decides;
+repeated row; an empty table gives no rows; without training texts the vocabulary's own scores decide;
 bytes that are in no piece are spelled by the vocabulary's byte pieces.
 """
 
@@ -31,8 +37,8 @@ from landprice.session import materialised
 COMMON_WORDS = 1 << 16
 #: Rounds of re-estimation.
 ROUNDS = 2
-#: Weight, in expected pieces, of the vocabulary's own scores.
-PRIOR = 1_000.0
+#: Weight of the vocabulary's own scores for each expected use of a piece.
+PRIOR = 0.01
 #: A word with more bytes is summed on its own.
 _LONG = 64
 _COUNTED_WORDS = 300_000
@@ -42,11 +48,22 @@ END = b" "
 
 @dataclass
 class Lattice:
-    """Pieces of a vocabulary and their log probabilities; the last weight is the word's stop."""
+    """Pieces of a vocabulary and their log probabilities; the last weight is the text's end."""
 
     pieces: list[bytes]
     weights: np.ndarray
 
+    @cached_property
+    def opening(self) -> float:
+        """Log probability that a piece opens a word."""
+        opens = [piece.startswith(b" ") for piece in self.pieces]
+        return float(np.logaddexp.reduce(self.weights[:-1][opens]))
+
+    @cached_property
+    def boundary(self) -> float:
+        """Log probability that a word is over: another opens or the text ends."""
+        return float(np.logaddexp(self.opening, self.weights[-1]))
+
     @cached_property
     def _numbers(self) -> dict[bytes, int]:
         return {piece: i for i, piece in enumerate(self.pieces)}
@@ -100,7 +117,7 @@ class Lattice:
             yield places, np.frombuffer(joined, np.uint8).reshape(len(places), size)
 
     def forward(self, words: list[bytes]) -> np.ndarray:
-        """Log probability of each word over all its spellings, its stop included."""
+        """Log of the sum over all spellings of each word, with the space before it."""
         out = np.empty(len(words))
         for places, letters in self._groups(words):
             if letters.shape[1] > _LONG:
@@ -114,16 +131,17 @@ class Lattice:
                     value[end, rows], value[start, rows] + self.weights[numbers]
                 )
             out[places] = value[-1]
-        return out + self.weights[-1]
+        return out
 
-    def expected(self, words: list[bytes]) -> np.ndarray:
-        """Expected uses of each piece in spelling each word once; the last is of stops."""
+    def expected(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in spelling each word so many times."""
         counts = np.zeros(len(self.pieces) + 1)
         for places, letters in self._groups(words):
             if letters.shape[1] > _LONG:
                 for i in places:
-                    self._long(b" " + words[i], counts)
+                    self._long(b" " + words[i], counts, times[i])
                 continue
+            of_word = times[places]
             size = letters.shape[1]
             value = np.full((size + 1, len(places)), -np.inf)
             rest = value.copy()
@@ -135,13 +153,12 @@ class Lattice:
                 )
             for start, end, rows, numbers in sorted(edges, key=lambda x: -x[1]):
                 on = rest[end, rows] + self.weights[numbers]
-                uses = np.exp(value[start, rows] + on - value[size, rows])
+                uses = np.exp(value[start, rows] + on - value[size, rows]) * of_word[rows]
                 counts += np.bincount(numbers, uses, len(counts))
                 rest[start, rows] = np.logaddexp(rest[start, rows], on)
-        counts[-1] += len(words)
         return counts
 
-    def _long(self, word: bytes, counts: np.ndarray | None) -> float:
+    def _long(self, word: bytes, counts: np.ndarray | None, times: float = 1.0) -> float:
         """Forward sum of one word of any length; adds expected uses to ``counts``."""
         size, edges = len(word), []
         value = [-np.inf] * (size + 1)
@@ -157,7 +174,7 @@ class Lattice:
             rest[size] = 0.0
             for start, end, number in reversed(edges):
                 on = rest[end] + self.weights[number]
-                counts[number] += np.exp(value[start] + on - value[size])
+                counts[number] += times * np.exp(value[start] + on - value[size])
                 rest[start] = float(np.logaddexp(rest[start], on))
         return value[size]
 
@@ -184,8 +201,8 @@ def vocabulary(path: str) -> Lattice:
         found.setdefault(bytes([b]), least)
     pieces = sorted(found)
     weights = np.array([found[x] for x in pieces])
-    # One stop for about every three pieces.
-    weights = np.append(weights / weights.sum() * 0.75, 0.25)
+    # One end for about every thousand pieces.
+    weights = np.append(weights / weights.sum() * 0.999, 0.001)
     return Lattice(pieces, np.log(weights))
 
 
@@ -226,8 +243,10 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 
 def estimate(words: DataFrame, lattice: Lattice, rounds: int = ROUNDS) -> Lattice:
-    """Weights from expected piece counts over the distinct training words."""
-    taught = words.filter((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word")
+    """Weights from the expected uses of pieces in the training texts: each distinct word is
+    summed once and counts as often as it occurs."""
+    taught = words.filter((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word", "c")
+    ends = words.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     first = np.exp(lattice.weights)
     for _ in range(rounds):
         shared = words.sparkSession.sparkContext.broadcast(lattice)
@@ -235,7 +254,8 @@ def estimate(words: DataFrame, lattice: Lattice, rounds: int = ROUNDS) -> Lattic
         def run(batches, shared=shared):
             total = np.zeros(len(shared.value.pieces) + 1)
             for batch in batches:
-                total += shared.value.expected(batch.column("word").to_pylist())
+                times = batch.column("c").to_numpy().astype(float)
+                total += shared.value.expected(batch.column("word").to_pylist(), times)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at.astype(np.int32)), pa.array(total[at])], ["piece", "n"]
@@ -246,8 +266,11 @@ def estimate(words: DataFrame, lattice: Lattice, rounds: int = ROUNDS) -> Lattic
             map_batches(taught, run, "piece int, n double")
             .groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
         )
-        uses = PRIOR * first
-        uses[found["piece"].to_numpy()] += found["n"].to_numpy()
+        uses = np.zeros(len(first))
+        uses[found["piece"].to_numpy()] = found["n"].to_numpy()
+        uses[-1] = ends
+        # All texts may be held out.
+        uses += first * (PRIOR * uses.sum() or 1.0)
         lattice = Lattice(lattice.pieces, np.log(uses / uses.sum()))
     return lattice
 
@@ -270,7 +293,7 @@ def score_texts(
     df: DataFrame, path: str, held_out: str = "held_out", id_column: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """Word-count baseline and model score (log10) of each whole text.
+    """Word-count baseline, lattice marginal and mixture (all log10) of each whole text.
 
     Rows with ``held_out`` are scored but not learned from. Frequent words are summed inside
     the scan of the texts; the others meet their counts in one join, and a word that is not
@@ -285,40 +308,51 @@ def score_texts(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")
     ).first()
     n, v = totals["n"], totals["v"]
-    words = materialised(spelled(counts, estimate(counts, vocabulary(path))), "words")
+    model = estimate(counts, vocabulary(path))
+    words = materialised(spelled(counts, model), "words")
+    ln10 = F.log(F.lit(10.0))
+    is_end = F.col("word") == F.lit(END)
+    end_score = float(model.weights[-1] - model.boundary)
+    marginal = F.when(is_end, F.lit(end_score)).otherwise(F.col("q")) / ln10
 
+    opened = F.col("q") + F.lit(model.boundary - model.opening)  # of a word once one is opened
     types = max(1, v)
     share = types / (types + 1)  # of the lattice among what counts do not cover; the rest is ends
-    is_end = F.col("word") == F.lit(END)
-    weight = F.when(is_end, 1 - share).otherwise(F.exp("q") * share) * types
+    weight = F.when(is_end, 1 - share).otherwise(F.exp(opened) * share) * types
     base = F.log10((F.col("c") + 0.5) / (n + 0.5 * (v + 1)))
     # Beyond the range of doubles the lattice's logarithm stands alone.
-    model = F.when(
-        (F.col("c") > 0) | is_end | (F.col("q") > -700), F.log10((F.col("c") + weight) / (n + types))
-    ).otherwise(F.col("q") / F.log(F.lit(10.0)) + F.log10(F.lit(types * share / (n + types))))
-    valued = words.select("word", "c", base.alias("base"), model.alias("model"))
+    mixture = F.when(
+        (F.col("c") > 0) | is_end | (opened > -700), F.log10((F.col("c") + weight) / (n + types))
+    ).otherwise(opened / ln10 + F.log10(F.lit(types * share / (n + types))))
+    valued = words.select(
+        "word", "c", base.alias("base"), marginal.alias("model"), mixture.alias("mixture")
+    )
 
     common = valued.orderBy(F.desc("c"), "word").limit(COMMON_WORDS).toArrow()
     table = {
-        word: (b, m, int(c > 0))
-        for word, c, b, m in zip(*(common[x].to_pylist() for x in ("word", "c", "base", "model")))
+        word: (*scores, int(c > 0))
+        for word, c, *scores in zip(
+            *(common[x].to_pylist() for x in ("word", "c", "base", "model", "mixture"))
+        )
     }
     # An end that no training text taught.
-    unseen = (float(np.log10(0.5 / (n + 0.5 * (v + 1)))), float(np.log10((1 - share) * types / (n + types))), 0)
-    table.setdefault(END, unseen)
+    unseen = np.log10([0.5 / (n + 0.5 * (v + 1)), np.exp(end_score), (1 - share) * types / (n + types)])
+    table.setdefault(END, (*unseen.tolist(), 0))
     shared = df.sparkSession.sparkContext.broadcast(table)
 
+    sums = ("base", "model", "mixture")
+
     def run(batches):
         known = shared.value
         end = known[END]
         for batch in sliced(batches, "text"):
             size = batch.num_rows
-            tokens, base, model, seen = ([0] * size for _ in range(4))
+            tokens, base, model, mixture, seen = ([0] * size for _ in range(5))
             at, rare, times = [], [], []
             for i, text in enumerate(raw_texts(batch, "text")):
                 words = _words(text)
                 tokens[i] = len(words) + 1
-                b, m, k = end
+                b, m, x, k = end
                 for word, c in Counter(words).items():
                     value = known.get(word)
                     if value is None:
@@ -328,8 +362,9 @@ def score_texts(
                     else:
                         b += c * value[0]
                         m += c * value[1]
-                        k += c * value[2]
-                base[i], model[i], seen[i] = b, m, k
+                        x += c * value[2]
+                        k += c * value[3]
+                base[i], model[i], mixture[i], seen[i] = b, m, x, k
             none = pa.nulls(len(at), pa.int64())
             rows = batch.column("row")
             yield pa.RecordBatch.from_arrays(
@@ -341,10 +376,12 @@ def score_texts(
                     pa.concat_arrays([batch.column("held_out"), none.cast(pa.bool_())]),
                     pa.concat_arrays([pa.array(tokens, pa.int64()), none]),
                     pa.concat_arrays([pa.array(seen, pa.int64()), none]),
-                    pa.concat_arrays([pa.array(base, pa.float64()), none.cast(pa.float64())]),
-                    pa.concat_arrays([pa.array(model, pa.float64()), none.cast(pa.float64())]),
+                    *[
+                        pa.concat_arrays([pa.array(x, pa.float64()), none.cast(pa.float64())])
+                        for x in (base, model, mixture)
+                    ],
                 ],
-                ["row", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "model"],
+                ["row", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", *sums],
             )
 
     parts = materialised(
@@ -352,7 +389,7 @@ def score_texts(
             rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text"),
             run,
             "row long, word binary, times long, doc_id long, held_out boolean, n_tokens long, "
-            "n_known long, base double, model double",
+            "n_known long, base double, model double, mixture double",
         ),
         "scores",
     )
@@ -362,15 +399,15 @@ def score_texts(
         "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"),
         F.lit(None).cast("long").alias("n_tokens"),
         F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("n_known"),
-        (F.col("times") * F.col("base")).alias("base"),
-        (F.col("times") * F.col("model")).alias("model"),
+        *[(F.col("times") * F.col(x)).alias(x) for x in sums],
     )
     summed = texts.union(rest).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
         F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
         F.sum("base").alias("base_score"), F.sum("model").alias("score"),
+        F.sum("mixture").alias("mixture_score"),
     )
     return summed.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        "base_score", "score",
+        "base_score", "score", "mixture_score",
     )

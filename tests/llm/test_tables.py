@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import zlib
@@ -151,14 +152,65 @@ def test_lattice_sums_all_spellings():
     words = [b"the", b"x", b"onthe", "é漢".encode(), b"\xff", b"the"]
     got = model.forward(words)
     for word, value in zip(words, got):
-        assert value == pytest.approx(math.log(total(b" " + word)) + model.weights[-1])
+        assert value == pytest.approx(math.log(total(b" " + word)))
     assert np.exp(model.weights).sum() == pytest.approx(1)
     long = [b"ab" * 31, b"ab" * 32, b"ab" * 40]  # both ways to sum meet
     assert np.diff(model.forward(long)).max() < 0
     for part in (words, long):
-        uses = model.expected(part)
+        times = np.arange(1.0, len(part) + 1)
+        uses = model.expected(part, times)
         spelled = sum(uses[i] * len(x) for i, x in enumerate(model.pieces))
-        assert spelled == pytest.approx(sum(len(w) + 1 for w in part))
+        assert spelled == pytest.approx(sum(n * (len(w) + 1) for n, w in zip(times, part)))
+
+
+def small_model():
+    pieces = [b" ", b" a", b"a", b"ab", b"b"]
+    return lattice.Lattice(pieces, np.log([0.2, 0.25, 0.15, 0.1, 0.2, 0.1]))
+
+
+def test_words_and_texts_are_distributions():
+    """Over all words of two letters the sums approach one; so they do over texts."""
+    model = small_model()
+    words = [bytes(x) for size in range(9) for x in itertools.product(b"ab", repeat=size)]
+    found = np.exp(model.forward(words) + model.boundary - model.opening)
+    assert 0.9 < found.sum() < 1  # the rest lies in longer words
+    begun = math.exp(model.opening - model.boundary)
+    assert sum(begun**n for n in range(200)) * math.exp(model.weights[-1] - model.boundary) == pytest.approx(1)
+
+
+def test_score_is_the_marginal_over_all_spellings(spark):
+    """Of whole texts, by recursion over every way to cut them into pieces."""
+    texts = [(1, "the cat the end"), (3, "a  Cat\tsat"), (4, "unseen zebra"), (5, None), (6, "the cat")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    df = df.withColumn("held_out", F.col("doc_id").isin(4, 6))
+    counts = lattice.count_words(df.withColumn("learn", ~F.col("held_out")))
+    model = lattice.estimate(counts, lattice.vocabulary(PIECES))
+    weight = dict(zip(model.pieces, np.exp(model.weights[:-1])))
+
+    def total(text):
+        sums = [1.0] + [0.0] * len(text)
+        for end in range(1, len(text) + 1):
+            sums[end] = sum(sums[start] * weight.get(text[start:end], 0.0) for start in range(end))
+        return sums[-1]
+
+    opening = sum(x for piece, x in weight.items() if piece.startswith(b" "))
+    end = math.exp(model.weights[-1])
+    assert sum(weight.values()) + end == pytest.approx(1)
+    found = {r.doc_id: r for r in lattice.score_texts(df, PIECES).collect()}
+    for key, text in texts:
+        spelled = b"".join(b" " + w for w in (text or "").encode().lower().split())
+        expected = math.log10(total(spelled) * end / (opening + end))
+        assert found[key].score == pytest.approx(expected)
+        assert found[key].mixture_score < 0
+
+
+def test_a_doubled_corpus_leaves_the_scores(spark, sf_dir):
+    """The vocabulary's own scores weigh the same at every size."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(200)
+    docs = docs.withColumn("held_out", F.col("doc_id") % 5 == 1)
+    once = {r.doc_id: r.score for r in lattice.score_texts(docs, PIECES).collect()}
+    for r in lattice.score_texts(docs.union(docs), PIECES).collect():
+        assert r.score == pytest.approx(once[r.doc_id])
 
 
 @pytest.mark.parametrize("common", [3, 1 << 16])
@@ -179,7 +231,7 @@ def test_scores_are_those_of_counts_and_lattice(spark, odd, monkeypatch, common)
         expected[i, len(words), sum(counts[w] > 0 for w in words), round(base, 6)] += 1
     assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows) == expected
     assert {r.train_tokens for r in rows} == {n}
-    assert all(r.score < 0 and math.isfinite(r.score) for r in rows)
+    assert all(x < 0 and math.isfinite(x) for r in rows for x in (r.score, r.mixture_score))
 
 
 def test_scores_do_not_depend_on_the_number_of_common_words(spark, sf_dir, monkeypatch):
@@ -188,6 +240,7 @@ def test_scores_do_not_depend_on_the_number_of_common_words(spark, sf_dir, monke
     for r in QUERIES["op8_lattice"](spark, sf_dir).collect():
         assert r.n_known == whole[r.doc_id].n_known
         assert r.score == pytest.approx(whole[r.doc_id].score)
+        assert r.mixture_score == pytest.approx(whole[r.doc_id].mixture_score)
         assert r.base_score == pytest.approx(whole[r.doc_id].base_score)
 
 
