@@ -7,7 +7,9 @@ text is the one with most letters on that path.
 
 Defined results: null, empty or letterless text is ``und`` with score 0; so is every text if
 nothing was learned; of equal scores the language first in the alphabet wins; a repeated row
-gives a repeated row; an empty table gives no rows; rows without a label teach nothing.
+gives a repeated row; an empty table gives no rows; rows without a label teach nothing, nor do
+those of labels past the ``MOST_LANGUAGES`` most frequent (ties: first in the alphabet), which are
+predicted like all others.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ SCRIPT_RANGES = (
 UNKNOWN = "und"
 #: Documents of a language that teach the model, about; a bound on the work of learning.
 TRAINING_DOCUMENTS = 2_000
-#: More labels than this are taken for a wrong column.
+#: Labels that are learned, the most frequent ones; bounds the sample and the size of the model.
 MOST_LANGUAGES = 1_000
 #: Letter trigrams are counted in so many cells, a power of two: the size of the model.
 CELLS = 1 << 16
@@ -123,7 +125,7 @@ def words_of(batch: list[str]) -> Words:
 
 
 def learn(df: DataFrame, label: str, text: str, key: str) -> LanguageModel:
-    """Trigram counts of about ``TRAINING_DOCUMENTS`` rows of each label.
+    """Trigram counts of about ``TRAINING_DOCUMENTS`` rows of each of the frequent labels.
 
     Rows are taken by a hash of ``key``. Counts are summed in each task, then by Spark.
     """
@@ -131,10 +133,8 @@ def learn(df: DataFrame, label: str, text: str, key: str) -> LanguageModel:
         df[label].cast("string").alias("label"), df[text].cast("string").alias("text"),
         F.pmod(F.xxhash64(df[key].cast("string")), F.lit(1 << 20)).alias("place"),
     )
-    sizes = {x["label"]: x["count"] for x in
-             rows.groupBy("label").count().orderBy("label").limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"{label} holds more than {MOST_LANGUAGES} values")
+    frequent = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES)
+    sizes = {x["label"]: x["count"] for x in frequent.collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((CELLS, 0), np.float32), np.zeros((len(_NAMES), 0), bool))

@@ -5,6 +5,10 @@ gender. A surrogate is the entity's image under a keyed permutation of all strin
 shape, so one entity has one surrogate in all documents and two never share one. A permutation
 made of one cycle leaves nothing in its place. Surrogates that are entities of the corpus
 themselves, or that are taken, are found by joins over all distinct entities and drawn again.
+What still collides after ``PLAIN_DRAWS`` lies in a shape with few free members: mailboxes, surnames
+and secrets then get a letter more with each draw, phones may change their area, so that these
+always end. Addresses, cards and social numbers have no longer form; if after ``MOST_DRAWS`` one
+still has no free surrogate, as its shape is full, it keeps the first and a warning counts such.
 
 Defined results: null text stays null and empty text empty; texts without entities are returned
 unchanged; a repeated row gives a repeated row; an empty table gives no rows; other columns
@@ -20,13 +24,16 @@ are kept, whatever their names. What is detected:
 * given names of ``GIVEN_NAMES`` and the surname after one or after a title.
 
 A card number must pass its check digit and an address its
-ranges; other numbers are left alone. An entity without any letter or digit to change is kept.
+ranges; other numbers are left alone. A mailbox or secret without any letter or digit to change
+gets some.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import warnings
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,6 +43,9 @@ from pyspark.sql import functions as F
 from landprice.llm.batches import free_name, map_batches, raw_texts, sliced
 from landprice.session import materialised
 
+#: Draws in the entity's own shape, and at all; the joins of a draw are over what is left.
+PLAIN_DRAWS = 8
+MOST_DRAWS = 64
 #: Redrawn surrogates up to this number are sent to all tasks; more are joined to their texts.
 BROADCAST_ROWS = 100_000
 
@@ -196,8 +206,15 @@ def _block(address: str) -> str:
     return "public"
 
 
+def _longer(text: str, count: int) -> str:
+    """The text and so many more of its last letter or digit; two texts stay two."""
+    last = next((c for c in reversed(text) if c in _CLASS_OF), "a")
+    return text + last * count
+
+
 def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
     """The replacement of an entity in its plain form; ``draw`` numbers other choices."""
+    extra = max(0, draw - PLAIN_DRAWS)
     tweak = f"{kind}\0{draw}"
     if kind == "given":
         names = GIVEN_NAMES[_NAMES[entity]]
@@ -208,6 +225,7 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
             labels = domain.split(".")
             labels[:-1] = [_reshaped(key, "domain", x, _by_class(x)) for x in labels[:-1]]
             domain = ".".join(labels)
+        local = _longer(local, extra)
         return f"{_reshaped(key, tweak, local, _by_class(local))}@{domain}"
     if kind == "address":
         block = _block(entity)
@@ -230,7 +248,7 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
         if len(digits) == 10 or len(digits) == 11 and digits[0] == "1":
             area = len(entity) - 10
             choices[area] = choices[area + 3] = "23456789"
-            if entity[area + 3 : area + 6] == "555":
+            if entity[area + 3 : area + 6] == "555" and not extra:
                 choices[area + 3 : area + 6] = [None] * 3
             choices[:area] = [None] * area
         if entity[:2] == "00":
@@ -238,6 +256,8 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
         elif entity[0] == "0":
             choices[:2] = [None, "123456789"]
         return _reshaped(key, tweak, entity, choices)
+    if kind != "social":
+        entity = _longer(entity, extra)
     if kind == "secret" and all(c in _HEX for c in entity):
         return _reshaped(key, tweak, entity, [_HEX] * len(entity))
     if kind == "secret" and _KNOWN_KEY.fullmatch(entity):
@@ -276,11 +296,15 @@ def _random(value: str) -> bool:
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """``start``, ``end``, kind and text of each entity, by place; they do not overlap."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    # Starts and ends of what is taken, in order.
+    starts: list[int] = []
+    ends: list[int] = []
 
     def take(start: int, end: int, kind: str) -> None:
-        if all(end <= a or b <= start for a, b in taken):
-            taken.append((start, end))
+        i = bisect_right(starts, start)
+        if (not i or ends[i - 1] <= start) and (i == len(starts) or end <= starts[i]):
+            starts.insert(i, start)
+            ends.insert(i, end)
             found.append((start, end, kind, text[start:end]))
 
     # Most texts hold no digit and none of the names; a pattern is run only where it can match.
@@ -393,8 +417,10 @@ def redrawn_surrogates(found: DataFrame, key: bytes) -> DataFrame | None:
         # First surrogates stay taken even where they are given up.
         new = (kept if draw else drawn).select("kind", "made")
         used = new if used is None else used.union(new)
-        # Shapes with too few members can't give all a new one; they keep the plain permutation.
-        if todo.isEmpty() or draw == 8:
+        if todo.isEmpty():
+            return redrawn
+        if draw == MOST_DRAWS:
+            warnings.warn(f"{todo.count()} entities keep a surrogate that is another entity", stacklevel=2)
             return redrawn
         draw += 1
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -203,12 +204,20 @@ def test_scripts_narrow_candidates(spark):
     assert names == ["en"] and scores == [0.5]
 
 
-def test_language_of_odd_rows(odd, none):
+def test_language_of_odd_rows(odd, none, monkeypatch):
     model = language.learn(odd.filter(~fold(0)), "lang", "text", "doc_id")
     rows = language.predict(odd, model).collect()
     assert len(rows) == len(ODD_TEXTS)
     assert {r.lang_pred for r in rows if r.doc_id in (1, 2, 3, 4, 10)} == {"und"}
     assert language.predict(none, model).count() == 0
+    with monkeypatch.context() as patched:
+        # The labels that are learned are the most frequent ones; the others stop nothing.
+        patched.setattr(language, "MOST_LANGUAGES", 2)
+        labelled = odd.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+        often = sorted(Counter(r.lang for r in labelled.collect()).items(), key=lambda x: (-x[1], x[0]))
+        few = language.learn(odd, "lang", "text", "doc_id")
+        assert few.languages == sorted(x for x, _ in often[:2])
+        assert language.predict(odd, few).count() == len(ODD_TEXTS)
     untaught = language.learn(none, "lang", "text", "doc_id")
     assert {r.lang_pred for r in language.predict(odd, untaught).collect()} == {"und"}
 
@@ -312,6 +321,50 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch, most):
     assert docs.columns == out[0].__fields__[:-1]
 
 
+@pytest.mark.parametrize(
+    "real",
+    [
+        [f"{c}{v}@example.com" for c in "bcdfghjkl" for v in "aeiou"],  # 45 of 105
+        [f"{c}{v}@example.com" for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou"],  # all there are
+        [f"{c}@example.com" for c in "aeiou_"],  # one has nothing to change
+    ],
+)
+def test_no_surrogate_is_a_real_mailbox_however_full_its_shape(spark, real):
+    docs = spark.createDataFrame([(i, f"to {x} now") for i, x in enumerate(real)], "doc_id long, text string")
+    made = [r.text.split()[1] for r in surrogates.with_surrogates(docs, b"k").orderBy("doc_id").collect()]
+    assert len(set(made)) == len(real) and not set(made) & set(real)
+    assert {x.split("@")[1] for x in made} == {"example.com"}
+    assert max(len(x) for x in made) <= max(map(len, real)) + 3
+
+
+def test_entities_of_full_shapes_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "MOST_DRAWS", 2)
+    monkeypatch.setattr(surrogates, "PLAIN_DRAWS", 2)
+    text = " ".join(f"{c}{v}@example.com" for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou")
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="105 entities"):
+        assert surrogates.with_surrogates(docs, b"k").count() == 1
+
+
+def test_longer_entities_stay_apart():
+    for text, more in (("anna", "annaaa"), ("x1", "x111"), ("%", "%aa"), ("Иванов", "Ивановвв"), ("a-", "a-aa")):
+        assert surrogates._longer(text, 2) == more and surrogates._longer(text, 0) == text
+    made = {surrogates.surrogate(b"k", "email", f"{c}{v}@example.com", surrogates.PLAIN_DRAWS + 1)
+            for c in "bcdf" for v in "aeiou"}
+    assert len(made) == 20 and {len(x) for x in made} == {len("abc@example.com")}
+
+
+def test_overlaps_go_to_the_first_taken_in_very_long_texts():
+    text = "mail " * 3 + " ".join(f"user{i}@example.com 10.0.{i >> 8 & 255}.{i & 255}" for i in range(16_000))
+    started = time.process_time()
+    found = surrogates.entities(text)
+    assert time.process_time() - started < 4
+    assert len(found) == 32_000 and all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+    # An address inside a secret is part of it.
+    kinds = [x[2] for x in surrogates.entities('password: "10.0.0.1" and 10.0.0.1')]
+    assert kinds == ["secret", "address"]
+
+
 def test_surrogates_of_odd_rows(odd, none):
     out = surrogates.with_surrogates(odd, DEMO_KEY)
     assert out.columns == odd.columns
