@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from landprice.schema import LOAD
-from landprice.session import discard_rows, materialised, path_exists
+from landprice.session import compiled_methods, discard_rows, materialised, path_exists
 from landprice.sources.register_csv import (
     POSITION,
     YEAR_FILE,
@@ -76,8 +76,9 @@ def import_staged(staged: DataFrame, name: str, year: int) -> int:
 def import_files(spark: SparkSession, name: str, year: int, paths: Sequence[str]) -> int:
     """Stage and insert one group of files, compressed or not, under one import year."""
     create_table(spark, name)
-    staged = stage_files(spark, paths)
-    inserted = import_staged(staged, name, year)
+    with compiled_methods(spark):
+        staged = stage_files(spark, paths)
+        inserted = import_staged(staged, name, year)
     discard_rows(staged)
     return inserted
 
@@ -177,7 +178,7 @@ def import_years(
             else:
                 failed(year, None, taken)
 
-    with ThreadPoolExecutor(max_workers=CONCURRENT_YEARS) as pool:
+    with compiled_methods(spark), ThreadPoolExecutor(max_workers=CONCURRENT_YEARS) as pool:
         # Each task carries its own copy of the caller's job properties.
         jobs = {year: pool.submit(inheritable_thread_target(spark)(stage), year) for year in places}
         # Years already there end a load: its ids then lie apart from theirs.

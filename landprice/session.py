@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
 
+#: The JVM interprets methods of more bytes, so Spark should not generate them.
+METHOD_LIMIT = 8000
+_METHOD_SETTING = "spark.sql.codegen.hugeMethodLimit"
+_limited: dict[int, tuple[int, str]] = {}
+_limiting = Lock()
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
@@ -19,7 +28,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.sql.adaptive.enabled", "true")
         # The 40-column cleaning step compiles to methods the JVM would only interpret;
         # past this size Spark falls back to its split, compilable projections.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config(_METHOD_SETTING, str(METHOD_LIMIT))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -32,6 +41,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs over the register's 42 columns, in any session: none of their methods is interpreted.
+
+    Past the limit Spark takes its split projections. The session's own value is put back when the
+    last of the jobs that run at the same time is done.
+    """
+    session = spark._jsparkSession.hashCode()
+    with _limiting:
+        users, own = _limited.get(session, (0, spark.conf.get(_METHOD_SETTING)))
+        _limited[session] = (users + 1, own)
+        spark.conf.set(_METHOD_SETTING, str(min(int(own), METHOD_LIMIT)))
+    try:
+        yield
+    finally:
+        with _limiting:
+            users, own = _limited.pop(session)
+            if users > 1:
+                _limited[session] = (users - 1, own)
+            else:
+                spark.conf.set(_METHOD_SETTING, own)
+
+
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which every executor must see.
 

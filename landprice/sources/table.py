@@ -11,6 +11,7 @@ from landprice.functions.prices import price, price_per_m2, surface
 from landprice.operators.dedup import new_rows
 from landprice.operators.layout import rank_bounds, with_curve_position
 from landprice.schema import FLAT, HOUSE, LOAD, STORED_SCHEMA, TABLE_CANDIDATES, TABLE_SCHEMA
+from landprice.session import compiled_methods
 from landprice.sources import loads
 from landprice.sources.register_csv import POSITION
 
@@ -60,7 +61,8 @@ def arranged(rows: DataFrame, like: DataFrame | None = None) -> DataFrame:
 
 def append_rows(rows: DataFrame, name: str) -> int:
     """Publish rows as one load; the number of rows written."""
-    written = loads.write_aside(arranged(rows), name)
+    with compiled_methods(rows.sparkSession):
+        written = loads.write_aside(arranged(rows), name)
     while written.rows:
         number = loads.latest_load(rows.sparkSession, name) + 1
         if loads.publish(rows.sparkSession, name, written, number):
@@ -193,5 +195,9 @@ def rearrange_year(spark: SparkSession, name: str, year: int) -> None:
     rows = spark.table(name).filter(
         (F.col("import_year") == F.lit(year).cast("short")) & F.col(LOAD).isin(numbers)
     )
-    if numbers and (rewritten := loads.write_aside(arranged(rows), name)).rows:
+    if not numbers:
+        return
+    with compiled_methods(spark):
+        rewritten = loads.write_aside(arranged(rows), name)
+    if rewritten.rows:
         loads.replace_partitions(spark, name, int(year), numbers, rewritten)

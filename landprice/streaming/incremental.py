@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from landprice.operators.dedup import new_rows
 from landprice.schema import STORED_SCHEMA
-from landprice.session import discard_rows, materialised
+from landprice.session import compiled_methods, discard_rows, materialised
 from landprice.sources.register_csv import (
     POSITION,
     accepted,
@@ -96,7 +96,13 @@ def _bound_lines(landed: DataFrame, headers: dict[str, str]) -> DataFrame:
 
 
 def insert_batch(lines: DataFrame, batch_id: int, name: str, times: str) -> None:
-    """Insert one micro-batch exactly once.
+    """Insert one micro-batch exactly once; see ``_insert_once``."""
+    with compiled_methods(lines.sparkSession):
+        _insert_once(lines, batch_id, name, times)
+
+
+def _insert_once(lines: DataFrame, batch_id: int, name: str, times: str) -> None:
+    """A micro-batch, inserted although it may come again.
 
     A micro-batch may be replayed after a failure between its insert and its commit. Keys
     alone cannot catch that, since rows with a null key part never conflict. So the load that a

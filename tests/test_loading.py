@@ -267,6 +267,29 @@ def test_imports_leave_nothing_staged(spark, table, tmp_path):
     assert spark.table(table).count() == 1
 
 
+def test_wide_jobs_are_compiled_in_any_session(spark, table, tmp_path, monkeypatch):
+    setting, seen, real = "spark.sql.codegen.hugeMethodLimit", [], loads.write_aside
+
+    def write_aside(rows, name):
+        seen.append(int(rows.sparkSession.conf.get(setting)))
+        return real(rows, name)
+
+    monkeypatch.setattr(loads, "write_aside", write_aside)
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "65535")
+    try:
+        import_files(spark, table, 2024, [write_file(tmp_path / "a.csv", [line()])])
+        tables.rearrange_year(spark, table, 2024)
+        year_file(tmp_path / "landing", 2023, [line(id_mutation="b")])
+        import_years(spark, table, f"{tmp_path}/landing/{{year}}", 2023, 2023)
+        year_file(tmp_path / "next", 2022, [line(id_mutation="c")])
+        ingest_stream(spark, f"{tmp_path}/next", table, f"{tmp_path}/checkpoint").awaitTermination()
+        assert len(seen) == 4 and max(seen) <= 8000 and spark.conf.get(setting) == "65535"
+    finally:
+        spark.conf.set(setting, before)
+    assert spark.table(table).count() == 3
+
+
 def test_stream_refuses_files_outside_year_folders(spark, table, tmp_path):
     write_file(tmp_path / "landing" / "x.csv", [line()])
     query = ingest_stream(spark, str(tmp_path / "landing"), table, str(tmp_path / "c"))
