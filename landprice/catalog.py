@@ -970,6 +970,8 @@ _BAD_LINES = (
     (37, "concat(id, ',', day, ',', code, ',1e30')", "'storage:longitude'"),
 )
 
+_LINES_PER_FILE = 1 << 18
+
 
 def _by_remainder(choices: tuple, otherwise: str) -> str:
     cases = " ".join(f"WHEN n % {number} = 0 THEN {text}" for number, text in choices)
@@ -991,8 +993,10 @@ def ingest_rejects(spark: SparkSession, folder: str) -> DataFrame:
     )
     good = "concat(id, ',', day, ',', code, ',5.5309524')"
     text = _by_remainder(tuple((n, line) for n, line, _ in _BAD_LINES), good)
-    parts = 8
-    lines = view.select((F.col("n") % parts).alias("part"), F.lit(1).alias("place"), F.expr(text).alias("value"))
+    # One task sorts the lines of a file, so their number is bounded, not that of the files.
+    parts = max(8, -(-view.count() // _LINES_PER_FILE))
+    part = F.pmod(F.xxhash64("id", "n"), F.lit(parts)).alias("part")
+    lines = view.select(part, F.lit(1).alias("place"), F.expr(text).alias("value"))
     header = spark.range(parts).select(
         F.col("id").alias("part"), F.lit(0).alias("place"),
         F.lit("id_mutation,date_mutation,code_postal,longitude").alias("value"),

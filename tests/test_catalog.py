@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from landprice import catalog
 from landprice.catalog import ORACLE_SQL, QUERIES
 
 TABLES = ("lineitem", "supplier", "nation")
@@ -55,5 +56,16 @@ def test_query_matches_sql(spark, sf_dir, oracle, name):
     assert bag(result.columns, rows) == bag(columns, expected.fetchall())
 
 
+def test_reject_lines_of_a_file_are_bounded(spark, sf_dir, monkeypatch):
+    landed, read = [], catalog.read_register
+    monkeypatch.setattr(catalog, "read_register", lambda s, paths: landed.extend(paths) or read(s, paths))
+    few = QUERIES["ingest_rejects"](spark, sf_dir).collect()
+    monkeypatch.setattr(catalog, "_LINES_PER_FILE", 200)
+    many = QUERIES["ingest_rejects"](spark, sf_dir).collect()
+    assert sorted(few) == sorted(many)
+    lines = spark.read.text(landed[1]).groupBy("part").count()
+    assert lines.count() > 8 and lines.agg({"count": "max"}).first()[0] < 400
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() == 1
