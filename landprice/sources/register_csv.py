@@ -70,8 +70,8 @@ def read_group_headers(
 ) -> dict[int, dict[str, str]]:
     """The first line of every non-empty file of each group of paths, found by one job.
 
-    Each file starts a task of its own, which stops after its first batch of lines; later blocks
-    of a large file give their first line too, which is left out.
+    Each file starts a task of its own, and so does each later block of a large file, whose first
+    line is left out. Lines are read through, but leave the scan only as first ones.
     """
     # In a session of its own, because several imports read headers at the same time.
     alone = spark.newSession()
@@ -82,14 +82,11 @@ def read_group_headers(
         [text_lines(alone, paths).withColumn("_group", F.lit(group)) for group, paths in groups.items()],
     )
 
-    def first_line(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.slice(0, 1)
-                return
-
+    # The low bits of the running id count the lines of a task, here those of one block.
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    first = lines.withColumn("_number", number).filter("_number = 0 AND _block = 0")
     headers: dict[int, dict[str, str]] = {group: {} for group in groups}
-    for row in lines.mapInArrow(first_line, lines.schema).filter("_block = 0").collect():
+    for row in first.collect():
         headers[row._group][unquote(row._file)] = row.value.strip()
     return headers
 

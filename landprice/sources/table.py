@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landprice.functions.prices import price, price_per_m2, surface
-from landprice.operators.dedup import new_rows
+from landprice.operators.dedup import conflicting_keys, without_conflicts
 from landprice.operators.layout import rank_bounds, with_curve_position
 from landprice.schema import FLAT, HOUSE, LOAD, STORED_SCHEMA, TABLE_CANDIDATES, TABLE_SCHEMA
-from landprice.session import compiled_methods
+from landprice.session import compiled_methods, discard_rows, materialised
 from landprice.sources import loads
 from landprice.sources.register_csv import POSITION
 
@@ -82,9 +82,14 @@ def insert_new(
     spark = batch.sparkSession
     spark.catalog.refreshTable(name)
     seen = loads.latest_load(spark, name)
-    first = [F.col(part) for part in order]
-    fresh = new_rows(batch, spark.table(name).filter(F.col(LOAD) <= seen), first)
-    return loads.add_load(fresh, name, seen, lambda rows: arranged(rows, batch), **options)
+    existing = spark.table(name).filter(F.col(LOAD) <= seen)
+    # Stored, so that the insert is planned with their size.
+    conflicts = materialised(conflicting_keys(batch, existing), "conflicts")
+    try:
+        fresh = without_conflicts(batch, conflicts, order)
+        return loads.add_load(fresh, name, seen, lambda rows: arranged(rows, batch), **options)
+    finally:
+        discard_rows(conflicts)
 
 
 def year_count(spark: SparkSession, name: str, year: int) -> int:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landprice.operators import sketches
+from landprice.operators import dedup
 from landprice.operators.dedup import insert_if_absent, keep_first, new_rows
 from landprice.operators.filters import (
     Filters,
@@ -267,6 +268,26 @@ def test_insert_if_absent_and_new_rows(spark):
     assert sorted(r.pos for r in into_empty.collect()) == [1, 3, 5]
 
 
+@pytest.mark.parametrize("broadcast", [dedup.BROADCAST_KEYS, 0])
+def test_rows_without_a_conflict_are_not_shuffled(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(dedup, "BROADCAST_KEYS", broadcast)
+    numbers = spark.range(3000).select(
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("k"), F.least(F.col("id"), F.lit(2000)))).alias("k"),
+        F.when(F.col("id") % 5 > 0, (F.col("id") % 2).cast("int")).alias("l"),
+        F.col("id").alias("pos"),
+    )
+    batch = numbers.unionByName(numbers.filter("pos % 9 = 0").withColumn("pos", F.col("pos") - 5000))
+    table = numbers.filter("pos % 11 = 0 OR pos > 2990").select("k", "l")
+    key = ("k", "l")
+    conflicts = dedup.conflicting_keys(batch, table, key).cache()
+    found = dedup.without_conflicts(batch, conflicts, ["pos"], key)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" not in plan) or not broadcast
+    expected = new_rows(batch, table, [F.col("pos")], key)
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+    assert conflicts.filter("held").count() > 0 and conflicts.filter("NOT held").count() > 0
+
+
 def test_hot_key_is_reduced_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 1).alias("k"), F.col("id").alias("pos"))
     kept = keep_first(df, [F.col("pos")], ("k",))
