@@ -31,7 +31,7 @@ from landprice.plans.price_report import as_json, filtered_sales, outlier_report
 from landprice.plans.street_lookup import sales_in_streets
 from landprice.plans.trends import daily_prices, mean_surface, surface_histogram
 from landprice.schema import DATA_SCHEMA, REPORT_LIMIT
-from landprice.session import discard, materialised, scratch_path
+from landprice.session import discard, freed_shuffles, materialised, scratch_path
 from landprice.sources.register_csv import accepted, clean_records, read_register, reject_report
 from landprice.sources.sides import OUTBUILDINGS, PRICE_CELLS, STREETS, refresh
 from landprice.sources.star_view import SALES_SQL, sales_view
@@ -739,13 +739,14 @@ def landed_files(spark: SparkSession, folder: str) -> str:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _landed:
         path = scratch_path(spark, "landed")
-        (
-            sales_view(spark, folder)
-            .orderBy(*_FILE_ORDER)
-            .write.partitionBy("import_year")
-            .option("escape", '"')
-            .csv(path, header=True, compression="gzip")
-        )
+        with freed_shuffles(spark):
+            (
+                sales_view(spark, folder)
+                .orderBy(*_FILE_ORDER)
+                .write.partitionBy("import_year")
+                .option("escape", '"')
+                .csv(path, header=True, compression="gzip")
+            )
         _landed[key] = path
     return _landed[key]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -97,12 +97,17 @@ def conflicting_keys(
 
 
 def without_conflicts(
-    batch: DataFrame, conflicts: DataFrame, order: Sequence[str], key: Sequence[str] = KEY
+    batch: DataFrame,
+    conflicts: DataFrame,
+    order: Sequence[str],
+    key: Sequence[str] = KEY,
+    kept: Callable[[DataFrame], DataFrame] = lambda first: first,
 ) -> DataFrame:
     """The rows of ``new_rows``, by the conflicts, which should be stored.
 
     Up to ``BROADCAST_KEYS`` of them are broadcast: the batch is scanned once for the rows without a
-    conflict and none of these is sorted or shuffled. More of them are joined.
+    conflict and none of these is sorted or shuffled. More of them are joined. ``kept`` may store the
+    first rows of repeated keys, for a caller that takes the result in several jobs.
     """
     complete = complete_key(key)
     keyed = batch.filter(complete)
@@ -118,4 +123,4 @@ def without_conflicts(
     # Spread by place first, or one task would get all rows of a hot key from a shuffled join.
     again = keyed.join(repeated, list(key), "left_semi").select(*batch.columns).repartition(*order)
     first = _first_per_key(again, key, [F.col(part) for part in order])
-    return rest.unionByName(first.select(*batch.columns))
+    return rest.unionByName(kept(first.select(*batch.columns)))

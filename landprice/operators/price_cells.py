@@ -59,6 +59,24 @@ def in_cells(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def told_once(cells: DataFrame) -> DataFrame:
+    """Cells without what their other columns tell: the ends of one row's cell, an end like the other."""
+    ends = {}
+    for name in ("price", "m2"):
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        ends |= {f"{name}_low": F.when(F.col("rows") > 1, low), f"{name}_high": F.when(low < high, high)}
+    return cells.withColumns(ends)
+
+
+def told_again(cells: DataFrame) -> DataFrame:
+    """The cells of ``told_once`` with all their ends; a sum of one value is that value."""
+    ends = {}
+    for name in ("price", "m2"):
+        low = F.coalesce(f"{name}_low", f"{name}_total")
+        ends |= {f"{name}_low": low, f"{name}_high": F.coalesce(F.col(f"{name}_high"), low)}
+    return cells.withColumns(ends)
+
+
 def spans(cells: DataFrame, measure: str) -> list[Span]:
     """Merged cells of a measure in rank order."""
     merged = cells.groupBy(f"{measure}_cell").agg(

@@ -13,8 +13,14 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from landprice.schema import LOAD
-from landprice.session import compiled_methods, discard_rows, materialised, path_exists
+from landprice.schema import CODEC, LOAD
+from landprice.session import (
+    compiled_methods,
+    discard_rows,
+    freed_shuffles,
+    materialised,
+    path_exists,
+)
 from landprice.sources.register_csv import (
     POSITION,
     YEAR_FILE,
@@ -51,7 +57,7 @@ def stage_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     (reports, de-duplication, insert, recovery from a lost executor) reads the staged
     columnar copy instead of decoding again.
     """
-    return materialised(read_register(spark, paths), "staged")
+    return materialised(read_register(spark, paths), "staged", **CODEC)
 
 
 def stage_and_count(
@@ -64,7 +70,7 @@ def stage_and_count(
     """
     observed = Observation()
     cleaned = read_register(spark, paths, headers).observe(observed, *outcome_counts())
-    staged = materialised(cleaned, "staged")
+    staged = materialised(cleaned, "staged", **CODEC)
     return staged, {outcome: rows for outcome, rows in observed.get.items() if rows}
 
 
@@ -76,7 +82,7 @@ def import_staged(staged: DataFrame, name: str, year: int) -> int:
 def import_files(spark: SparkSession, name: str, year: int, paths: Sequence[str]) -> int:
     """Stage and insert one group of files, compressed or not, under one import year."""
     create_table(spark, name)
-    with compiled_methods(spark):
+    with compiled_methods(spark), freed_shuffles(spark):
         staged = stage_files(spark, paths)
         inserted = import_staged(staged, name, year)
     discard_rows(staged)
@@ -178,7 +184,11 @@ def import_years(
             else:
                 failed(year, None, taken)
 
-    with compiled_methods(spark), ThreadPoolExecutor(max_workers=CONCURRENT_YEARS) as pool:
+    with (
+        compiled_methods(spark),
+        freed_shuffles(spark),
+        ThreadPoolExecutor(max_workers=CONCURRENT_YEARS) as pool,
+    ):
         # Each task carries its own copy of the caller's job properties.
         jobs = {year: pool.submit(inheritable_thread_target(spark)(stage), year) for year in places}
         # Years already there end a load: its ids then lie apart from theirs.

@@ -65,6 +65,8 @@ REPORT_LIMIT = 10_000
 # Number of the load that brought a row, and the year of the empty partition that takes it.
 LOAD = "import_load"
 MARKER_YEAR = 0
+# What is staged, stored or kept of all sales is written smaller than by the session's default.
+CODEC = {"compression": "zstd"}
 TABLE_CANDIDATES = ("dvf_data", "transactions", "dvf")
 
 PRICE_COLUMN = "valeur_fonciere"

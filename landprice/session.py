@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from threading import Lock
 
@@ -15,8 +15,9 @@ _local_scratch: dict[str, str] = {}
 #: The JVM interprets methods of more bytes, so Spark should not generate them.
 METHOD_LIMIT = 8000
 _METHOD_SETTING = "spark.sql.codegen.hugeMethodLimit"
-_limited: dict[int, tuple[int, str]] = {}
-_limiting = Lock()
+_CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_held: dict[tuple[int, str], tuple[int, str]] = {}
+_holding = Lock()
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -42,26 +43,44 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 @contextmanager
-def compiled_methods(spark: SparkSession) -> Iterator[None]:
-    """Jobs over the register's 42 columns, in any session: none of their methods is interpreted.
-
-    Past the limit Spark takes its split projections. The session's own value is put back when the
-    last of the jobs that run at the same time is done.
-    """
-    session = spark._jsparkSession.hashCode()
-    with _limiting:
-        users, own = _limited.get(session, (0, spark.conf.get(_METHOD_SETTING)))
-        _limited[session] = (users + 1, own)
-        spark.conf.set(_METHOD_SETTING, str(min(int(own), METHOD_LIMIT)))
+def _setting(spark: SparkSession, name: str, wanted: Callable[[str], str]) -> Iterator[None]:
+    """A session setting for some jobs. The session's own value is put back when the last of the jobs
+    that run at the same time is done."""
+    key = (spark._jsparkSession.hashCode(), name)
+    with _holding:
+        users, own = _held.get(key, (0, spark.conf.get(name)))
+        _held[key] = (users + 1, own)
+        spark.conf.set(name, wanted(own))
     try:
         yield
     finally:
-        with _limiting:
-            users, own = _limited.pop(session)
+        with _holding:
+            users, own = _held.pop(key)
             if users > 1:
-                _limited[session] = (users - 1, own)
+                _held[key] = (users - 1, own)
             else:
-                spark.conf.set(_METHOD_SETTING, own)
+                spark.conf.set(name, own)
+
+
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs over the register's 42 columns, in any session: none of their methods is interpreted.
+
+    Past the limit Spark takes its split projections.
+    """
+    with _setting(spark, _METHOD_SETTING, lambda own: str(min(int(own), METHOD_LIMIT))):
+        yield
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs that shuffle whole tables: the files of a shuffle go when its job ends.
+
+    They would stay until the driver happens to collect its garbage, and those of one step after the
+    other would add up on the disks. Not for frames that are run more than once.
+    """
+    with _setting(spark, _CLEANUP_SETTING, lambda own: "true"):
+        yield
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
@@ -80,10 +99,10 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{base.rstrip('/')}/landprice/{kind}-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame, kind: str) -> DataFrame:
+def materialised(df: DataFrame, kind: str, **options: str) -> DataFrame:
     """The same rows read back from the shared scratch folder, with a short lineage."""
     path = scratch_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -106,6 +125,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(files.globStatus(place))
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Size of all files below a folder."""
+    place, files = _place(spark, path)
+    return files.getContentSummary(place).getLength()
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     place, files = _place(spark, path)
     files.mkdirs(place)

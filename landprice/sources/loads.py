@@ -12,14 +12,14 @@ nothing else is kept.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landprice.operators.dedup import insert_if_absent
-from landprice.schema import LOAD, MARKER_YEAR, STORED_SCHEMA
+from landprice.schema import CODEC, LOAD, MARKER_YEAR, STORED_SCHEMA
 from landprice.session import discard, folder_names, make_folder
 
 #: Row groups are what lookups skip, and pages inside them; files stay large.
@@ -66,18 +66,25 @@ def partition_folder(spark: SparkSession, name: str, year: int, load: int) -> st
     return _detail(spark, f"{name} {_spec(year, load)}", "Location").rstrip("/")
 
 
-def write_aside(rows: DataFrame, name: str) -> WrittenLoad:
-    """Write rows, as they are arranged, into a new folder below the table's own."""
+def write_aside(rows: DataFrame, name: str, *runs: Sequence[int]) -> WrittenLoad:
+    """Write rows, as they are arranged, into a new folder below the table's own.
+
+    ``runs`` of years, all of them if any, are written one after the other, so that only the rows of
+    one run are sorted and shuffled at a time.
+    """
     spark = rows.sparkSession
     folder = f"{table_folder(spark, name)}/loads/{uuid.uuid4().hex}"
-    options = {
+    options = CODEC | {
         "parquet.block.size": ROW_GROUP_BYTES,
         "parquet.page.row.count.limit": PAGE_ROWS,
         "parquet.bloom.filter.adaptive.enabled": "true",
     }
     options |= {f"parquet.bloom.filter.enabled#{column}": "true" for column in BLOOM_COLUMNS}
     names = [field.name for field in STORED_SCHEMA]
-    rows.select(*names).write.options(**options).partitionBy("import_year").parquet(folder)
+    for years in runs or [None]:
+        part = rows if years is None else rows.filter(F.col("import_year").isin(list(years)))
+        writer = part.select(*names).write.mode("append").options(**options)
+        writer.partitionBy("import_year").parquet(folder)
     years = [x.split("=")[1] for x in folder_names(spark, folder) if x.startswith("import_year=")]
     written = spark.read.schema(STORED_SCHEMA).parquet(folder).count() if years else 0
     return WrittenLoad(folder, tuple(sorted(map(int, years))), written)
@@ -127,21 +134,22 @@ def add_load(
     seen: int,
     arrange: Callable[[DataFrame], DataFrame],
     before_publish: Callable[[WrittenLoad, int], None] = lambda load, number: None,
+    runs: Sequence[Sequence[int]] = (),
 ) -> int:
     """Write and publish rows that were compared with the table up to load ``seen``.
 
-    If others published since, the written rows are compared with those loads only. Returns the
+    ``runs`` are for ``write_aside``. If others published since, the written rows are compared with those loads only. Returns the
     number of rows inserted, as counted in the written files.
     """
     spark = rows.sparkSession
-    load = write_aside(arrange(rows), name)
+    load = write_aside(arrange(rows), name, *runs)
     while load.rows:
         latest = latest_load(spark, name)
         if latest > seen:
             spark.catalog.refreshTable(name)
             others = spark.table(name).filter(F.col(LOAD) > seen)
             own = spark.read.schema(STORED_SCHEMA).parquet(load.folder)
-            compared = write_aside(arrange(insert_if_absent(own, others)), name)
+            compared = write_aside(arrange(insert_if_absent(own, others)), name, *runs)
             discard(spark, load.folder)
             load, seen = compared, latest
             continue

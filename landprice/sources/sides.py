@@ -3,7 +3,7 @@
 A load's files never change once they are written, so what is derived from them is derived once. It
 is kept under the name of the load's folder, not its number: a rearranged year lies in a new folder
 and is found to be stale, what was derived from a cleared year is no longer referred to. All loads
-that lack their rows are brought up to date by one job; readers derive the rest in their own plan, so
+that lack their rows are brought up to date together, some years at a time if they are large; readers derive the rest in their own plan, so
 a side table that lags behind costs time and never rows. A build counts only once its folders are
 marked, after its job; of two builds of one load readers take either.
 """
@@ -11,7 +11,7 @@ marked, after its job; of two builds of one load readers take either.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -22,22 +22,28 @@ from pyspark.sql import types as T
 
 from landprice.functions.prices import price, price_per_m2_or_zero, surface
 from landprice.operators.filters import base_validity
-from landprice.operators.price_cells import in_cells
-from landprice.schema import LOAD, MARKER_YEAR, OUTBUILDING, STORED_SCHEMA
-from landprice.session import discard, folder_names, make_folder
+from landprice.operators.price_cells import in_cells, told_again, told_once
+from landprice.schema import CODEC, LOAD, MARKER_YEAR, OUTBUILDING, STORED_SCHEMA
+from landprice.session import discard, folder_bytes, folder_names, freed_shuffles, make_folder
 from landprice.sources.loads import partition_folder, partitions, table_folder
 
 _KEPT_BY = ("source", "import_year")
 _DONE = "_done"
+#: Bytes of loads that are derived from in one job, or one year if it has more.
+BYTES_AT_ONCE = 1 << 28
 
 
 @dataclass(frozen=True)
 class Side:
-    """What is kept: ``derive`` takes stored rows and the columns to group by in addition."""
+    """What is kept: ``derive`` takes stored rows and the columns to group by in addition.
+
+    ``whole`` gives the side rows of what ``derive`` made, which may leave out what others tell.
+    """
 
     kind: str
     schema: T.StructType
     derive: Callable[[DataFrame, tuple[str, ...]], DataFrame]
+    whole: Callable[[DataFrame], DataFrame] = lambda rows: rows
 
 
 def _price_cells(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -49,7 +55,10 @@ def _price_cells(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
         price().alias("valeur_fonciere"),
         price_per_m2_or_zero(price(), surface()).alias("prix_m2"),
     )
-    return in_cells(valid, (*by, "sale_year", "type_local", "code_postal"))
+    places = (*by, "sale_year", "type_local", "code_postal")
+    # Alike values next to each other are written small.
+    cells = in_cells(valid, places).sortWithinPartitions(*places, "price_cell", "m2_cell")
+    return told_once(cells)
 
 
 def _outbuildings(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -86,6 +95,7 @@ PRICE_CELLS = Side(
         ]
     ),
     _price_cells,
+    told_again,
 )
 #: Ids of sales with an outbuilding, once for each load that brought one.
 OUTBUILDINGS = Side(
@@ -163,16 +173,34 @@ def stale(spark: SparkSession, name: str, side: Side) -> list[int]:
     return sorted({year for year, _, source in now.parts if source not in kept})
 
 
+def _runs(
+    spark: SparkSession, base: str, parts: list[tuple[int, str]]
+) -> Iterator[list[tuple[int, str]]]:
+    """Years of loads, together up to ``BYTES_AT_ONCE``."""
+    run, held = [], 0
+    for year, source in sorted(parts):
+        size = folder_bytes(spark, f"{base}/loads/{source}/import_year={year}")
+        if run and held + size > BYTES_AT_ONCE:
+            yield run
+            run, held = [], 0
+        run.append((year, source))
+        held += size
+    if run:
+        yield run
+
+
 def refresh(spark: SparkSession, name: str, side: Side) -> list[int]:
-    """Derive what is missing, in one job for all loads, and delete what no load refers to."""
+    """Derive what is missing, years of all loads together, and delete what no load refers to."""
     now = snapshot(spark, name)
     kept = _kept(spark, now.base, side)
     used = {source for _, _, source in now.parts}
     missing = [(year, source) for year, _, source in now.parts if source not in kept]
     if missing:
         build = f"{_folder(now.base, side)}/build={uuid.uuid4().hex}"
-        rows = _derived(spark, now.base, side, missing)
-        rows.write.partitionBy(*_KEPT_BY).parquet(build)
+        with freed_shuffles(spark):
+            for parts in _runs(spark, now.base, missing):
+                rows = _derived(spark, now.base, side, parts)
+                rows.write.mode("append").options(**CODEC).partitionBy(*_KEPT_BY).parquet(build)
         for source in sorted({source for _, source in missing}):
             make_folder(spark, f"{build}/source={source}/{_DONE}")
     discard(spark, *[folder for source, folder in kept.items() if source not in used])
@@ -202,7 +230,7 @@ def side_rows(spark: SparkSession, now: Snapshot, side: Side) -> DataFrame:
         found.append(current(reader.parquet(*there)))
     if missing:
         found.append(current(_derived(spark, now.base, side, missing)))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], side.schema)
+    return side.whole(reduce(DataFrame.unionByName, found)) if found else spark.createDataFrame([], side.schema)
 
 
 def _same_part(part: tuple[int, int, str]) -> Column:

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from landprice.functions.prices import price, price_per_m2, surface
 from landprice.operators.dedup import conflicting_keys, without_conflicts
 from landprice.operators.layout import rank_bounds, with_curve_position
-from landprice.schema import FLAT, HOUSE, LOAD, STORED_SCHEMA, TABLE_CANDIDATES, TABLE_SCHEMA
-from landprice.session import compiled_methods, discard_rows, materialised
+from landprice.schema import CODEC, FLAT, HOUSE, LOAD, STORED_SCHEMA, TABLE_CANDIDATES, TABLE_SCHEMA
+from landprice.session import compiled_methods, discard_rows, freed_shuffles, materialised
 from landprice.sources import loads
 from landprice.sources.register_csv import POSITION
 
+#: Rows that an insert sorts and shuffles at a time, or one year if it has more.
+ROWS_AT_ONCE = 1 << 22
+
 # Clustering inside a year: lookups by any of these skip row groups by their min and max.
 LAYOUT = ("type_local", "code_postal", "date_mutation", "id_parcelle")
 
@@ -61,7 +64,7 @@ def arranged(rows: DataFrame, like: DataFrame | None = None) -> DataFrame:
 
 def append_rows(rows: DataFrame, name: str) -> int:
     """Publish rows as one load; the number of rows written."""
-    with compiled_methods(rows.sparkSession):
+    with compiled_methods(rows.sparkSession), freed_shuffles(rows.sparkSession):
         written = loads.write_aside(arranged(rows), name)
     while written.rows:
         number = loads.latest_load(rows.sparkSession, name) + 1
@@ -70,6 +73,25 @@ def append_rows(rows: DataFrame, name: str) -> int:
     return written.rows
 
 
+def year_runs(batch: DataFrame) -> list[list[int]]:
+    """Years of a batch, those that follow each other together up to ``ROWS_AT_ONCE`` rows.
+
+    None if one run holds all, or if a row has no year.
+    """
+    runs, held = [], 0
+    counts = batch.groupBy("import_year").agg(F.count(F.lit(1)).alias("rows"))
+    found = [(row.import_year, row.rows) for row in counts.collect()]
+    if any(year is None for year, _ in found):
+        return []
+    for year, rows in sorted(found):
+        if not runs or held + rows > ROWS_AT_ONCE:
+            runs.append([])
+            held = 0
+        runs[-1].append(year)
+        held += rows
+    return runs if len(runs) > 1 else []
+
+
 def insert_new(
     batch: DataFrame, name: str, order: Sequence[str] = POSITION, **options
 ) -> int:
@@ -85,11 +107,23 @@ def insert_new(
     existing = spark.table(name).filter(F.col(LOAD) <= seen)
     # Stored, so that the insert is planned with their size.
     conflicts = materialised(conflicting_keys(batch, existing), "conflicts")
+    stored = [conflicts]
+
+    def kept(first: DataFrame) -> DataFrame:
+        if runs:  # else every run would look for the first rows among all years
+            first = materialised(first, "first", **CODEC)
+            stored.append(first)
+        return first
+
     try:
-        fresh = without_conflicts(batch, conflicts, order)
-        return loads.add_load(fresh, name, seen, lambda rows: arranged(rows, batch), **options)
+        runs = year_runs(batch)
+        fresh = without_conflicts(batch, conflicts, order, kept=kept)
+        return loads.add_load(
+            fresh, name, seen, lambda rows: arranged(rows, batch), runs=runs, **options
+        )
     finally:
-        discard_rows(conflicts)
+        for frame in stored:
+            discard_rows(frame)
 
 
 def year_count(spark: SparkSession, name: str, year: int) -> int:
@@ -202,7 +236,7 @@ def rearrange_year(spark: SparkSession, name: str, year: int) -> None:
     )
     if not numbers:
         return
-    with compiled_methods(spark):
+    with compiled_methods(spark), freed_shuffles(spark):
         rewritten = loads.write_aside(arranged(rows), name)
     if rewritten.rows:
         loads.replace_partitions(spark, name, int(year), numbers, rewritten)

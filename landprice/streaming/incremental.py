@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from landprice.operators.dedup import new_rows
 from landprice.schema import STORED_SCHEMA
-from landprice.session import compiled_methods, discard_rows, materialised
+from landprice.session import compiled_methods, discard_rows, freed_shuffles, materialised
 from landprice.sources.register_csv import (
     POSITION,
     accepted,
@@ -97,7 +97,7 @@ def _bound_lines(landed: DataFrame, headers: dict[str, str]) -> DataFrame:
 
 def insert_batch(lines: DataFrame, batch_id: int, name: str, times: str) -> None:
     """Insert one micro-batch exactly once; see ``_insert_once``."""
-    with compiled_methods(lines.sparkSession):
+    with compiled_methods(lines.sparkSession), freed_shuffles(lines.sparkSession):
         _insert_once(lines, batch_id, name, times)
 
 

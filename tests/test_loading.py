@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 import uuid
 from pathlib import Path
 
@@ -488,3 +489,50 @@ def test_curve_ranks_follow_the_values(spark):
     assert {r.r_d for r in ranked} == {0}
     placed = layout.with_curve_position(rows, bounds, "p")
     assert placed.columns == [*rows.columns, "p"] and placed.select("p").distinct().count() > 100
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = {found.apply(i).getName() for i in range(found.size())}
+    return {name for name in names if name.startswith("shuffle_") and name.endswith(".data")}
+
+
+def test_imports_leave_no_shuffle_files(spark, table, tmp_path):
+    rows = [line(id_mutation=f"2024-{i}", id_parcelle=f"P{i}") for i in range(500)]
+    year_file(tmp_path, 2023, rows)
+    year_file(tmp_path, 2024, rows + rows[:5])
+    before, setting = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(setting)
+    import_years(spark, table, f"{tmp_path}/{{year}}", 2023, 2024)
+    for _ in range(50):  # files are deleted by another thread
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(setting) == own
+    assert spark.table(table).count() > 500
+
+
+def test_years_of_one_load_are_arranged_in_runs(spark, table, tmp_path, monkeypatch):
+    """One run of years is shuffled at a time; the earlier year still keeps a key."""
+    lot = {"id_parcelle": "P", "lot1_numero": "1"}
+    for year in (2021, 2022, 2023):
+        own = [line(id_mutation=f"{year}-{i}", **lot) for i in range(20)]
+        twice = [line(id_mutation="every", code_postal=str(year * 10 + i), **lot) for i in range(2)]
+        year_file(tmp_path, year, own + twice + [line(id_mutation="none")] * 3)
+    monkeypatch.setattr(tables, "ROWS_AT_ONCE", 60)
+    runs, plain = [], loads.write_aside
+
+    def write_aside(rows, name, *years):
+        runs.append([list(run) for run in years])
+        return plain(rows, name, *years)
+
+    monkeypatch.setattr(loads, "write_aside", write_aside)
+    result = import_years(spark, table, f"{tmp_path}/{{year}}", 2021, 2023)
+    assert runs == [[[2021, 2022], [2023]]]
+    assert statuses(result) == {
+        2021: ("success", 24, 24), 2022: ("success", 23, 23), 2023: ("success", 23, 23)
+    }
+    every = spark.table(table).filter("id_mutation = 'every'").collect()
+    assert [(row.import_year, row.code_postal) for row in every] == [(2021, "20210")]
+    assert spark.table(table).filter("id_mutation = 'none'").count() == 9
+    assert spark.table(table).select(LOAD).distinct().count() == 1

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from landprice.schema import DATA_SCHEMA
 from landprice.sources.register_csv import (
     accepted,
+    numbered,
     parse_header,
     read_register,
     reject_report,
     rejected,
+    spread,
     year_of_path,
 )
 from tests.samples import COLUMNS, line, record, write_file
@@ -173,6 +175,24 @@ def test_gz_files_of_a_folder_are_spread(spark, tmp_path):
     assert "REPARTITION" in plan
 
 
+def test_short_runs_of_lines_are_spread_together(spark):
+    lines = spark.range(0, 20_000, numPartitions=1).select(
+        F.col("id").cast("string").alias("value"), F.lit("f").alias("_file"), F.lit(0).alias("_block")
+    )
+    placed = spread(numbered(lines)).withColumn("part", F.spark_partition_id())
+    runs = placed.groupBy(F.floor(F.col("_line") / 256).alias("run")).agg(
+        F.count_distinct("part").alias("parts"), F.min("part").alias("part"), F.count(F.lit(1)).alias("lines")
+    )
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        found = runs.collect()
+    finally:
+        spark.conf.unset(setting)
+    assert len(found) == 79 and sum(r.lines for r in found) == 20_000
+    assert {r.parts for r in found} == {1} and len({r.part for r in found}) > 1
+
+
 @pytest.mark.parametrize(
     ("text", "outcome"),
     [

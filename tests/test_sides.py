@@ -192,3 +192,44 @@ def test_quantiles_read_few_sales(spark, table, monkeypatch):
     plan = rows._jdf.queryExecution().explainString(formatted)
     scanned = re.findall(r"PushedFilters: \[(.*?)\]\n", plan)
     assert len(scanned) == 1 and "GreaterThanOrEqual(valeur_fonciere" in scanned[0]
+
+
+def test_years_derived_one_at_a_time_give_the_same_report(spark, loaded, monkeypatch):
+    monkeypatch.setattr(sides, "BYTES_AT_ONCE", 1)
+    read, plain = [], sides._derived
+
+    def derived(spark, base, side, parts):
+        read.append([year for year, _ in parts])
+        return plain(spark, base, side, parts)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(sides, "_derived", derived)
+        assert refresh(spark, loaded, PRICE_CELLS) == [2022, 2023]
+    assert read == [[2022], [2023], [2023]]
+    assert stale(spark, loaded, PRICE_CELLS) == []
+    same_as_sales(spark, loaded)
+    same_as_sales(spark, loaded, Filters(type_local="Maison", years=[2023]))
+
+
+def test_kept_cells_leave_out_what_other_columns_tell(spark, loaded):
+    refresh(spark, loaded, PRICE_CELLS)
+    now = snapshot(spark, loaded)
+    (kept,) = {folder.rsplit("/", 1)[0] for folder in sides._kept(spark, now.base, PRICE_CELLS).values()}
+    stored_cells = spark.read.parquet(kept)
+    single = stored_cells.filter("rows = 1")
+    assert single.count() > 100
+    for end in ("price_low", "price_high", "m2_low", "m2_high"):
+        assert single.filter(F.col(end).isNotNull()).isEmpty()
+    names = [field.name for field in PRICE_CELLS.schema]
+    whole = side_rows(spark, now, PRICE_CELLS).select(*names)
+    again = in_cells(
+        now.rows(spark).filter(base_validity()).select(
+            "import_year", "import_load", F.year("date_mutation").alias("sale_year"), "type_local", "code_postal",
+            F.col("valeur_fonciere").cast("double").alias("valeur_fonciere"),
+            (F.col("valeur_fonciere").cast("double") / F.col("surface_reelle_bati").cast("double")).alias("prix_m2"),
+        ),
+        ("import_year", "import_load", "sale_year", "type_local", "code_postal"),
+    ).select(*names)
+    exact = [name for name in names if not name.endswith("_total")]
+    assert whole.count() == again.count()
+    assert whole.select(*exact).exceptAll(again.select(*exact)).isEmpty()
